@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality, simhash, suffix_dedup, token_counts, token_files
+from . import byte_bpe, decontaminate, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
 from .common import table
 
 
+def fold(n: int) -> Column:
+    """crc32 of the document's id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold(3) != 1))
+    held_out = F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,5 +53,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_suffix_dedup, op6_token_counts, op7_decontaminate, op8_simhash, op9_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_suffix_dedup, op6_token_counts, op7_decontaminate, op8_simhash, op9_quality_rules, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
