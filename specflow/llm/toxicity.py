@@ -1,7 +1,7 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features of a whole text: densities of two lexicons (a short fixed one, and one learned from labelled texts by the log-odds
-of document frequencies), how near their words stand to second-person words, capitals, punctuation, and signs of
+Features of a whole text: densities of two lexicons (a short fixed one, and one of words and beginnings of words learned
+from labelled texts by the log-odds of document frequencies), how near their words stand to second-person words, capitals, punctuation, and signs of
 obfuscation (look-alike characters, drawn-out and spaced-out letters, and lexicon words found only after undoing them).
 
 Labels come from at most ``SAMPLE`` labelled rows, a documented bound: if there are more, a share of them is taken by the
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Most labelled rows that the model is fitted on, and most words of the learned lexicon.
-SAMPLE, LEXICON = 20_000, 200
+#: Most labelled rows that the model is fitted on, and most words and word beginnings of the learned lexicon.
+#: Beginnings (stems of inflected words) are kept with a * behind them, and have these lengths.
+SAMPLE, LEXICON, STEMS = 20_000, 400, (6, 5, 4, 3)
 #: Insults, and words of the second person, in four languages.
 INSULTS = frozenset(
     """idiot idiots moron morons stupid dumb dumbass fool imbecile loser losers clown scum trash garbage filth worthless pathetic disgusting
@@ -51,16 +52,40 @@ def words_of(text: str) -> list[str]:
     return [w for w in (t.strip(STRIP).lower() for t in text.split()) if w]
 
 
+def stems_of(text: str) -> set[str]:
+    words = {w for w in words_of(text) if len(w) < 64}
+    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+
+
+class Lexicon:
+    """Weights of words, by the word itself or else its longest listed beginning; words looked up are remembered."""
+
+    def __init__(self, weights: dict[str, float], most: int = 300_000):
+        self.weights, self.most, self.seen = weights, most, {}
+
+    def get(self, word: str) -> float:
+        if (known := self.seen.get(word)) is None:
+            if len(self.seen) >= self.most:
+                self.seen.clear()
+            keys = (word, *(word[:k] + "*" for k in STEMS if len(word) > k))
+            known = self.seen[word] = next((self.weights[k] for k in keys if k in self.weights), 0.0)
+        return known
+
+    def __reduce__(self):
+        return Lexicon, (self.weights, self.most)
+
+
 def undone(token: str) -> str:
     return DRAWN.sub(r"\1", token.lower().translate(LOOKS).strip(STRIP))
 
 
-def features(text: str, learned: dict[str, float]) -> list[float]:
+def features(text: str, learned: Lexicon) -> list[float]:
     tokens = text.split()
     low = [t.strip(STRIP).lower() for t in tokens]
     n = max(1, len(low))
     fixed = [i for i, w in enumerate(low) if w in INSULTS]
-    own = [i for i, w in enumerate(low) if w in learned]
+    weights = list(map(learned.get, low))
+    own = [i for i, x in enumerate(weights) if x]
     second = [i for i, w in enumerate(low) if w in SECOND]
     hits = np.array(sorted({*fixed, *own}))
     gap, near = 50.0, 0
@@ -72,13 +97,13 @@ def features(text: str, learned: dict[str, float]) -> list[float]:
     odd = [t for t in tokens if not t.isalpha() and not t.strip(STRIP).isalpha() and any(c.isalpha() for c in t)]
     drawn = [t for t in low if DRAWN.search(t)] if DRAWN.search(text) else []
     spaced = SPACED.findall(text)
-    known = lambda w: w in INSULTS or w in learned
+    known = lambda w: w in INSULTS or learned.get(w) > 0
     found = sum(known(undone(t)) and not known(t.strip(STRIP).lower()) for t in {*odd, *drawn}) + sum(known(re.sub(r"\W|_", "", t).lower()) for t in spaced)
     size = max(1, len(text))
     letters = max(1, sum(map(len, low)))
     capitals = sum(map(str.isupper, text)) if text != text.lower() else 0
     return [
-        np.log1p(len(low)), len(fixed) / n, np.log1p(len(fixed)), len({low[i] for i in fixed}), len(own) / n, sum(learned[low[i]] for i in own) / n, np.log1p(len(own)), len({low[i] for i in own}),
+        np.log1p(len(low)), len(fixed) / n, np.log1p(len(fixed)), len({low[i] for i in fixed}), len(own) / n, sum(weights) / n, np.log1p(len(own)), len({low[i] for i in own}),
         len(second) / n, near / max(1, len(hits)), gap, capitals / letters, sum(len(t) > 2 and t.isupper() for t in tokens) / n, text.count("!") / n, text.count("?") / n,
         (text.count("!!") + text.count("??")) / n, sum(map(text.count, "#$%&*@")) / size, len(odd) / n, len(drawn) / n, float(len(spaced)), float(found), sum(map(text.count, "0123456789")) / size,
     ]
@@ -161,7 +186,7 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Model:
-    learned: dict[str, float]
+    learned: Lexicon
     trees: Trees | None
     at: np.ndarray
     share: np.ndarray
@@ -191,19 +216,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     def kinds(stream):
         for batch in stream:
-            pairs = [(w, y) for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in set(words_of(t)) if len(w) < 64]
+            pairs = [(w, y) for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in stems_of(t)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int32())], names=["w", "y"])
 
     by_class = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = by_class.get(1, 0), sum(n for y, n in by_class.items() if y != 1)
     prior = (bad + 1) / (bad + good + 20)
     if not bad or not good:
-        return Model({}, None, np.zeros(1), np.zeros(1), prior)
+        return Model(Lexicon({}), None, np.zeros(1), np.zeros(1), prior)
     counts = sample.mapInArrow(kinds, "w string, y int").groupBy("w").agg(F.sum((F.col("y") == 1).cast("int")).alias("b"), F.count("*").alias("n"))
     odds = F.log((F.col("b") + 0.5) / (bad - F.col("b") + 0.5)) - F.log((F.col("n") - F.col("b") + 0.5) / (F.lit(good + 0.5) - (F.col("n") - F.col("b"))))
     spread = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("n") - F.col("b") + 0.5))
     top = counts.where(F.col("b") >= 3).withColumn("odds", odds).withColumn("z", F.col("odds") / spread).where("odds > 1.5 and z > 3.5").orderBy(F.desc("z"), "w").limit(LEXICON)
-    learned = {r["w"]: float(r["odds"]) for r in top.collect()}
+    learned = Lexicon({r["w"]: float(r["odds"]) for r in top.collect()})
 
     def dense(stream):
         for batch in stream:
