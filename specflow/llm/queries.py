@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
+from . import byte_bpe, decontaminate, langid, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -30,6 +30,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold(4) != 2))
+    held_out = F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out")
+    return langid.predict(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -53,5 +60,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_suffix_dedup, op6_token_counts, op7_decontaminate, op8_simhash, op9_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_suffix_dedup, op4_language_id, op6_token_counts, op7_decontaminate, op8_simhash, op9_quality_rules, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
