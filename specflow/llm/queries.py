@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, langid, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
+from . import byte_bpe, decontaminate, langid, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, urls
 from .common import table
 
 
@@ -37,6 +37,22 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+#: Rules of the URL query.
+RULES = [urls.Rule.parse(*r) for r in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
+
+
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """A page shows the document whose number ends its path: it is bad if that is of low quality or toxic."""
+    number = F.regexp_extract(urls.host_and_path(F.col("url"))[1], r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("bigint")
+    marks = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    return pages.select("page_id", number.alias("doc_id")).join(marks, "doc_id").select("page_id", "bad")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages, page_labels(pages, table(spark, sf_dir, "labels")), RULES)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -60,5 +76,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_suffix_dedup, op4_language_id, op6_token_counts, op7_decontaminate, op8_simhash, op9_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_suffix_dedup, op4_language_id, op5_url_filters, op6_token_counts, op7_decontaminate, op8_simhash, op9_quality_rules, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
