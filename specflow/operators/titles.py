@@ -22,10 +22,14 @@ def normalise(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks, 0 if either is empty."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+def similarity(a: str, b: str) -> Column:
+    """Ratio of matching blocks of two columns, 0 if either is empty."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p, q).ratio() if p and q else 0.0 for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return ratio(a, b)
 
 
 def exact_groups(docs: DataFrame, key: str, title: str) -> DataFrame:
