@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +95,23 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.hash(text).alias("h"), F.coalesce(F.encode(text, "utf-8"), F.lit(b"")).alias("t"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The same columns with each t compressed, for a shuffle: that takes less disk than what Spark does to a block."""
+
+    def batches(stream):
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        for batch in stream:
+            at = batch.schema.get_field_index("t")
+            yield batch.set_column(at, "t", pa.array([pack(t) for t in batch.column(at).to_pylist()], pa.binary()))
+
+    return docs.mapInArrow(batches, ", ".join(f"`{n}` {k}" for n, k in docs.dtypes))
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t) for t in column.to_pylist()]
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """docs as ``keyed`` has them. Returns key, h, pos, kh, ch: hashes of an anchor's K bytes and of its context."""
     kind = dict(docs.dtypes)["key"]
@@ -117,22 +135,26 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def contexts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted: key, h, and at, an array of (pos, kh, ch, n). Returns kh, ch, n, lead, suffix, before (reversed)."""
-    joined = wanted.alias("w").join(docs.alias("d"), F.col("w.key").eqNullSafe(F.col("d.key")) & (F.col("w.h") == F.col("d.h"))).select("w.at", "d.t")
+    """wanted: key, h, and at, an array of (pos, n). Returns n, suffix, before (reversed)."""
+    joined = wanted.alias("w").join(packed(docs).alias("d"), F.col("w.key").eqNullSafe(F.col("d.key")) & (F.col("w.h") == F.col("d.h"))).select("w.at", "d.t")
 
     def batches(stream):
         for batch in stream:
             rows = []
-            for at, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for at, t in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), strict=True):
                 for x in at:
                     a = x["pos"]
-                    suffix = t[a : a + LENGTH]
-                    rows.append((x["kh"], x["ch"], x["n"], suffix[:K], suffix, t[max(0, a - BEFORE) : a][::-1]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kh", "ch", "n", "lead", "suffix", "before"])
+                    rows.append((x["n"], t[a : a + LENGTH], t[max(0, a - BEFORE) : a][::-1]))
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["n", "suffix", "before"])
+
+    return joined.mapInArrow(batches, "n bigint, suffix binary, before binary")
+
 
-    return joined.mapInArrow(batches, "kh bigint, ch bigint, n bigint, lead binary, suffix binary, before binary")
+def hashes(suffix: bytes, before: bytes) -> tuple[int, int]:
+    """kh and ch of an anchor, from its context."""
+    kh, ch = xxhash.xxh3_64_intdigest(suffix[:K]), xxhash.xxh3_64_intdigest(before[::-1] + suffix, len(before))
+    return kh - (kh >> 63 << 64), ch - (ch >> 63 << 64)
 
 
 def matrix(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,12 +241,13 @@ def in_buckets(context: DataFrame) -> DataFrame:
         rows = [b for b in stream if b.num_rows]
         if rows:
             t = pa.Table.from_batches(rows)
-            kh, ch, count = (t.column(c).to_numpy() for c in ("kh", "ch", "n"))
-            least, most = repeated(t.column("suffix").to_pylist(), t.column("before").to_pylist(), count)
-            hit = most >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (kh, ch, least.astype(np.int32), most.astype(np.int32))], names=["kh", "ch", "least", "most"])
+            suffixes, befores = t.column("suffix").to_pylist(), t.column("before").to_pylist()
+            least, most = repeated(suffixes, befores, t.column("n").to_numpy())
+            hit = np.flatnonzero(most >= 0)
+            own = np.array([hashes(suffixes[i], befores[i]) for i in hit], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[:, 0], own[:, 1], least[hit].astype(np.int32), most[hit].astype(np.int32))], names=["kh", "ch", "least", "most"])
 
-    return context.repartitionByRange(n, "lead").select("kh", "ch", "n", "suffix", "before").mapInArrow(bucket, "kh bigint, ch bigint, least int, most int")
+    return context.repartitionByRange(n, F.substring("suffix", 1, K)).mapInArrow(bucket, "kh bigint, ch bigint, least int, most int")
 
 
 def one_by_one(context: DataFrame) -> DataFrame:
@@ -233,8 +256,8 @@ def one_by_one(context: DataFrame) -> DataFrame:
     def strings(stream):
         for batch in stream:
             rows = []
-            for kh, ch, n, s, b in zip(*(batch.column(c).to_pylist() for c in ("kh", "ch", "n", "suffix", "before")), strict=True):
-                whole = b[::-1] + s
+            for n, s, b in zip(*(batch.column(c).to_pylist() for c in ("n", "suffix", "before")), strict=True):
+                whole, (kh, ch) = b[::-1] + s, hashes(s, b)
                 for l in range(max(0, LENGTH - len(s)), len(b) + 1):  # noqa: E741
                     at = len(b) - l
                     rows.append((kh, ch, n, l, xxhash.xxh3_64_intdigest(whole[at : at + LENGTH], l) - (1 << 63)))
@@ -247,7 +270,7 @@ def one_by_one(context: DataFrame) -> DataFrame:
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names=["kh", "ch", "n", "l", "w"])
 
-    made = context.select("kh", "ch", "n", "suffix", "before").mapInArrow(strings, "kh bigint, ch bigint, n bigint, l int, w bigint")
+    made = context.mapInArrow(strings, "kh bigint, ch bigint, n bigint, l int, w bigint")
     twice = made.groupBy("kh", "w").agg(F.sum("n").alias("n")).where("n > 1").select("kh", "w")
     return made.drop("n").join(twice, ["kh", "w"]).groupBy("kh", "ch").agg(F.min("l").alias("least"), F.max("l").alias("most"))
 
@@ -262,22 +285,22 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     found.join(again, "kh").write.parquet(held)
     found = spark.read.parquet(held)
     kinds = found.groupBy("kh", "ch").agg(F.count("*").alias("n"), F.min(F.struct("key", "h", "pos")).alias("first"))
-    per = kinds.groupBy("kh").agg(F.count("*").alias("kinds"))
-    mixed = kinds.join(per.where("kinds > 1"), "kh").select("kh", "ch", "n", "kinds", "first.key", "first.h", "first.pos")
-    wanted = mixed.groupBy("key", "h").agg(F.collect_list(F.struct("pos", "kh", "ch", F.struct("n", "kinds").alias("x"))).alias("at"))
-    wanted = wanted.select("key", "h", F.transform("at", lambda x: F.struct(x["pos"].alias("pos"), x["kh"].alias("kh"), x["ch"].alias("ch"), (x["x"]["n"] * 2 + (x["x"]["kinds"] > group).cast("bigint")).alias("n"))).alias("at"))
+    # a context that is there twice has all its strings twice: only a group with one that is not has to be compared
+    per = kinds.groupBy("kh").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest"))
+    mixed = kinds.join(per.where("kinds > 1 and rarest = 1").drop("rarest"), "kh").select("kh", "ch", "n", "kinds", "first.key", "first.h", "first.pos")
+    wanted = mixed.groupBy("key", "h").agg(F.collect_list(F.struct("pos", (F.col("n") * 2 + (F.col("kinds") > group).cast("bigint")).alias("n"))).alias("at"))
     context = contexts(wanted, docs)
-    large = bool(per.where(F.col("kinds") > group).limit(1).count())
+    large = bool(per.where((F.col("kinds") > group) & (F.col("rarest") == 1)).limit(1).count())
     if large:  # both ways read the contexts
         at = scratch(spark, "contexts")
         context.write.parquet(at)
         context = spark.read.parquet(at)
     flag, n = F.col("n") % 2 == 1, F.floor(F.col("n") / 2).alias("n")
-    columns = ["kh", "ch", n, "lead", "suffix", "before"]
+    columns = [n, "suffix", "before"]
     solved = in_buckets(context.where(~flag).select(*columns))
     if large:
         solved = solved.unionByName(one_by_one(context.where(flag).select(*columns)))
-    whole = per.where("kinds = 1").select("kh", F.lit(0).alias("least"), F.lit(BEFORE).alias("most"))
+    whole = per.where("kinds = 1 or rarest > 1").select("kh", F.lit(0).alias("least"), F.lit(BEFORE).alias("most"))
     spans = found.join(solved, ["kh", "ch"]).select("key", "h", "pos", "least", "most")
     spans = spans.unionByName(found.join(whole, "kh").select("key", "h", "pos", "least", "most"))
     span = F.struct(F.greatest(F.lit(0), F.col("pos") - F.col("most")).alias("a"), (F.col("pos") + LENGTH - F.col("least")).alias("b"))
@@ -317,7 +340,7 @@ def with_spans(docs: DataFrame, key: str, text: str, columns: list[str]) -> Data
     """The given columns of ``docs`` as c0, c1, ..., its bytes as t and the spans found in them."""
     wide = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col(key).alias("key"), F.hash(text).alias("h"), F.coalesce(F.encode(text, "utf-8"), F.lit(b"")).alias("t"))
     spans = repeated_spans(keyed(docs, key, text))
-    return wide.alias("d").join(spans.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")) & (F.col("d.h") == F.col("s.h")), "left").select(*(f"c{i}" for i in range(len(columns))), "t", "spans")
+    return packed(wide).alias("d").join(spans.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")) & (F.col("d.h") == F.col("s.h")), "left").select(*(f"c{i}" for i in range(len(columns))), "t", "spans")
 
 
 def digest(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -327,7 +350,7 @@ def digest(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     def batches(stream):
         for batch in stream:
             rows = []
-            for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for t, spans in zip(unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 runs = merged(spans or [], len(t))
                 rows.append((len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(t, runs)).hexdigest()))
             n, gone, count, sums = zip(*rows, strict=True) if rows else ([], [], [], [])
@@ -348,7 +371,7 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     def batches(stream):
         for batch in stream:
             out = []
-            for old, t, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+            for old, t, spans in zip(batch.column(at).to_pylist(), unpacked(batch.column(len(names))), batch.column(len(names) + 1).to_pylist(), strict=True):
                 out.append(old if not spans else kept_bytes(t, whole_characters(t, merged(spans, len(t)))).decode())
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(out, pa.string())
