@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fit, models
 
@@ -79,7 +80,7 @@ def sub_labels(x: np.ndarray, order: np.ndarray, method: str = "hierarchical", l
 def nested(features: DataFrame, key: str = "sample_id", k: int | None = None, method: str = "hierarchical", seed: int = 42) -> DataFrame:
     """Adds macro_cluster, macro_cluster_prob, sub_cluster, full_label (A.1 and so on)."""
     ready = prepared(features, sorted({*MACRO, *SUB}))
-    schema = ready.schema.simpleString()[7:-1] + ",macro_cluster:int,macro_cluster_prob:double,sub_cluster:int,full_label:string"
+    schema = T.StructType([*ready.schema.fields, T.StructField("macro_cluster", T.IntegerType()), T.StructField("macro_cluster_prob", T.DoubleType()), T.StructField("sub_cluster", T.IntegerType()), T.StructField("full_label", T.StringType())])
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(key, kind="stable").reset_index(drop=True)
@@ -90,7 +91,7 @@ def nested(features: DataFrame, key: str = "sample_id", k: int | None = None, me
             sub[rows] = sub_labels(t.loc[rows, SUB].to_numpy(), t.loc[rows, SUB[0]].to_numpy(), method, seed=seed)
         return t.assign(macro_cluster=macro.astype("int32"), macro_cluster_prob=p, sub_cluster=sub.astype("int32"), full_label=[f"{chr(65 + a)}.{b + 1}" for a, b in zip(macro, sub, strict=True)])
 
-    return ready.groupBy(F.lit(1)).applyInPandas(run, ", ".join(f"`{c.split(':')[0]}` {c.split(':', 1)[1]}" for c in schema.split(",")))
+    return ready.groupBy(F.lit("all")).applyInPandas(run, schema)
 
 
 def subsample_bootstrap(features: DataFrame, key: str = "sample_id", n: int = 500, drop: float = 0.2, k: int = 2, noise: float = 0.0, seed: int = 42) -> DataFrame:
