@@ -196,10 +196,10 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
 
 
 def compare(stream, words: int, radius: int):
-    """Arrow batches (g, f0, ...) sorted by group g, in; links (a, b) of rows of a group out. A group may span batches."""
+    """Arrow batches (g, node, f0, ...) sorted by group g, in; links (a, b) of nodes of a group out. A group may span batches."""
 
-    def links(group: np.ndarray, f: np.ndarray):
-        starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1 if group[0] > np.iinfo(np.int64).min else 0))
+    def links(group: np.ndarray, node: np.ndarray, f: np.ndarray):
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         sizes = np.diff(np.append(starts, len(group)))
         own, at = np.repeat(sizes, sizes), np.arange(len(group))
         end = np.repeat(starts + sizes, sizes)
@@ -207,54 +207,46 @@ def compare(stream, words: int, radius: int):
             i = at[(own <= SMALL) & (at + d < end)]
             if len(i):
                 hit = i[near_pairs(f[i], f[i + d], radius)]
-                yield f[hit], f[hit + d]
+                yield node[hit], node[hit + d]
         for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-            rows = np.unique(f[s : s + n], axis=0)
-            child, root = forest(rows, radius)
-            yield rows[child], rows[root]
+            ids, first = np.unique(node[s : s + n], return_index=True)
+            child, root = forest(f[s : s + n][first], radius)
+            yield ids[child], ids[root]
 
     def batch(pairs):
-        ids = [np.concatenate([node_ids(p[k]) for p in pairs]) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in ids], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs])) for k in (0, 1)], names=["a", "b"])
 
-    rest_g, rest_f = np.empty(0, np.int64), np.empty((0, words), np.uint64)
+    rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, words), np.uint64)]
     for b in stream:
-        g = np.concatenate([rest_g, b.column(0).to_numpy()])
-        f = np.concatenate([rest_f, np.stack([b.column(1 + w).to_numpy() for w in range(words)], 1).view(np.uint64)])
+        new = [b.column(0).to_numpy(), b.column(1).to_numpy(), np.stack([b.column(2 + w).to_numpy() for w in range(words)], 1).view(np.uint64)]
+        held = [np.concatenate(x) for x in zip(rest, new, strict=True)]
+        g = held[0]
         if not len(g):
             continue
         cut = len(g) - int(np.argmax(g[::-1] != g[-1])) if g[0] != g[-1] else 0
-        rest_g, rest_f = g[cut:], f[cut:]
-        if cut and (found := [p for p in links(g[:cut], f[:cut]) if len(p[0])]):
+        rest = [x[cut:] for x in held]
+        if cut and (found := [p for p in links(*(x[:cut] for x in held)) if len(p[0])]):
             yield batch(found)
-    if len(rest_g) and (found := [p for p in links(rest_g, rest_f) if len(p[0])]):
+    if len(rest[0]) and (found := [p for p in links(*rest) if len(p[0])]):
         yield batch(found)
 
 
-def node_ids(f: np.ndarray) -> np.ndarray:
-    """A bigint for each fingerprint: itself if it has one word, else a hash of its words."""
-    if f.shape[1] == 1:
-        return np.ascontiguousarray(f[:, 0]).view(np.int64)
-    raw = np.ascontiguousarray(f.astype("<u8"))
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in raw], np.uint64).view(np.int64)
-
-
 def links(classes: DataFrame, *, radius: int, tables: list[list[int]], words: int = 1, block: int = BLOCK) -> DataFrame:
-    """classes: distinct rows f0, f1, ... and their node ids, node. Returns links (a, b) between node ids, enough to connect all that are within the
+    """classes: distinct rows f0, f1, ... and node, an id of each: the only word, or a hash of several. Returns links (a, b) between node ids, enough to connect all that are within the
     radius of each other and meet in a table."""
     names = [f"f{w}" for w in range(words)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = [F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(signed(m)).cast("bigint")) for n, m in zip(names, masks, strict=True) if m)) for t, masks in enumerate(tables)]
-    carried = names if words == 1 else ["node"]  # wide fingerprints come back once buckets of one are gone
+    carried = ["node", *names] if words == 1 else ["node"]  # wide fingerprints come back once buckets of one are gone
     keyed = classes.select(*carried, F.explode(F.array(*keys)).alias("k"))
     # the hash of a table's number and bits is the key; a chance meeting of two keys only adds comparisons
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     held = keyed.join(sizes, "k").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    held = held.withColumn("mine", F.pmod(F.xxhash64(*carried, F.lit(1)), F.col("blocks")).cast("int"))
+    held = held.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("k", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), *carried)
     if words > 1:
-        dealt = dealt.join(classes.select("node", *names), "node").select("g", *names)
+        dealt = dealt.join(classes.select("node", *names), "node").select("g", "node", *names)
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "g").sortWithinPartitions("g")
     return dealt.mapInArrow(lambda stream: compare(stream, words, radius), "a bigint, b bigint")
@@ -265,7 +257,7 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
     names = [f"f{w}" for w in range(words)]
     made = checkpointed(fingerprint(docs, key=key, text=text, size=size, words=words))
     classes = made.groupBy(*names).agg(F.min(key).alias("least"))
-    classes = classes.withColumn("node", F.col("f0") if words == 1 else node_column(names))
+    classes = classes.withColumn("node", F.col("f0") if words == 1 else F.xxhash64(*names))
     edges = links(classes, radius=radius, tables=tables or pigeonhole_tables(radius, words), words=words, block=block)
     roots = connected_components(edges)
     linked = classes.select("node", "least").join(roots, "node")
@@ -274,12 +266,6 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
     return made.join(known, names).select(key, *names, "component_id")
 
 
-def node_column(names: list[str]):
-    """``node_ids`` of several words, in the JVM: XXH64 of their little-endian bytes."""
-    little = [F.reverse(F.unhex(F.lpad(F.hex(n), 16, "0"))) for n in names]
-    return F.xxhash64(F.concat(*little))
-
-
 def simhash_links(docs: DataFrame, **options) -> DataFrame:
     """key, fingerprint (16 lowercase hex digits for each word) and component_id."""
     names = [f"f{w}" for w in range(options.get("words", 1))]
