@@ -7,7 +7,7 @@
 4. Siblings whose labelled shares do not differ from their parent's beyond chance (a z test of two shares) are merged: they
    are judged on their pooled counts. A branch that differs stands by itself.
 5. A template is rejected if its purity, the share of its labelled pages that are bad, smoothed by ``WEIGHT`` pages of the
-   corpus-wide share, reaches ``REJECT``.
+   corpus-wide share, reaches ``REJECT``. A template without a labelled page is not rejected.
 6. Explicit rules on host and path come before the tree; the longest that fits wins.
 
 Null urls and urls without ``://`` have an empty host and path and are judged like the pages of any other host, a label of
@@ -108,7 +108,7 @@ def judged(found: DataFrame) -> DataFrame:
     labelled, bad = (F.when(F.col("alike"), F.col(m)).otherwise(F.col(o)) for m, o in (("ml", "labelled"), ("mb", "bad")))
     by = by.withColumn("purity", (bad + WEIGHT * F.col("prior")) / (labelled + WEIGHT))
     name = F.concat(F.lit("/"), F.array_join(F.when(F.col("alike") & (F.col("depth") > 0), F.concat("up", F.array(F.lit("*")))).otherwise(F.col("t")), "/"))
-    by = by.select("host", "t", name.alias("template"), "purity", (F.col("purity") >= REJECT).alias("rejected"))
+    by = by.select("host", "t", name.alias("template"), "purity", ((F.col("purity") >= REJECT) & (labelled > 0)).alias("rejected"))
     return found.select("host", "segs", "t").join(by, ["host", "t"]).drop("t")
 
 
