@@ -101,7 +101,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, spans: bool = False, **opti
     same = docs[key].eqNullSafe(F.col("_bad_key")) & (F.xxhash64(docs[text]) == F.col("_bad_hash"))
     if not spans:
         return docs.join(bad.drop("_bad_hit"), same, "left_anti")
-    inside = BETWEEN[1:-2]
+    inside = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # as BETWEEN, but for a text whose capitals are still there
     parts = F.regexp_extract_all(docs[text], F.lit(f"[^{inside}]+[{inside}]*"), F.lit(0))
     lead = F.regexp_extract(docs[text], f"^[{inside}]*", 0)
     kept = F.concat(lead, F.array_join(F.filter(parts, lambda p, i: ~F.array_contains(F.col("_bad_hit"), i + 1)), ""))
