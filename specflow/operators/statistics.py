@@ -236,9 +236,10 @@ def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
-    """The k nearest rows of each query, (query, key, distance, rank): for a bounded set of queries, which is broadcast; each
-    task keeps its own k before they meet, so what is shuffled grows with tasks and queries."""
+    """The k nearest rows of each query, (query, key, distance, rank): a stated set of queries against all rows. Spark
+    broadcasts the queries only if they are below its threshold and else pairs blocks of both sides; each task keeps its own k of a
+    query before they meet, so what is shuffled grows with tasks and queries."""
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
     d = F.sqrt(F.aggregate(F.zip_with("_q", F.col(vector), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = rows.crossJoin(F.broadcast(q)).where(F.col(key) != F.col("query")).select("query", key, d.alias("distance"))
+    pairs = rows.crossJoin(q).where(F.col(key) != F.col("query")).select("query", key, d.alias("distance"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key))).where(F.col("rank") <= k)
