@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, langid, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, urls
 from .common import table
+from .oracles import ORACLES
 
 
 def fold(n: int) -> Column:
@@ -68,7 +69,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.quality(docs).drop("text", "lang")
+    return quality.quality(docs).drop("text", "lang").withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +78,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_suffix_dedup, op4_language_id, op5_url_filters, op6_token_counts, op7_decontaminate, op8_simhash, op9_quality_rules, op10_byte_bpe)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
