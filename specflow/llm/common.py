@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 #: Bytes in one Arrow batch between the JVM and Python: what a worker holds at once follows this, not the row count.
 BATCH_BYTES = 16 << 20
 
@@ -16,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of long texts small."""
+    """Keeps Arrow batches of long texts small, and lets Python workers import this package."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
