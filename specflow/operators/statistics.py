@@ -243,3 +243,35 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int =
     d = F.sqrt(F.aggregate(F.zip_with("_q", F.col(vector), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
     pairs = rows.crossJoin(q).where(F.col(key) != F.col("query")).select("query", key, d.alias("distance"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key))).where(F.col("rank") <= k)
+
+
+def stratified(df: DataFrame, stratum: str, row: str, col: str, least: int = 10) -> DataFrame:
+    """chi2, dof and n of a contingency table in each stratum of enough rows: the stratum is one more key."""
+    d = df.where(F.col(stratum).isNotNull() & F.col(row).isNotNull() & F.col(col).isNotNull()).select(F.col(stratum).alias("s"), F.col(row).alias("r"), F.col(col).alias("c"))
+    cells = d.groupBy("s", "r", "c").agg(F.count("*").alias("o"))
+    nr, nc = cells.groupBy("s", "r").agg(F.sum("o").alias("nr")), cells.groupBy("s", "c").agg(F.sum("o").alias("nc"))
+    size = cells.groupBy("s").agg(F.sum("o").alias("n"), F.count_distinct("r").alias("kr"), F.count_distinct("c").alias("kc")).where(F.col("n") >= least)
+    full = nr.join(nc, "s").join(cells, ["s", "r", "c"], "left").join(size, "s")
+    expected = F.col("nr") * F.col("nc") / F.col("n")
+    off = F.abs(F.coalesce("o", F.lit(0)) - expected)
+    off = F.when((F.col("kr") == 2) & (F.col("kc") == 2), off - F.least(F.lit(0.5), off)).otherwise(off)
+    return full.groupBy("s", "n", "kr", "kc").agg(F.sum(off * off / expected).alias("chi2")).select(F.col("s").alias(stratum), "chi2", ((F.col("kr") - 1) * (F.col("kc") - 1)).alias("dof"), "n")
+
+
+def permutation_p(df: DataFrame, row: str, col: str, key: str, times: int = 10_000, seed: int = 42) -> float:
+    """(1 + permutations with a chi2 at least as high) / (times + 1). Labels are dealt anew by the rank of a hash of (time, key),
+    so a permutation does not depend on how rows are partitioned; each is a group of its own."""
+    rows = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).select(F.col(key).alias("k"), F.col(row).alias("r"), F.col(col).alias("c"))
+    spark = df.sparkSession
+    copies = rows.crossJoin(spark.range(times + 1).select(F.col("id").alias("t")))
+    mine, theirs = Window.partitionBy("t").orderBy("k"), Window.partitionBy("t").orderBy(F.when(F.col("t") > 0, F.xxhash64("t", "k", F.lit(seed))), "k")
+    left, right = copies.select("t", "r", F.row_number().over(mine).alias("i")), copies.select("t", "c", F.row_number().over(theirs).alias("i"))
+    dealt = left.join(right, ["t", "i"])
+    found = stratified(dealt, "t", "r", "c", 1).select("t", "chi2")
+    observed = found.where("t = 0").select(F.col("chi2").alias("o"))
+    return found.where("t > 0").crossJoin(F.broadcast(observed)).agg((F.count_if(F.col("chi2") >= F.col("o") - 1e-9) + 1) / (F.lit(times) + 1)).first()[0]
+
+
+def mixture_shares(df: DataFrame, group: str, parts: dict[str, Column]) -> DataFrame:
+    """Share of each group's rows for which a condition holds."""
+    return df.groupBy(group).agg(F.count("*").alias("n"), *(F.avg(c.cast("double")).alias(name) for name, c in parts.items()))

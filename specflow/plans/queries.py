@@ -358,3 +358,41 @@ def pivot(spark, sf_dir):
 @query("SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) WHERE k = 1")
 def first_wins(spark, sf_dir):
     return summaries.first_of(table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id"), ["user_id", "event_type"], ["event_id"])
+
+
+@query(
+    """WITH o AS (SELECT o_orderpriority AS s, o_orderstatus AS r, o_custkey % 3 AS c, count(*) AS n FROM orders GROUP BY 1, 2, 3), nr AS (SELECT s, r, sum(n) AS nr FROM o GROUP BY 1, 2), nc AS (SELECT s, c, sum(n) AS nc FROM o GROUP BY 1, 2), t AS (SELECT s, sum(n) AS t FROM o GROUP BY 1)
+ SELECT s AS o_orderpriority, round(sum(pow(coalesce(n, 0) - nr * nc / t, 2) / (nr * nc / t)), 6) AS chi2, CAST(any_value(t) AS BIGINT) AS n FROM nr JOIN nc USING (s) JOIN t USING (s) LEFT JOIN o USING (s, r, c) GROUP BY 1"""
+)
+def stratified_chi2(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("third", F.col("o_custkey") % 3)
+    return statistics.stratified(orders, "o_orderpriority", "o_orderstatus", "third").select("o_orderpriority", F.round("chi2", 6).alias("chi2"), "n")
+
+
+def made_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closed-form curve for each supplier: its balance sets the gap and the width of the tail."""
+    s = table(spark, sf_dir, "supplier")
+    x = F.abs("s_acctbal") % 1000 / 1000
+    grid = s.select(F.concat(F.lit("s"), "s_suppkey").alias("sample_id"), (2.4 + 0.4 * x).alias("gap"), (0.04 + 0.06 * x).alias("tail"), F.explode(F.sequence(F.lit(0), F.lit(200))).alias("i"))
+    energy = 1.4 + 0.0115 * F.col("i")
+    edge = F.when(energy > F.col("gap"), (energy - F.col("gap")) * (energy - F.col("gap")) / energy).otherwise(0.0)
+    return grid.select("sample_id", energy.alias("energy"), F.greatest(0.002 * F.exp(F.least(F.lit(0.0), (energy - F.col("gap")) / F.col("tail"))), edge).alias("absorbance"))
+
+
+@query()
+def curve_features(spark, sf_dir):
+    return curves.features(made_curves(spark, sf_dir))
+
+
+@query()
+def nested_clusters(spark, sf_dir):
+    from ..operators import clusters
+
+    found = curves.features(made_curves(spark, sf_dir)).where("status = 'ok'")
+    return clusters.nested(found, k=2).select("sample_id", "macro_cluster", "sub_cluster", "full_label")
+
+
+@query()
+def fuzzy_titles(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"))
+    return titles.fuzzy_pairs(parts, "p_partkey", "title", 0.95)

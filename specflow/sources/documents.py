@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLES = "struct<samples:array<map<string,string>>, drs_instrument:string, general_notes:string>"
@@ -65,3 +65,27 @@ def write_sections(articles: DataFrame, path: str) -> None:
 def file_samples(files: DataFrame) -> DataFrame:
     """Samples of each article, in the order of their names."""
     return files.groupBy("article_num").agg(F.array_sort(F.collect_set("sample")).alias("file_samples"))
+
+
+def with_supplement(docs: DataFrame) -> DataFrame:
+    """docs: folder, stem, text, is_supplement. Articles with supplement_text: of a supplement whose name begins with theirs, else of
+    any in their folder; the first by name. An equi-join on the folder, the best match an aggregate."""
+    articles, others = docs.where("not is_supplement"), docs.where("is_supplement").select("folder", F.col("stem").alias("_s"), F.col("text").alias("_t"))
+    ranked = articles.select("folder", "stem").join(others, "folder").withColumn("_rank", F.when(F.col("_s").startswith(F.col("stem")), 0).otherwise(1))
+    best = ranked.groupBy("folder", "stem").agg(F.min_by("_t", F.struct("_rank", "_s")).alias("supplement_text"))
+    return articles.join(best, ["folder", "stem"], "left")
+
+
+def page_of(pages: DataFrame, places: DataFrame) -> DataFrame:
+    """path, place, page: the page that holds a place of the text in which pages are joined by two line feeds.
+
+    pages: path, page, text; places: path, place (0-based).
+    """
+    by = Window.partitionBy("path").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    ends = pages.withColumn("_end", F.sum(F.length("text") + 2).over(by)).select("path", "page", "_end", (F.col("_end") - F.length("text") - 2).alias("_begin"))
+    return places.join(ends, "path").where("place >= _begin and place < _end").select("path", "place", "page")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """One JSON document for each row: features, probabilities, neighbours or statistics, as they are."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
