@@ -3,10 +3,12 @@
 1. Every text gets a fingerprint: of the 64-bit hashes of its word shingles, repeats included, each bit takes the value
    that more than half have (a tie gives 0). Wider fingerprints take further words of 64 bits from mixtures of the hash.
 2. Equal fingerprints form a class; only distinct fingerprints are compared.
-3. Candidates: each of several tables keys a fingerprint by some of its bits. For a radius r the bits are cut into r + 2
-   blocks and a table stands for each pair of blocks: two fingerprints that differ in at most r bits differ in at most r
-   blocks, so they agree in two and meet in a table. That is exact. For a radius too large for that, tables of random
-   bits are used; then a pair within the radius is missed with a small probability, which ``sampled_tables`` states.
+3. Candidates: each of several tables keys a fingerprint. For a small radius r the bits are cut into r + 2 blocks and a table
+   stands for each pair of blocks: two fingerprints that differ in at most r bits differ in at most r blocks, so they agree in
+   two and meet in a table. That is exact. For documents alike in a share j of their shingles the radius is too large for
+   that; there a table keys a document by the least of its shingles' hashes, mixed anew for each table, which two such documents
+   have in common with probability j, so n tables miss a pair with probability (1 - j) ** n. Other documents rarely meet, and the
+   number of candidates stays in proportion to the input.
 4. Fingerprints with the same key in a table form a bucket. Buckets of one are dropped after a count that combines before
    it shuffles. A bucket of more than ``BLOCK`` fingerprints is dealt into blocks, and each pair of blocks is compared by
    a task of its own, so that no bucket has to fit one task.
@@ -57,12 +59,12 @@ def mixed(h: np.ndarray, w: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints_of(texts: list[str | None], size: int, words: int = 1) -> np.ndarray:
-    """One row of ``words`` unsigned 64-bit words for each text."""
+def fingerprints_of(texts: list[str | None], size: int, words: int = 1, minima: int = 0) -> np.ndarray:
+    """One row of ``words`` unsigned 64-bit words for each text, then of as many least hashes as asked for."""
     digest = xxhash.xxh64_intdigest
     made = [shingles(t, size) for t in texts]
     n = np.array([len(x) for x in made])
-    out = np.zeros((len(texts), words), np.uint64)
+    out = np.zeros((len(texts), words + minima), np.uint64)
     some = np.flatnonzero(n)
     if not len(some):
         return out
@@ -73,20 +75,22 @@ def fingerprints_of(texts: list[str | None], size: int, words: int = 1) -> np.nd
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.uint32)
         out[some, w] = np.packbits(2 * ones.astype(np.int64) > n[some][:, None], axis=1).view(">u8")[:, 0]
+    for m in range(minima):
+        out[some, words + m] = np.minimum.reduceat(mixed(first, 1000 + m), starts)
     return out
 
 
-def fingerprint(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, words: int = 1) -> DataFrame:
-    """key, and f0, f1, ... of type bigint, for each row of ``docs``."""
+def fingerprint(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, words: int = 1, minima: int = 0) -> DataFrame:
+    """key, and f0, f1, ..., m0, m1, ... of type bigint, for each row of ``docs``."""
     bounded_batches(docs.sparkSession)
-    names = [f"f{w}" for w in range(words)]
+    names = [f"f{w}" for w in range(words)] + [f"m{m}" for m in range(minima)]
 
     def batches(stream):
         for batch in stream:
             texts = batch.column(1).to_pylist()
             for a, b in slices([t or "" for t in texts], 2 << 20):
-                f = fingerprints_of(texts[a:b], size, words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(f[:, w])) for w in range(words))], names=[key, *names])
+                f = fingerprints_of(texts[a:b], size, words, minima).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(f[:, w])) for w in range(len(names)))], names=[key, *names])
 
     return docs.select(key, text).mapInArrow(batches, f"`{key}` {dict(docs.dtypes)[key]}, " + ", ".join(f"{n} bigint" for n in names))
 
@@ -99,17 +103,6 @@ def pigeonhole_tables(radius: int, words: int = 1) -> list[list[int]]:
     return [[(a | b) >> (64 * w) & ((1 << 64) - 1) for w in range(words)] for a, b in combinations(masks, 2)]
 
 
-def sampled_tables(words: int, tables: int, bits: int, seed: int = 7) -> list[list[int]]:
-    """Tables of random bits. A pair that differs in a share p of all bits is missed with probability
-    (1 - (1 - p) ** bits) ** tables."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(tables):
-        mask = sum(1 << int(b) for b in rng.choice(64 * words, bits, replace=False))
-        out.append([mask >> (64 * w) & ((1 << 64) - 1) for w in range(words)])
-    return out
-
-
 def planes_of(f: np.ndarray) -> np.ndarray:
     """Bit planes of fingerprints: row i holds bit i of each, 64 fingerprints a word; missing ones are zeros."""
     n = len(f)
@@ -231,35 +224,37 @@ def compare(stream, words: int, radius: int):
         yield batch(found)
 
 
-def links(classes: DataFrame, *, radius: int, tables: list[list[int]], words: int = 1, block: int = BLOCK) -> DataFrame:
-    """classes: distinct rows f0, f1, ... and node, an id of each: the only word, or a hash of several. Returns links (a, b) between node ids, enough to connect all that are within the
-    radius of each other and meet in a table."""
+def links(keyed: DataFrame, prints: DataFrame, *, radius: int, words: int = 1, block: int = BLOCK) -> DataFrame:
+    """keyed: distinct (node, k), a row for each table; prints: node and f0, f1, ..., a row for each node. Returns links (a, b)
+    between nodes, enough to connect all that are within the radius of each other and share a k."""
     names = [f"f{w}" for w in range(words)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = [F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(signed(m)).cast("bigint")) for n, m in zip(names, masks, strict=True) if m)) for t, masks in enumerate(tables)]
-    carried = ["node", *names] if words == 1 else ["node"]  # wide fingerprints come back once buckets of one are gone
-    keyed = classes.select(*carried, F.explode(F.array(*keys)).alias("k"))
-    # the hash of a table's number and bits is the key; a chance meeting of two keys only adds comparisons
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     held = keyed.join(sizes, "k").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     held = held.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("k", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), *carried)
-    if words > 1:
-        dealt = dealt.join(classes.select("node", *names), "node").select("g", "node", *names)
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select(F.xxhash64("k", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "node")
+    # the only word is the node itself; wide fingerprints come back once buckets of one are gone
+    dealt = dealt.select("g", "node", F.col("node").alias("f0")) if words == 1 else dealt.join(prints, "node").select("g", "node", *names)
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "g").sortWithinPartitions("g")
     return dealt.mapInArrow(lambda stream: compare(stream, words, radius), "a bigint, b bigint")
 
 
-def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, words: int = 1, radius: int = 2, tables: list[list[int]] | None = None, block: int = BLOCK) -> DataFrame:
-    """key, f0, ..., component_id (least key of the component) for each row of ``docs``."""
+def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, words: int = 1, radius: int = 2, minima: int = 0, block: int = BLOCK) -> DataFrame:
+    """key, f0, ..., component_id (least key of the component) for each row of ``docs``. minima: tables of least hashes, instead of
+    the exact ones of the radius. A node is an id of a fingerprint: the only word, or a hash of several."""
     names = [f"f{w}" for w in range(words)]
-    made = checkpointed(fingerprint(docs, key=key, text=text, size=size, words=words))
-    classes = made.groupBy(*names).agg(F.min(key).alias("least"))
-    classes = classes.withColumn("node", F.col("f0") if words == 1 else F.xxhash64(*names))
-    edges = links(classes, radius=radius, tables=tables or pigeonhole_tables(radius, words), words=words, block=block)
-    roots = connected_components(edges)
+    made = checkpointed(fingerprint(docs, key=key, text=text, size=size, words=words, minima=minima))
+    made = made.withColumn("node", F.col("f0") if words == 1 else F.xxhash64(*names))
+    classes = made.groupBy("node", *names).agg(F.min(key).alias("least"))
+    if minima:
+        keyed = made.select("node", F.explode(F.array(*(F.xxhash64(F.lit(m), f"m{m}") for m in range(minima)))).alias("k")).distinct()
+    else:
+        signed = lambda m: m - (1 << 64) if m >> 63 else m
+        # a table's number and its bits, hashed: a chance meeting of two keys only adds comparisons
+        keys = [F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(signed(m)).cast("bigint")) for n, m in zip(names, masks, strict=True) if m)) for t, masks in enumerate(pigeonhole_tables(radius, words))]
+        keyed = classes.select("node", F.explode(F.array(*keys)).alias("k"))
+    roots = connected_components(links(keyed, classes.select("node", *names), radius=radius, words=words, block=block))
     linked = classes.select("node", "least").join(roots, "node")
     joint = linked.join(linked.groupBy("root").agg(F.min("least").alias("joint")), "root").select("node", "joint")
     known = classes.join(joint, "node", "left").select(*names, F.coalesce("joint", "least").alias("component_id"))
@@ -274,20 +269,16 @@ def simhash_links(docs: DataFrame, **options) -> DataFrame:
 
 
 #: For documents alike in at least 0.8 of their shingles of five words: fingerprints of 512 bits. A share j of common
-#: shingles is a cosine of 2 j / (1 + j), so 0.8 lets 15 % of the bits differ, 78 of 512 with a deviation of 8. 72 tables of 20
-#: random bits miss 7 % of such pairs that no third document connects, and 0.03 % of those alike in 0.9.
-ALIKE = {"size": 5, "words": 8, "radius": 84}
-
-
-def alike_tables() -> list[list[int]]:
-    return sampled_tables(ALIKE["words"], 72, 20)
+#: shingles is a cosine of 2 j / (1 + j), so 0.8 lets 15 % of the bits differ, 78 of 512 with a deviation of 8. Five tables of
+#: least hashes miss 0.03 % of such pairs.
+ALIKE = {"size": 5, "words": 8, "radius": 84, "minima": 5}
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The columns of ``docs``, with one row of each group of near duplicates: the one of the least (key, hash of text), nulls
     first. Options are those of ``components``; without any, documents alike in 0.8 of their shingles of five words are near
     duplicates. The text is shuffled once, to meet the rows that stay."""
-    options = options or ALIKE | {"tables": alike_tables()}
+    options = options or ALIKE
     keyed = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("_k"), F.col(text).alias("_t"))
     found = components(keyed, key="_k", text="_t", **options)
     stay = checkpointed(found.where(F.col("_k") == F.col("component_id")).groupBy("_k").agg(F.count("*").alias("n")).select(F.col("_k.k").alias("_stay_k"), F.col("_k.h").alias("_stay_h"), "n"))
