@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 DEPTH = 4
 #: Children from which a node may be variable, and the least ratio of its different children to its pages then.
 VARIABLE_CHILDREN, VARIABLE_RATIO = 12, 0.3
@@ -75,7 +77,8 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def generalised(found: DataFrame) -> DataFrame:
-    """Adds t, the segments with those of variable nodes made wildcards, level by level."""
+    """Adds t, the segments with those of variable nodes made wildcards, level by level. A level uses its rows twice, so they are
+    checkpointed: the plan would double with each level."""
     out = found.withColumn("t", F.col("segs"))
     for level in range(1, DEPTH + 1):
         out = out.withColumn("_up", F.slice("t", 1, level - 1)).withColumn("_seg", F.get("t", F.lit(level - 1)))
@@ -85,6 +88,7 @@ def generalised(found: DataFrame) -> DataFrame:
         variable = nodes.where((F.col("kinds") >= VARIABLE_CHILDREN) & (F.col("kinds") >= VARIABLE_RATIO * F.col("pages"))).select("host", "_up", F.lit(True).alias("_variable"))
         out = out.join(variable, ["host", "_up"], "left")
         out = out.withColumn("t", F.when(F.col("_variable") & literal, _star(level)).otherwise(F.col("t"))).drop("_up", "_seg", "_variable")
+        out = checkpointed(out)
     return out
 
 
@@ -102,7 +106,7 @@ def judged(found: DataFrame) -> DataFrame:
     pooled = F.try_divide("fb", "fl")
     spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), F.col("fl"))))
     z = F.try_divide(F.try_divide("bad", "labelled") - pooled, spread)
-    by = by.withColumn("alike", F.coalesce(F.abs(z) < Z_LIMIT, F.lit(True)))
+    by = checkpointed(by.withColumn("alike", F.coalesce(F.abs(z) < Z_LIMIT, F.lit(True))))
     alike = by.where("alike").groupBy("host", "up", "depth").agg(F.sum("labelled").alias("ml"), F.sum("bad").alias("mb"))
     by = by.join(alike, ["host", "up", "depth"], "left").crossJoin(F.broadcast(total))
     labelled, bad = (F.when(F.col("alike"), F.col(m)).otherwise(F.col(o)) for m, o in (("ml", "labelled"), ("mb", "bad")))
@@ -130,7 +134,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], *, key:
     base = pages.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"))
     marks = labels.groupBy(F.col(key).alias("_label_key")).agg(F.max("bad").alias("bad"))
     marked = base.join(marks, F.col("_key") == F.col("_label_key"), "left")
-    tree = judged(generalised(templates(marked)))
+    tree = judged(generalised(checkpointed(templates(marked))))
     seen = base.withColumn("segs", segments(F.col("path"))).join(tree, ["host", "segs"], "left")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     own = F.when(F.coalesce("rejected", F.lit(False)), "block").otherwise("allow")
