@@ -82,12 +82,13 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             which = np.searchsorted(ends, at, "right")
             place = at - starts[which] + np.array([x[1] for x in group])[which]
             owner = np.array([x[0] for x in group])[which]
-            new = (np.diff(owner, prepend=-1) != 0) | (np.diff(place, prepend=-1) > 0)  # pieces overlap
-            out.append((owner[new], place[new]))
+            out.append((owner, place))
             group, size = [], 0
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    owner, place = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    new = (np.diff(owner, prepend=-1) != 0) | (np.diff(place, prepend=-1) > 0)  # pieces overlap, those of two groups too
+    return owner[new], place[new]
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:

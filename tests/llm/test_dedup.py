@@ -170,3 +170,9 @@ def test_anchors_of_pieces_equal_those_of_the_whole(monkeypatch):
     whole = suffix_dedup.anchors([text])[1].tolist()
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     assert suffix_dedup.anchors([text])[1].tolist() == whole
+
+
+def test_unique_text_of_several_pieces_stays(spark):
+    text = np.random.default_rng(2).integers(97, 123, (2 << 20) + 5000).astype(np.uint8).tobytes().decode()
+    got = rows_of(suffix_dedup.digest(spark.createDataFrame([(1, text), (2, "short")], "doc_id bigint, text string")))
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got} == {1: (len(text), 0, 0), 2: (5, 0, 0)}
