@@ -39,20 +39,61 @@ def exact_groups(docs: DataFrame, key: str, title: str) -> DataFrame:
     return named.join(groups, "t").select(F.col("k").alias(key), "duplicate_of", "size")
 
 
+#: Letters of a normalised title, and how many of each have a bit of their own.
+LETTERS, OWN = "abcdefghijklmnopqrstuvwxyz0123456789 ", 6
+
+
+def marked(titles: DataFrame, least: float) -> DataFrame:
+    """titles: t, different ones. Adds size, the prefix of tokens, and bits and over, which bound what two titles share.
+
+    A token is a letter and which of its kind it is in the title, so two titles share as many tokens as letters, repeats counted.
+    """
+    tokens = titles.select("t", F.explode(F.split("t", "")).alias("c")).where("c <> ''").groupBy("t", "c").agg(F.count("*").alias("n"))
+    tokens = tokens.select("t", "c", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("i"))
+    df = tokens.groupBy("c", "i").agg(F.count("*").alias("df"))
+    place = F.instr(F.lit(LETTERS), F.col("c")) - 1 + F.lit(len(LETTERS)) * (F.col("i") - 1)
+    own = (F.col("i") <= OWN) & (place >= 0)
+    bits = [F.coalesce(F.bit_or(F.when(own & (F.floor(place / 64) == k), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int")))), F.lit(0).cast("bigint")).alias(f"b{k}") for k in range(-(-len(LETTERS) * OWN // 64))]
+    rows = tokens.join(df, ["c", "i"]).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("df", "c", "i"))).alias("all"), *bits, F.count_if(~own).alias("over"))
+    # a partner has least / (2 - least) of the letters or more, and shares as many: one token of the rest is among the rarest
+    kept = F.size("all") - F.ceil(least / (2 - least) * F.size("all") - 1e-9).cast("int") + 1
+    return rows.withColumn("size", F.size("all")).withColumn("prefix", F.slice("all", 1, F.least(F.size("all"), kept))).drop("all")
+
+
+def alike_titles(titles: DataFrame, least: float) -> DataFrame:
+    """t, t2, forth, back: pairs of different titles, t < t2, alike in ``least`` one way at least, and both ratios.
+
+    Candidates are exact. Matching blocks hold no more letters than both titles have, so a pair needs that many tokens in common:
+    it then shares one of the rarest of each (prefix filter), which a join finds; lengths and counts of letters leave fewer.
+    """
+    rows = marked(titles, least)
+    held = [c for c in rows.columns if c != "prefix"]
+    a = rows.select(*held, "prefix", F.explode("prefix").alias("w"))
+    b = a.select(*(F.col(c).alias(c + "2") for c in [*held, "prefix"]), "w")
+    common = F.least("over", "over2")
+    for c in held:
+        if c.startswith("b"):
+            common = common + F.bit_count(F.col(c).bitwiseAND(F.col(c + "2")))
+    need = least * (F.col("size") + F.col("size2")) - 1e-9
+    pairs = a.join(b, "w").where("t < t2").where((2 * F.least("size", "size2") >= need) & (2 * common >= need))
+    # a pair meets at each token that both prefixes have: the first one counts
+    pairs = pairs.where(F.array_min(F.array_intersect("prefix", "prefix2")) == F.col("w")).select("t", "t2")
+    pairs = pairs.withColumn("forth", similarity("t", "t2")).withColumn("back", similarity("t2", "t"))
+    return pairs.where((F.col("forth") >= least) | (F.col("back") >= least))
+
+
 def fuzzy_pairs(docs: DataFrame, key: str, title: str, least: float = 0.85) -> DataFrame:
-    """Pairs of titles alike in at least ``least``, the smaller key first.
+    """Pairs of titles alike in at least ``least``, the smaller key first: all of them, however common their words are.
 
-    Candidates share a word that is not among the commonest (in more than a tenth of the titles or 1,000 of them) or the first
-    two words; and lengths must allow the ratio. What the commonest words alone connect is not a candidate.
+    Equal titles are one class; classes are compared once, and their pairs of rows are written out at the end.
     """
     named = docs.select(F.col(key).alias("k"), normalise(clean(F.col(title))).alias("t")).where("t is not null and t <> ''")
-    words = named.select("k", "t", F.explode(F.array_distinct(F.concat(F.split("t", " "), F.array(F.concat(F.lit("^"), F.substring_index("t", " ", 2)))))).alias("w"))
-    n = named.agg(F.count("*").alias("n"))
-    rare = words.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where("df > 1 and df <= greatest(50, least(1000, n / 10))").select("w")
-    a = words.join(rare, "w")
-    b = a.select(F.col("k").alias("k2"), F.col("t").alias("t2"), "w")
-    pairs = a.join(b, "w").where("k < k2").where(2 * F.least(F.length("t"), F.length("t2")) >= least * (F.length("t") + F.length("t2"))).select("k", "k2", "t", "t2").distinct()
-    return pairs.withColumn("similarity", similarity("t", "t2")).where(F.col("similarity") >= least).select(F.col("k").alias("a"), F.col("k2").alias("b"), "similarity")
+    other = named.select(F.col("k").alias("k2"), F.col("t").alias("t2"))
+    equal = named.join(other, F.col("t") == F.col("t2")).where("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b"), F.lit(1.0).alias("similarity"))
+    rows = alike_titles(named.select("t").distinct(), least).join(named, "t").join(other, "t2").where("k <> k2")
+    ratio = F.when(F.col("k") < F.col("k2"), F.col("forth")).otherwise(F.col("back"))  # the ratio depends on which comes first
+    near = rows.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), ratio.alias("similarity")).where(F.col("similarity") >= least)
+    return equal.unionByName(near)
 
 
 def star_groups(pairs: DataFrame) -> DataFrame:

@@ -395,4 +395,4 @@ def nested_clusters(spark, sf_dir):
 @query()
 def fuzzy_titles(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"))
-    return titles.fuzzy_pairs(parts, "p_partkey", "title", 0.95)
+    return titles.fuzzy_pairs(parts, "p_partkey", "title", 0.85)

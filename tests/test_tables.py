@@ -81,3 +81,24 @@ def test_flattening(spark):
     df = spark.createDataFrame([("a", '{"samples": [{"m": "x"}, {"m": "y"}], "drs_instrument": "d"}'), ("b", "no json"), ("c", '{"samples": []}')], "article_id string, response string")
     got = [(r["article_id"], r["extraction_status"], r["sample_index"], r["m"]) for r in tags.flattened(df, "samples array<struct<m:string>>, drs_instrument string, general_notes string").orderBy("article_id", "sample_index").collect()]
     assert got == [("a", "success", 0, "x"), ("a", "success", 1, "y"), ("b", "error", None, None), ("c", "no_samples", None, None)]
+
+
+def test_fuzzy_titles_equal_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, " ".join([rng.choice(["old", "cold", "hot", "blue"]), rng.choice(["plate", "plates", "ring"]), "standard brand", str(rng.randint(1, 25))])) for i in range(250)]
+    rows += [(1000 + i, "zzzzzzzzzzzz aaaaaaaaa " + "b" * (i % 5)) for i in range(10)] + [(2000, None), (2001, "x.pdf")]
+    frame = spark.createDataFrame(rows * 1, "id int, title string")
+    plain = [(k, " ".join(t.split())) for k, t in rows[:-2]]
+    for least in (0.95, 0.85):
+        want = {}
+        for i, (a, s) in enumerate(plain):
+            for b, t in plain[i + 1 :]:
+                ratio = SequenceMatcher(None, s, t).ratio()
+                if ratio >= least:
+                    want[a, b] = round(ratio, 9)
+        got = [((r["a"], r["b"]), round(r["similarity"], 9)) for r in titles.fuzzy_pairs(frame, "id", "title", least).collect()]
+        assert len(got) == len(want) and dict(got) == want
