@@ -1,7 +1,7 @@
 """URL filters by a path-template tree, with DataFrame functions only.
 
 1. A path's segments are generalised one by one: digits, digits with an extension, hexadecimal and long mixed segments
-   become classes of wildcards; others stay literal. Segments beyond ``DEPTH`` are one wildcard.
+   become classes of wildcards; others stay literal. Paths keep all their segments.
 2. Pages are summed by host and generalised path. From here on tables hold one row for a host's template, not for a page.
 3. Level by level, a node whose literal children are many and hardly repeat is variable: its children become ``*``.
 4. Siblings whose labelled shares do not differ from their parent's beyond chance (a z test of two shares) are merged: they
@@ -19,12 +19,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-DEPTH = 4
 #: Children from which a node may be variable, and the least ratio of its different children to its pages then.
 VARIABLE_CHILDREN, VARIABLE_RATIO = 12, 0.3
 #: Limit of z for merging siblings, pages that smooth a purity, and the purity that rejects.
@@ -58,7 +57,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """Generalised segments of a path, DEPTH at most."""
+    """Generalised segments of a path."""
 
     def wild(s: Column) -> Column:
         return (
@@ -66,9 +65,7 @@ def segments(path: Column) -> Column:
             .when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), "{hex}").when((F.length(s) >= 24) & s.rlike("[0-9]"), "{mixed}").otherwise(s)
         )
 
-    parts = F.array_remove(F.split(path, "/"), "")
-    made = F.transform(F.slice(parts, 1, DEPTH), wild)
-    return F.when(F.size(parts) > DEPTH, F.concat(made, F.array(F.lit("**")))).otherwise(made)
+    return F.transform(F.array_remove(F.split(path, "/"), ""), wild)
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -76,11 +73,18 @@ def templates(pages: DataFrame) -> DataFrame:
     return pages.groupBy("host", segments(F.col("path")).alias("segs")).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
 
 
+def deepest(found: DataFrame, least: int) -> int:
+    """The greatest depth at which a host has ``least`` templates; below it no node has that many children."""
+    per = found.groupBy("host", F.size("segs").alias("depth")).agg(F.count("*").alias("n"))
+    below = per.withColumn("n", F.sum("n").over(Window.partitionBy("host").orderBy(F.desc("depth"))))
+    return below.where(F.col("n") >= least).agg(F.max("depth")).first()[0] or 0
+
+
 def generalised(found: DataFrame) -> DataFrame:
     """Adds t, the segments with those of variable nodes made wildcards, level by level. A level uses its rows twice, so they are
     checkpointed: the plan would double with each level."""
     out = found.withColumn("t", F.col("segs"))
-    for level in range(1, DEPTH + 1):
+    for level in range(1, deepest(found, VARIABLE_CHILDREN) + 1):
         out = out.withColumn("_up", F.slice("t", 1, level - 1)).withColumn("_seg", F.get("t", F.lit(level - 1)))
         literal = F.col("_seg").isNotNull() & ~F.col("_seg").startswith("{")
         children = out.where(literal).groupBy("host", "_up", "_seg").agg(F.sum("n").alias("n"))

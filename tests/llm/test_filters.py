@@ -197,3 +197,11 @@ def test_url_templates(spark):
     assert got[35]["verdict"] == "block" and got[135]["verdict"] == "allow" and got[200]["verdict"] == "allow"
     assert got[35]["purity"] == pytest.approx((30 + 10 * 0.5) / 40)
     assert pages.select(F.count("*")).first()[0] == 81
+
+
+def test_url_segments_count_to_the_end_of_the_path(spark):
+    rows = [(1000 * k + i, f"http://h.com/2024/05/12/shop/{b}/{i}") for k, b in enumerate(("spam", "news")) for i in range(40)] + [(5000, "http://h.com/" + "s/" * 300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(1000 + i, 0) for i in range(30)], "page_id bigint, bad int")
+    got = {r["page_id"]: r["verdict"] for r in rows_of(urls.filter_urls(pages, labels, []))}
+    assert got[35] == "block" and got[1035] == "allow" and got[5000] == "allow" and len(got) == len(rows)
