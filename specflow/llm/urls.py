@@ -5,7 +5,9 @@
 2. Pages are summed by host and generalised path. From here on tables hold one row for a host's template, not for a page.
 3. Level by level, a node whose literal children are many and hardly repeat is variable: its children become ``*``.
 4. Siblings whose labelled shares do not differ from their parent's beyond chance (a z test of two shares) are merged: they
-   are judged on their pooled counts. A branch that differs stands by itself.
+   are judged on their pooled counts. A branch that differs stands by itself. Leaves are merged first, then inner branches
+   level by level up to the host, by the sums of all below them; inner branches that differ are compared once more with those
+   that differ the same way. Leaves that fall together so are pooled if they pass the same test.
 5. A template is rejected if its purity, the share of its labelled pages that are bad, smoothed by ``WEIGHT`` pages of the
    corpus-wide share, reaches ``REJECT``. A template without a labelled page is not rejected.
 6. Explicit rules on host and path come before the tree; the longest that fits wins.
@@ -28,6 +30,8 @@ from .common import checkpointed
 VARIABLE_CHILDREN, VARIABLE_RATIO = 12, 0.3
 #: Limit of z for merging siblings, pages that smooth a purity, and the purity that rejects.
 Z_LIMIT, WEIGHT, REJECT = 1.96, 10.0, 0.5
+#: Beginning of the segment of merged siblings: no segment of a path has a slash.
+MERGED = "/*"
 
 
 @dataclass(frozen=True)
@@ -100,24 +104,56 @@ def _star(level: int) -> Column:
     return F.transform("t", lambda s, i: F.when(i == level - 1, F.lit("*")).otherwise(s))
 
 
-def judged(found: DataFrame) -> DataFrame:
-    """found: as ``generalised`` has it. Returns host, segs, template, purity, rejected."""
-    total = found.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).select(F.coalesce(F.try_divide("b", "l"), F.lit(0.0)).alias("prior"))
-    by = found.groupBy("host", "t").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+def alike(labelled: Column, bad: Column, all_labelled: Column, all_bad: Column) -> Column:
+    """Whether a branch's labelled share does not differ from its family's beyond chance."""
+    pooled = F.try_divide(all_bad, all_labelled)
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), labelled) + F.try_divide(F.lit(1.0), all_labelled)))
+    return F.coalesce(F.abs(F.try_divide(F.try_divide(bad, labelled) - pooled, spread)) < Z_LIMIT, F.lit(True))
+
+
+def merged_leaves(by: DataFrame) -> DataFrame:
+    """by: host, t, labelled, bad. Adds m, t with the last segment of leaves alike MERGED."""
     by = by.withColumn("up", F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))).withColumn("depth", F.size("t"))
     family = by.groupBy("host", "up", "depth").agg(F.sum("labelled").alias("fl"), F.sum("bad").alias("fb"))
     by = by.join(family, ["host", "up", "depth"])
-    pooled = F.try_divide("fb", "fl")
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), F.col("fl"))))
-    z = F.try_divide(F.try_divide("bad", "labelled") - pooled, spread)
-    by = checkpointed(by.withColumn("alike", F.coalesce(F.abs(z) < Z_LIMIT, F.lit(True))))
-    alike = by.where("alike").groupBy("host", "up", "depth").agg(F.sum("labelled").alias("ml"), F.sum("bad").alias("mb"))
-    by = by.join(alike, ["host", "up", "depth"], "left").crossJoin(F.broadcast(total))
-    labelled, bad = (F.when(F.col("alike"), F.col(m)).otherwise(F.col(o)) for m, o in (("ml", "labelled"), ("mb", "bad")))
-    by = by.withColumn("purity", (bad + WEIGHT * F.col("prior")) / (labelled + WEIGHT))
-    name = F.concat(F.lit("/"), F.array_join(F.when(F.col("alike") & (F.col("depth") > 0), F.concat("up", F.array(F.lit("*")))).otherwise(F.col("t")), "/"))
-    by = by.select("host", "t", name.alias("template"), "purity", ((F.col("purity") >= REJECT) & (labelled > 0)).alias("rejected"))
-    return found.select("host", "segs", "t").join(by, ["host", "t"]).drop("t")
+    same = alike(F.col("labelled"), F.col("bad"), F.col("fl"), F.col("fb")) & (F.col("depth") > 0)
+    return checkpointed(by.select("host", "t", "labelled", "bad", F.when(same, F.concat("up", F.array(F.lit(MERGED)))).otherwise(F.col("t")).alias("m")))
+
+
+def merged_branches(by: DataFrame, level: int) -> DataFrame:
+    """Makes the segment at ``level`` MERGED where two inner branches or more are alike, and pools the leaves that then have one
+    template where they are alike too. The rest keep what they had."""
+    sums = [F.sum("labelled").alias("l"), F.sum("bad").alias("b")]
+    inner = by.where(F.size("m") > level)
+    node = [F.slice("m", 1, level - 1).alias("up"), F.get("m", F.lit(level - 1)).alias("seg")]
+    nodes = inner.groupBy("host", *node).agg(*sums)
+    family = nodes.groupBy("host", "up").agg(F.count("*").alias("kinds"), F.sum("l").alias("fl"), F.sum("b").alias("fb")).where("kinds > 1")
+    # those that differ are compared with each other again, the ones above their family's share and the ones below it
+    side = F.when(alike(F.col("l"), F.col("b"), F.col("fl"), F.col("fb")), F.lit(0.0)).otherwise(F.signum(F.try_divide("b", "l") - F.try_divide("fb", "fl")))
+    tested = checkpointed(nodes.join(family, ["host", "up"]).select("host", "up", "seg", "l", "b", side.alias("side")))
+    group = tested.groupBy("host", "up", "side").agg(F.sum("l").alias("fl"), F.sum("b").alias("fb"))
+    like = tested.join(group, ["host", "up", "side"]).where((F.col("side") == 0) | alike(F.col("l"), F.col("b"), F.col("fl"), F.col("fb")))
+    several = like.groupBy("host", "up", "side").agg(F.count("*").alias("kinds")).where("kinds > 1").select("host", "up", "side")
+    chosen = like.join(several, ["host", "up", "side"]).select("host", "up", "seg", F.concat(F.lit(MERGED), F.when(F.col("side") > 0, "+").when(F.col("side") < 0, "-").otherwise("")).alias("_as"))
+    # the templates, one row for each m, with what they would become
+    made = F.transform("m", lambda s, i: F.when(i == level - 1, F.col("_as")).otherwise(s))
+    new = checkpointed(inner.groupBy("host", "m").agg(*sums).select("*", *node).join(chosen, ["host", "up", "seg"]).select("host", "m", made.alias("new"), "l", "b"))
+    pool = new.groupBy("host", "new").agg(F.sum("l").alias("fl"), F.sum("b").alias("fb"))
+    moved = new.join(pool, ["host", "new"]).where(alike(F.col("l"), F.col("b"), F.col("fl"), F.col("fb"))).select("host", "m", "new")
+    return checkpointed(by.join(moved, ["host", "m"], "left").withColumn("m", F.coalesce("new", "m")).drop("new"))
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """found: as ``generalised`` has it. Returns host, segs, template, purity, rejected."""
+    total = found.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).select(F.coalesce(F.try_divide("b", "l"), F.lit(0.0)).alias("prior"))
+    by = merged_leaves(found.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
+    for level in range(deepest(found, 2) - 1, 0, -1):
+        by = merged_branches(by, level)
+    pools = by.groupBy("host", "m").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(total))
+    pools = pools.withColumn("purity", (F.col("bad") + WEIGHT * F.col("prior")) / (F.col("labelled") + WEIGHT))
+    name = F.concat(F.lit("/"), F.array_join(F.transform("m", lambda s: F.when(s.startswith(MERGED), F.lit("*")).otherwise(s)), "/"))
+    pools = pools.select("host", "m", name.alias("template"), "purity", ((F.col("purity") >= REJECT) & (F.col("labelled") > 0)).alias("rejected"))
+    return found.select("host", "segs", "t").join(by.select("host", "t", "m").join(pools, ["host", "m"]), ["host", "t"]).drop("t", "m")
 
 
 def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:

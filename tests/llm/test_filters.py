@@ -199,6 +199,18 @@ def test_url_templates(spark):
     assert pages.select(F.count("*")).first()[0] == 81
 
 
+def test_url_branches_merge_up_to_the_host(spark):
+    rows = [(100 * k + i, f"http://split.com/{b}/{i}") for k, b in enumerate("abc") for i in range(5)]
+    rows += [(1000 + i, f"http://split.com/fine/{i}") for i in range(40)] + [(2000 + i, f"http://good.com/x/{i}") for i in range(20)]
+    rows += [(3000 + 10 * k + i, f"http://deep.com/{b}/y/z/{i}") for k, b in enumerate("abc") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, 1) for k in range(3) for j in range(3) for i in (100 * k + j, 3000 + 10 * k + j)] + [(1000 + i, 0) for i in range(36)] + [(2000 + i, 0) for i in range(18)], "page_id bigint, bad int")
+    got = {r["page_id"]: r for r in rows_of(urls.filter_urls(pages, labels, []))}
+    for i in (4, 104, 204, 3004, 3014, 3024):
+        assert got[i]["verdict"] == "block" and got[i]["purity"] == pytest.approx((9 + 10 * 0.25) / 19)
+    assert got[1038]["verdict"] == got[2019]["verdict"] == "allow" and got[4]["template"] == "/*/*"
+
+
 def test_url_segments_count_to_the_end_of_the_path(spark):
     rows = [(1000 * k + i, f"http://h.com/2024/05/12/shop/{b}/{i}") for k, b in enumerate(("spam", "news")) for i in range(40)] + [(5000, "http://h.com/" + "s/" * 300)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string")
