@@ -7,7 +7,8 @@ between documents of different languages. Forward-backward gives each word's dis
 prediction is the language with the highest mean over its words, its score that mean.
 
 Fitting uses at most about ``SAMPLE`` documents of each language, of each a run of ``RUN`` words, a documented bound: a
-share of the documents is taken by the hash of their id. Texts are scored whole. Texts are packed by time step and
+share of the documents is taken by the hash of their id. Beyond ``LANGUAGES`` languages each has fewer documents and the table
+of weights fewer slots, ``LEAST`` documents and 2 ** 12 slots at least: no language is left out. Texts are scored whole. Texts are packed by time step and
 processed together, so a step serves all texts that are that long.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text if there was nothing to learn from.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, slices
 
-#: Documents of a language, words of a run, and languages that a model is fitted on.
-SAMPLE, RUN, LANGUAGES = 1200, 64, 64
+#: Documents of a language, words of a run, languages from which each has fewer documents, and how many it has then at least.
+SAMPLE, RUN, LANGUAGES, LEAST = 1200, 64, 64, 16
 BITS = 17
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -110,12 +111,17 @@ class Model:
         self.known: dict[str, int] = {}
         self.scores = np.empty((1 << 14, len(self.languages)), np.float32)
 
+    @property
+    def shift(self) -> int:
+        """Feature slots are numbered for the largest table: how many bits fewer this one has."""
+        return BITS - (len(self.weights).bit_length() - 1)
+
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), len(self.languages)), np.float32)
         for at, slots in indices(words):
-            step = max(1, (1 << 20) // slots.shape[1])
+            step = max(1, (1 << 20) // (slots.shape[1] * max(1, len(self.languages) // LANGUAGES)))
             for i in range(0, len(at), step):
-                out[at[i : i + step]] = self.weights[slots[i : i + step]].sum(1)
+                out[at[i : i + step]] = self.weights[slots[i : i + step] >> self.shift].sum(1)
         return out
 
     def rows(self, words: list[str], most: int = 400_000) -> np.ndarray:
@@ -170,8 +176,9 @@ def train(runs: list[list[str]], label: np.ndarray, languages: list[str], epochs
     """Maximum conditional likelihood by Adagrad."""
     rng = np.random.default_rng(23)
     made, n = sequences(runs, label, rng), len(languages)
-    model = Model(languages, np.zeros((1 << BITS, n), np.float32), np.zeros((n, n)))
-    square, move_square = np.full((1 << BITS, n), 1e-4, np.float32), np.full((n, n), 1e-4)
+    size = 1 << max(12, BITS - (max(0, n - 1) // LANGUAGES).bit_length())
+    model = Model(languages, np.zeros((size, n), np.float32), np.zeros((n, n)))
+    square, move_square = np.full((size, n), 1e-4, np.float32), np.full((n, n), 1e-4)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(made)), max(1, -(-len(made) // batch))):
             chosen = sorted((made[i] for i in part), key=lambda x: -len(x[0]))
@@ -181,7 +188,7 @@ def train(runs: list[list[str]], label: np.ndarray, languages: list[str], epochs
             active, begin, place = packed(lengths)
             y = np.empty(len(back), np.int64)
             y[place] = [c for x in chosen for c in x[1]]
-            slots = indices(words)
+            slots = [(at, s >> model.shift) for at, s in indices(words)]
             score = np.empty((len(words), n), np.float32)
             for at, s in slots:
                 score[at] = model.weights[s].sum(1)
@@ -195,14 +202,13 @@ def train(runs: list[list[str]], label: np.ndarray, languages: list[str], epochs
             move_grad, t = np.zeros((n, n)), np.exp(model.move)
             for k in range(1, len(active)):
                 now, before = slice(begin[k], begin[k] + active[k]), slice(begin[k - 1], begin[k - 1] + active[k])
-                pair = a[before][:, :, None] * t[None] * (e[now] * b[now])[:, None, :]
-                pair /= pair.sum((1, 2), keepdims=True)
-                move_grad -= pair.sum(0)
+                left, right = a[before], e[now] * b[now]
+                move_grad -= t * ((left / ((left @ t) * right).sum(1, keepdims=True)).T @ right)
                 np.add.at(move_grad, (y[before], y[now]), 1)
             by_word = np.stack([np.bincount(back, grad[place, j], len(words)) for j in range(n)], 1)
             flat = np.concatenate([s.ravel() for _, s in slots])
             share = np.concatenate([np.repeat(by_word[at], s.shape[1], axis=0) for at, s in slots])
-            total = np.stack([np.bincount(flat, share[:, j], 1 << BITS) for j in range(n)], 1) / len(chosen) - ridge * model.weights
+            total = np.stack([np.bincount(flat, share[:, j], size) for j in range(n)], 1) / len(chosen) - ridge * model.weights
             square += total**2
             model.weights += (rate * total / np.sqrt(square)).astype(np.float32)
             move_grad /= len(chosen)
@@ -215,12 +221,13 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     """Fits on the rows that it is given; held-out ones must not be among them."""
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()}
+    counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((1, 0), np.float32), np.zeros((0, 0)))
-    share = F.coalesce(*(F.when(F.col(lang) == k, F.lit(min(1.0, most / n))) for k, n in counts.items()))
+    each = min(most, max(LEAST, most * LANGUAGES // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "_of string, _share double")
     spread = F.pmod(F.xxhash64(F.col(key), F.lit(29)), F.lit(1 << 30)) / (1 << 30)
-    chosen = rows.where(spread < share).select(F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(key), F.lit(31)), F.lit(1 << 20)).alias("at"), F.col(text).alias("t"))
+    chosen = rows.join(F.broadcast(shares), F.col(lang) == F.col("_of")).where(spread < F.col("_share")).select(F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(key), F.lit(31)), F.lit(1 << 20)).alias("at"), F.col(text).alias("t"))
 
     def runs(stream):
         for batch in stream:

@@ -7,7 +7,7 @@ judged by distance, one with fewer than ``MIN_COMMON`` words not by its common w
 language is compared to the characters of all documents together.
 
 Null texts count as empty: no words, so the base rules reject them. Repeated rows are judged alike. References are sums
-over all documents; what reaches the driver is one row for each language, of the commonest ``MAX_LANGS``.
+over all documents, and a table with one row for each language; what reaches the driver is one row, that of all documents.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import scratch
+
 #: Least words and characters for the classes of characters, words for the common words, documents of a reference.
-MIN_WORDS, MIN_CHARS, MIN_COMMON, MIN_DOCS, MAX_LANGS = 50, 200, 100, 20, 200
+MIN_WORDS, MIN_CHARS, MIN_COMMON, MIN_DOCS = 50, 200, 100, 20
 #: Limits of the distances of character classes and of common words.
 CHAR_LIMIT, WORD_LIMIT = 0.25, 0.33
 #: The white space between words, symbols.
@@ -77,28 +79,31 @@ def shares(counts: list[float]) -> Column:
     return F.array(*(F.lit(x / sum(counts)) for x in counts)) if sum(counts) else F.lit(None).cast("array<double>")
 
 
-def references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> dict:
-    """For each language, and for all documents under None: sums of the histograms, as {lang: (chars, common)}."""
+def references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tuple[DataFrame, list[float]]:
+    """Shares of each language with enough documents (_ref_lang, _own_chars, _own_common), and the character counts of all
+    documents. The table is written to the shared folder: its size is known then, and the join with it planned by that."""
     counted = with_common(with_counts(docs.select(text, lang), text), lang)
     sums = [F.sum(F.get("_chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
     longest = max(map(len, COMMON.values())) + 1
     sums += [F.sum(F.get("_common", F.lit(i))).alias(f"w{i}") for i in range(longest)]
-    rows = counted.groupBy(lang).agg(F.count("*").alias("n"), *sums).orderBy(F.desc("n")).limit(MAX_LANGS).collect()
-    out = {}
-    for r in rows:
-        chars, common = [r[f"c{i}"] or 0.0 for i in range(len(CLASSES))], [r[f"w{i}"] for i in range(longest) if r[f"w{i}"] is not None]
-        all_chars = [a + b for a, b in zip(out.get(None, ([0.0] * len(CLASSES), []))[0], chars, strict=True)]
-        out[None] = (all_chars, [])
-        if r[lang] is not None and r["n"] >= MIN_DOCS:
-            out[r[lang]] = (chars, common)
-    return out
-
-
-def judge(docs: DataFrame, refs: dict, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    at = scratch(docs.sparkSession, "references")
+    counted.groupBy(F.col(lang).alias("_ref_lang")).agg(F.count("*").alias("n"), *sums).write.parquet(at)
+    by = docs.sparkSession.read.parquet(at)
+    total = by.agg(*(F.sum(f"c{i}") for i in range(len(CLASSES)))).first()
+    # a language without a list of common words has no counts of them
+    by = by.where((F.col("n") >= MIN_DOCS) & F.col("_ref_lang").isNotNull())
+    common = F.filter(F.array(*(f"w{i}" for i in range(longest))), lambda x: x.isNotNull())
+    by = by.select("_ref_lang", F.array(*(f"c{i}" for i in range(len(CLASSES)))).alias("_c"), common.alias("_w"))
+    return with_shares(with_shares(by, "_c", "_own_chars"), "_w", "_own_common").drop("_c", "_w"), [x or 0.0 for x in total]
+
+
+def judge(docs: DataFrame, refs: tuple[DataFrame, list[float]], *, text: str = "text", lang: str = "lang") -> DataFrame:
     """The columns of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
     word_distance, kept."""
     names = docs.columns
+    own, every = refs
     clean = docs.select(*(F.col(c) for c in names), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    clean = clean.join(own, F.col("_lang") == F.col("_ref_lang"), "left")
     out = with_common(with_counts(clean, "_text"), "_lang")
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.size("_words")
@@ -119,15 +124,9 @@ def judge(docs: DataFrame, refs: dict, *, text: str = "text", lang: str = "lang"
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"), "n_repeat_words": covered,
         }
     )
-    chars = shares(refs.get(None, ([0.0], []))[0])
-    common = F.lit(None).cast("array<double>")
-    for name, (c, w) in refs.items():
-        if name is not None:
-            chars = F.when(F.col("_lang") == name, shares(c)).otherwise(chars)
-            if w:
-                common = F.when(F.col("_lang") == name, shares(w)).otherwise(common)
+    chars = F.when(F.col("_ref_lang").isNotNull(), F.col("_own_chars")).otherwise(shares(every))
     out = with_shares(with_shares(out, "_chars", "_char_shares"), "_common", "_common_shares")
-    out = out.withColumn("_ref_chars", chars).withColumn("_ref_common", common)
+    out = out.withColumn("_ref_chars", chars).withColumn("_ref_common", F.col("_own_common"))
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     long = (F.col("n_words") >= MIN_WORDS) & (F.col("_n0") >= MIN_CHARS)
     out = out.withColumn("char_distance", F.when(long, distance(F.col("_char_shares"), F.col("_ref_chars"))))

@@ -217,3 +217,23 @@ def test_url_segments_count_to_the_end_of_the_path(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(1000 + i, 0) for i in range(30)], "page_id bigint, bad int")
     got = {r["page_id"]: r["verdict"] for r in rows_of(urls.filter_urls(pages, labels, []))}
     assert got[35] == "block" and got[1035] == "allow" and got[5000] == "allow" and len(got) == len(rows)
+
+
+def test_quality_has_a_reference_for_every_language(spark):
+    rng = random.Random(6)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(60))
+    rows = [(i, text("abcdefgh"), f"l{i // 21}") for i in range(21 * 200)] + [(10_000 + i, text("ABCDEFGH"), "zz") for i in range(20)] + [(20_000, text("ABCDEFGH"), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in rows_of(quality.quality(docs).where("doc_id >= 10000"))}
+    assert all(kept[10_000 + i] for i in range(20)) and not kept[20_000]
+
+
+def test_no_language_is_left_out(spark):
+    rng = random.Random(7)
+    own = {f"l{k:02d}": [chr(0x4E00 + 20 * k + j) * 2 for j in range(6)] for k in range(70)}
+    rows = [(10 * k + i, " ".join(rng.choice(own[name]) for _ in range(30)), name) for k, name in enumerate(own) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == sorted(own)
+    got = {r["doc_id"]: r["lang_pred"] for r in rows_of(langid.predict(docs, model))}
+    assert sum(got[i] == name for i, _, name in rows) / len(rows) > 0.95
