@@ -283,6 +283,12 @@ def normalise_title(spark, sf_dir):
     return docs.select("doc_id", titles.normalise(F.substring_index("text", "\n", 1)).alias("title"))
 
 
+@query()
+def normalise_text(spark, sf_dir):
+    """Whole texts of all documents. SQL's lower-casing and white space differ on other scripts: tests hold it to brute force."""
+    return table(spark, sf_dir, "documents").select("doc_id", titles.normalise(F.col("text")).alias("title"))
+
+
 @query("SELECT doc_id, duplicate_of, size FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS duplicate_of, count(*) OVER (PARTITION BY text) AS size FROM documents) WHERE size > 1")
 def exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("t"))  # equal texts, by a digest: texts stay put

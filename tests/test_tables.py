@@ -102,3 +102,16 @@ def test_fuzzy_titles_equal_brute_force(spark):
                     want[a, b] = round(ratio, 9)
         got = [((r["a"], r["b"]), round(r["similarity"], 9)) for r in titles.fuzzy_pairs(frame, "id", "title", least).collect()]
         assert len(got) == len(want) and dict(got) == want
+
+
+def test_whole_texts_of_all_languages_are_normalised(spark, tmp_path):
+    import re
+
+    from specflow.plans import queries
+
+    texts = ["First LINE &amp; more\nsecond&#xE4;\tline", "Größe\u00a0ÜBER\u3000alles\u2028x", "你好 World\n1", "\u212aelvin İx", " \n ", "", None]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(zip(texts, ["en", "de", None, "fr", "en", "es", "de"], strict=True))]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = lambda t: " ".join(re.sub(r"[^a-z0-9\s]", " ", re.sub(r"&#x[0-9a-f]+;|&[a-z]+;", "", t.lower())).split())
+    got = {r["doc_id"]: r["title"] for r in queries.QUERIES["normalise_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else plain(t) for i, t, _ in rows}
