@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import importable
 
 #: Bytes in one Arrow batch between the JVM and Python: what a worker holds at once follows this, not the row count.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,33 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def slices(texts, most: int = 4 << 20):
+def doubled(df: DataFrame, hashes: str, most: int) -> DataFrame:
+    """hashes: a column with an array of the hashes of single words. Adds the hashes of all windows of 2, 4, 8, ... words, up to
+    ``most``, each from two of half its length; ``window_hash`` makes those of other lengths from these."""
+    n = 1
+    while 2 * n <= most:
+        half = _runs(hashes, n)
+        df = df.withColumn(_runs(hashes, 2 * n), F.zip_with(half, F.slice(half, n + 1, F.greatest(F.lit(0), F.size(half) - n)), lambda x, y: F.xxhash64(x, y)))
+        n *= 2
+    return df
+
+
+def _runs(hashes: str, n: int) -> str:
+    return hashes if n == 1 else f"{hashes}_{n}"
+
+
+def window_hash(hashes: str, n: int) -> Column:
+    """The hashes of a text's windows of n words in their order, an empty array if it has fewer words."""
+    count, at, out = F.greatest(F.lit(0), F.size(hashes) - (n - 1)), 0, None
+    for bit in reversed(range(n.bit_length())):
+        if n >> bit & 1:
+            part = F.slice(_runs(hashes, 1 << bit), at + 1, count)
+            out = part if out is None else F.zip_with(out, part, lambda x, y: F.xxhash64(x, y))
+            at += 1 << bit
+    return out
+
+
+def slices(texts, most: int = 1 << 20):
     """Runs (begin, end) of a list of texts with about ``most`` characters each, one text at least."""
     begin, size = 0, 0
     for i, t in enumerate(texts):

@@ -24,7 +24,7 @@ included, are in one component. Keys may repeat or be null; a component's id is
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, slices
+from .common import bounded_batches, checkpointed
 from .components import connected_components
 
 #: Seed of the hash.
@@ -41,14 +41,42 @@ SEED = 42
 BLOCK = 4096
 #: Buckets up to this size are compared together, pair by pair.
 SMALL = 8
+#: Bytes of text that are cut into words at once, shingles that are counted at once, texts of which counts are held at once.
+RUN, HASHED, ROWS = 1 << 18, 1 << 16, 1024
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingles(text: str | None, size: int) -> list[bytes]:
-    words = (text or "").encode().translate(LOWER).split()
-    if len(words) <= size:
-        return [b" ".join(words)] if words else []
-    return list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+def words_by_run(text):
+    """Words of a text, bytes or a buffer of them, in lower case (A-Z), in lists: one for each RUN bytes at most."""
+    open_: list[bytes] = []  # parts of a word that goes on beyond its run
+    for at in range(0, len(text), RUN):
+        chunk = bytes(text[at : at + RUN]).translate(LOWER)
+        words = chunk.split()
+        if open_ and not chunk[:1].isspace():
+            open_.append(words.pop(0))
+        if open_ and (words or chunk[-1:].isspace()):
+            words.insert(0, b"".join(open_))
+            open_ = []
+        if words and not chunk[-1:].isspace():
+            open_ = [words.pop()]
+        if words:
+            yield words
+    if open_:
+        yield [b"".join(open_)]
+
+
+def shingle_hashes(text, size: int):
+    """Hashes of a text's shingles, an array for each run of its words; no shingle is held longer than its hash takes."""
+    held, short = [], True
+    for words in words_by_run(text):
+        held += words
+        if len(held) >= size:
+            short = False
+            made = map(b" ".join, zip(*(held[i:] for i in range(size)), strict=False))
+            yield np.fromiter(map(xxhash.xxh64_intdigest, made, repeat(SEED)), np.uint64, len(held) - size + 1)
+            held = held[len(held) - size + 1 :]
+    if short and held:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], np.uint64)
 
 
 def mixed(h: np.ndarray, w: int) -> np.ndarray:
@@ -59,24 +87,44 @@ def mixed(h: np.ndarray, w: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints_of(texts: list[str | None], size: int, words: int = 1, minima: int = 0) -> np.ndarray:
-    """One row of ``words`` unsigned 64-bit words for each text, then of as many least hashes as asked for."""
-    digest = xxhash.xxh64_intdigest
-    made = [shingles(t, size) for t in texts]
-    n = np.array([len(x) for x in made])
+def fingerprints_of(texts: list, size: int, words: int = 1, minima: int = 0) -> np.ndarray:
+    """One row of ``words`` unsigned 64-bit words for each text (bytes, a buffer or None), then of as many least hashes as asked
+    for. Hashes are counted and dropped ``HASHED`` at a time, so a text takes little more than itself, however long."""
+    n = np.zeros(len(texts), np.int64)
+    ones = np.zeros((words, len(texts), 64), np.uint32)
+    least = np.full((minima, len(texts)), np.iinfo(np.uint64).max, np.uint64)
+    held: list[np.ndarray] = []
+    rows: list[int] = []
+
+    def count() -> None:
+        if not held:
+            return
+        sizes, first, at = np.array(list(map(len, held))), np.concatenate(held), np.array(rows)
+        starts = np.cumsum(sizes) - sizes
+        np.add.at(n, at, sizes)
+        for w in range(words):
+            hashes = (mixed(first, w) if w else first).astype(">u8")
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+            np.add.at(ones[w], at, np.add.reduceat(bits, starts, axis=0, dtype=np.uint32))
+        for m in range(minima):
+            np.minimum.at(least[m], at, np.minimum.reduceat(mixed(first, 1000 + m), starts))
+        held.clear()
+        rows.clear()
+
+    size_held = 0
+    for i, t in enumerate(texts):
+        for hashes in shingle_hashes(t or b"", size):
+            held.append(hashes)
+            rows.append(i)
+            size_held += len(hashes)
+            if size_held >= HASHED:
+                count()
+                size_held = 0
+    count()
     out = np.zeros((len(texts), words + minima), np.uint64)
-    some = np.flatnonzero(n)
-    if not len(some):
-        return out
-    starts = np.cumsum(np.append(0, n[some][:-1]))
-    first = np.array([digest(s, SEED) for x in made for s in x], np.uint64)
     for w in range(words):
-        hashes = (mixed(first, w) if w else first).astype(">u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.uint32)
-        out[some, w] = np.packbits(2 * ones.astype(np.int64) > n[some][:, None], axis=1).view(">u8")[:, 0]
-    for m in range(minima):
-        out[some, words + m] = np.minimum.reduceat(mixed(first, 1000 + m), starts)
+        out[:, w] = np.packbits(2 * ones[w].astype(np.int64) > n[:, None], axis=1).view(">u8")[:, 0]
+    out[:, words:] = np.where(n[:, None] > 0, least.T, np.uint64(0))
     return out
 
 
@@ -87,10 +135,10 @@ def fingerprint(docs: DataFrame, *, key: str = "doc_id", text: str = "text", siz
 
     def batches(stream):
         for batch in stream:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([t or "" for t in texts], 2 << 20):
-                f = fingerprints_of(texts[a:b], size, words, minima).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(f[:, w])) for w in range(len(names)))], names=[key, *names])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                f = fingerprints_of([t.as_buffer() for t in part.column(1)], size, words, minima).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(f[:, w])) for w in range(len(names)))], names=[key, *names])
 
     return docs.select(key, text).mapInArrow(batches, f"`{key}` {dict(docs.dtypes)[key]}, " + ", ".join(f"{n} bigint" for n in names))
 
@@ -276,14 +324,15 @@ ALIKE = {"size": 5, "words": 8, "radius": 84, "minima": 5}
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The columns of ``docs``, with one row of each group of near duplicates: the one of the least (key, hash of text), nulls
-    first. Options are those of ``components``; without any, documents alike in 0.8 of their shingles of five words are near
-    duplicates. The text is shuffled once, to meet the rows that stay."""
+    first; of rows that repeat in both any one stays. Options are those of ``components``; without any, documents alike in 0.8 of
+    their shingles of five words are near duplicates. Columns of any name pass: they are carried in one struct. The text is
+    shuffled once, to meet the rows that stay."""
     options = options or ALIKE
-    keyed = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("_k"), F.col(text).alias("_t"))
-    found = components(keyed, key="_k", text="_t", **options)
-    stay = checkpointed(found.where(F.col("_k") == F.col("component_id")).groupBy("_k").agg(F.count("*").alias("n")).select(F.col("_k.k").alias("_stay_k"), F.col("_k.h").alias("_stay_h"), "n"))
-    same = docs[key].eqNullSafe(F.col("_stay_k")) & (F.xxhash64(docs[text]) == F.col("_stay_h"))
-    out = docs.join(stay.drop("n"), same, "left_semi")
-    if stay.where("n > 1").limit(1).count():  # rows that repeat in all columns that matter here
-        out = out.withColumn("_h", F.xxhash64(text)).dropDuplicates([key, "_h"]).drop("_h")
-    return out
+    keyed = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("k"), F.col(text).alias("t"))
+    found = components(keyed, key="k", text="t", **options)
+    stay = checkpointed(found.where(F.col("k") == F.col("component_id")).groupBy("k").agg(F.count("*").alias("n")).select(F.col("k.k").alias("stay_k"), F.col("k.h").alias("stay_h"), "n"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text).alias("h"))
+    out = rows.join(stay.drop("n"), F.col("k").eqNullSafe(F.col("stay_k")) & (F.col("h") == F.col("stay_h")), "left_semi")
+    if stay.where("n > 1").limit(1).count():
+        out = out.dropDuplicates(["k", "h"])
+    return out.select("row.*")

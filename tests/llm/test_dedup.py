@@ -1,6 +1,9 @@
 import hashlib
 import random
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -73,6 +76,39 @@ def test_bit_slices_equal_counts():
     assert (simhash.near_pairs(f[:99], f[1:100], 120) == (d[np.arange(99), np.arange(1, 100)] <= 120)).all()
 
 
+def test_runs_of_a_text_equal_the_whole(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aB \n\t é") for _ in range(rng.randint(0, 90))).encode() for _ in range(200)] + [b"x" * 300, b" " * 100, b"a" * 64 + b" b", None]
+    want = simhash.fingerprints_of(texts, 3, 2, 2)
+    assert [f"{x:016x}" for x in want[:, 0]] == [f"{plain_fingerprint((t or b'').decode()):016x}" for t in texts]
+    for run, hashed in ((1, 1), (7, 5), (64, 1 << 16)):
+        monkeypatch.setattr(simhash, "RUN", run)
+        monkeypatch.setattr(simhash, "HASHED", hashed)
+        assert (simhash.fingerprints_of(texts, 3, 2, 2) == want).all()
+
+
+def test_a_very_long_text_takes_little_memory():
+    code = """
+import resource, pyarrow as pa
+from specflow.llm import simhash
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = pa.array([" ".join(str(i) for i in range(7_000_000))])
+simhash.fingerprints_of([t.as_buffer() for t in text], 5, 8, 5)
+print(len(text[0].as_buffer()) >> 20, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    text_mb, used_mb = map(int, said.stdout.split())
+    assert text_mb >= 50 and used_mb < 500
+
+
+def test_keep_one_passes_columns_of_any_name(spark):
+    names = ["k", "h", "row", "n", "_k", "_t", "_h", "stay_k", "stay_h", "_stay_k", "f0", "node", "component_id", "a.b", "text"]
+    rows = [(i, *[f"{i}-{c}" for c in names[:-1]], f"a text of its own kind {i} " * 9) for i in (1, 1, 2)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id bigint", *(f"`{c}` string" for c in names)]))
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [tuple(rows[0]), tuple(rows[2])]
+
+
 def test_keep_one(spark, odd, empty):
     rng = random.Random(5)
     words = lambda n: [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 500)) for _ in range(n)]
