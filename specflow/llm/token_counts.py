@@ -1,8 +1,7 @@
 """Token counts of whole documents, huge ones by overlapping chunks.
 
-A text of at most ``chunk`` characters is encoded at once (for a byte-level tokenizer through its units, see
-``units``). A longer text is encoded as chunks of that many characters that overlap, each with the offsets of its
-tokens. Two neighbours are spliced at a boundary that both prove stable: the end of a pre-token (a match of the
+A text of at most ``chunk`` characters is encoded at once. A longer text, as over a third of usual documents are, is encoded as
+chunks of that many characters that overlap, each with the offsets of its tokens. Two neighbours are spliced at a boundary that both prove stable: the end of a pre-token (a match of the
 tokenizer's split pattern) that both chunks have at the same place. The left chunk's pre-tokens are those of the whole
 text except where they touch its right edge, so a margin there is not used; the split pattern never looks back, so from a
 common end of a pre-token on the right chunk's are those of the whole text too. Merges never leave a pre-token, so the
@@ -10,7 +9,7 @@ tokens left of that place are the left chunk's and those right of it the right c
 place (one word longer than the overlap, say) it is widened, doubling up to the whole text.
 
 A SentencePiece model splits nothing before merging that could prove a boundary stable; its texts are encoded whole.
-Null texts count as empty; an empty text has 0 tokens. One row comes back for each row, repeated rows included.
+Null texts count as empty; an empty text has 0 tokens and one chunk. One row comes back for each row, repeated rows included.
 """
 
 from __future__ import annotations
@@ -22,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import bounded_batches, slices
-from .units import UnitCoder
 
 #: Characters of a chunk, and of the overlap of two chunks at first.
-CHUNK, OVERLAP = 32_768, 256
+CHUNK, OVERLAP = 2048, 128
 #: Characters before a chunk's right edge at which no splice is made: more than any special string that the edge may cut.
 MARGIN = 32
 
@@ -42,30 +40,17 @@ class Counter:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.whole, self.chunks = (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]), False
             return
-        from .hf import ids_of_units, open_tokenizer, splits_at_space
+        from .hf import open_tokenizer, splits_at_space
 
         self.tokenizer = open_tokenizer(path)
-        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.chunks = splits_at_space(self.tokenizer)  # only where pre-tokens are known to be independent
-        if self.chunks:
-            coder = UnitCoder(lambda units: ids_of_units(self.tokenizer, units))
-            self.whole = lambda texts: self.by_units(coder, texts)
-        else:
-            self.whole = lambda texts: [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.whole = lambda texts: [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     @lru_cache(maxsize=4)
     def of(path: str, chunk: int, overlap: int) -> Counter:
         return Counter(path, chunk, overlap)
 
-    def by_units(self, coder: UnitCoder, texts: list[str]) -> list[int]:
-        """Texts with a special string in them go to the tokenizer as they are."""
-        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        out = [len(x) // 4 for x in coder.encode(["" if i in set(odd) else t for i, t in enumerate(texts)] if odd else texts)]
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
-            out[i] = len(e)
-        return out
-
     def boundaries(self, text: str, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Of one chunk: where pre-tokens end, and how many tokens lie before each of those places."""
         e = self.tokenizer.encode(text[begin:end], add_special_tokens=False)
@@ -77,12 +62,12 @@ class Counter:
         last = np.append(np.flatnonzero((words[1:] != words[:-1]) | (words[1:] < 0)), n - 1)  # the last token of each pre-token
         return np.append(begin, ends[last]), np.append(0, last + 1)
 
-    def long(self, text: str) -> int:
-        """Tokens of a text longer than a chunk."""
+    def long(self, text: str) -> tuple[int, int]:
+        """Tokens of a text longer than a chunk, and the chunks that were spliced."""
         begin, end = 0, min(len(text), self.chunk)
         places, before = self.boundaries(text, begin, end)
         start = 0  # the place from which the present chunk counts
-        total = 0
+        total, chunks = 0, 1
         while end < len(text):
             overlap = self.overlap
             while True:
@@ -105,18 +90,19 @@ class Counter:
             at = int(common[-1])
             total += int(before[np.searchsorted(places, at)] - before[np.searchsorted(places, start)])
             start, begin, end, places, before = at, right, right_end, theirs, their_before
-        return total + int(before[-1] - before[np.searchsorted(places, start)])
+            chunks += 1
+        return total + int(before[-1] - before[np.searchsorted(places, start)]), chunks
 
-    def count(self, texts: list[str]) -> list[int]:
-        huge = {i for i, t in enumerate(texts) if self.chunks and len(t) > self.chunk}
-        out = self.whole(["" if i in huge else t for i, t in enumerate(texts)] if huge else texts)
-        for i in huge:
-            out[i] = self.long(texts[i])
-        return out
+    def count(self, texts: list[str]) -> list[tuple[int, int]]:
+        """Tokens and chunks of each text."""
+        huge = [self.chunks and len(t) > self.chunk for t in texts]
+        short = iter(self.whole([t for t, h in zip(texts, huge, strict=True) if not h]))
+        return [self.long(t) if h else (next(short), 1) for t, h in zip(texts, huge, strict=True)]
 
 
 def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Key, n_bytes, n_tokens and whether there are more than ``limit`` tokens, for each row of ``docs``."""
+    """Key, n_bytes, n_tokens, whether there are more than ``limit`` tokens, and n_chunks, the chunks that were spliced, for each
+    row of ``docs``."""
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
 
@@ -124,8 +110,9 @@ def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
         counter = Counter.of(path, chunk, overlap)
         for batch in stream:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = [x for a, b in slices(texts) for x in counter.count(texts[a:b])]
-            size = [len(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[key, "n_bytes", "n_tokens", "over_limit"])
+            found = [x for a, b in slices(texts) for x in counter.count(texts[a:b])]
+            n, chunks = [x[0] for x in found], [x[1] for x in found]
+            columns = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(chunks, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "n_bytes", "n_tokens", "over_limit", "n_chunks"])
 
-    return docs.select(key, text).mapInArrow(batches, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(key, text).mapInArrow(batches, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, n_chunks bigint")

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from specflow.llm import byte_bpe, token_counts, token_files
+from specflow.llm import byte_bpe, token_counts, token_files, units
 from specflow.llm.byte_bpe import ByteBpe, merge_long
 from specflow.llm.token_counts import Counter
 
@@ -68,8 +68,24 @@ def test_bpe_rows(odd, empty, library):
 def test_counts_of_chunks_equal_those_of_whole_texts():
     tokenizer, counter = Tokenizer.from_file(JSON), Counter(JSON, chunk=300, overlap=8)
     texts = ["x" * 5000, " ".join(["ab"] * 300) + "y" * 900 + " z" * 400, " " * 2000 + "a", "<|endoftext|>" * 200, "ab <|endoftext|> cd" * 100, *("".join(random_texts(40, s)) for s in range(20))]
-    assert counter.count(texts) == [len(e) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert counter.widened > 0
+    found = counter.count(texts)
+    assert [n for n, _ in found] == [len(e) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counter.widened > 0 and max(chunks for _, chunks in found) > 3
+
+
+def test_a_third_of_the_documents_is_spliced(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tokenizer, texts = Tokenizer.from_file(JSON), {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    found = rows_of(token_counts.count_tokens(docs, JSON))
+    assert all(r["n_tokens"] == len(tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False)) for r in found)
+    assert sum(r["n_chunks"] > 1 for r in found) > 0.3 * len(texts)
+
+
+def test_units_of_parts_equal_those_of_whole_texts(monkeypatch, library):
+    monkeypatch.setattr(units, "PART", 7)
+    coder = units.UnitCoder(lambda us: [np.array(library.encode_ordinary(u), "<u4").tobytes() for u in us], most=40)
+    texts = [*random_texts(300, 4), "ab cd\nef gh ij\nkl", "x" * 50 + " y" * 20, ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_counts_of_rows(odd, empty):
@@ -85,7 +101,7 @@ def test_counts_of_rows(odd, empty):
 def test_counts_of_other_tokenizers(odd, name):
     counter = Counter(P.path(name))
     texts = ["The cat sat.", "", "héllo  world\n"]
-    assert counter.count(texts) == [counter.whole([t])[0] for t in texts]
+    assert counter.count(texts) == [(counter.whole([t])[0], 1) for t in texts]
 
 
 def test_files_round_trip(odd, empty, tmp_path):
