@@ -1,13 +1,15 @@
 """Benchmark decontamination, with DataFrame functions only.
 
 Texts are lower-cased (A-Z) and cut into words. A window is ``size`` consecutive words of a benchmark item; an item of
-fewer words, but not none, is one window. The hashes of all windows are a set that every task gets with its code, as long
-as there are at most ``SET_ROWS`` windows (the count is checked); documents' word windows are looked up in it where they
-are made, and only those that are in it become rows, which are then verified word by word against the windows, a join.
-More windows than that are joined with all windows of the documents, with a shuffle and no broadcast.
+fewer words, but not none, is one window. A window's hash comes from the hashes of its words, by doubling. The distinct hashes of
+all windows, counted once they are written, are broadcast as a hash set as long as there are at most ``SET_ROWS``, and
+documents' windows are looked up in it where they are made; with more of them, the same look-up is a shuffled join of hashes, with
+no text in it. Only windows found are then verified, word by word, in a join with the benchmark's windows, which is left to the
+planner: it broadcasts them only if their written size is small.
 
 Null or wordless texts have no windows: 0 words, no hits. Repeated rows are reported like any other; items that are
-equal count as one if they share an id. Window lengths are 1 to ``size``, so the work for one text is in proportion to it.
+equal count as one if they share an id. Columns of any name pass: they are carried in one struct. Window lengths are 1 to
+``size``, so the work for one text is in proportion to it.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most windows whose hashes are sent to every task; some 16 bytes each.
-SET_ROWS = 200_000
+from .common import doubled, scratch, window_hash
+
+#: Most hashes of windows that are broadcast; some 16 bytes each.
+SET_ROWS = 2_000_000
 #: Fixed value: what separates words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -31,53 +35,42 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered(text), BETWEEN), "")
 
 
-def starts(words: Column, size: int) -> Column:
-    """1-based starts of the windows of ``size`` words."""
-    return F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
+def hashed(df: DataFrame, size: int) -> DataFrame:
+    """df: words. Adds hashes, those of the words, and those of windows that ``window_hash`` needs."""
+    return doubled(df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))), "hashes", size)
 
 
 def item_windows(benchmark: DataFrame, size: int, item: str, text: str) -> DataFrame:
-    """Distinct (h, w, item_id, len): a window's hash and words, for each item that it is in."""
+    """Distinct (h, w, len, item_id): a window's hash and words, for each item that it is in; written to the shared folder."""
     items = benchmark.select(F.col(item).cast("string").alias("item_id"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
-    len_ = F.least(F.size("words"), F.lit(size))
-    at = items.select("item_id", "words", len_.alias("len"), F.explode(F.sequence(F.lit(1), F.size("words") - len_ + 1)).alias("i"))
-    return at.select("item_id", "len", F.slice("words", F.col("i"), F.col("len")).alias("w")).withColumn("h", F.xxhash64("w")).distinct()
+    items = hashed(items.withColumn("len", F.least(F.size("words"), F.lit(size))), size)
+    of_length = F.coalesce(*(F.when(F.col("len") == n, window_hash("hashes", n)) for n in range(1, size + 1)))
+    at = items.select("item_id", "len", "words", F.posexplode(of_length).alias("i", "h"))
+    made = scratch(benchmark.sparkSession, "windows")
+    at.select("h", F.slice("words", F.col("i") + 1, F.col("len")).alias("w"), "len", "item_id").distinct().write.parquet(made)
+    return benchmark.sparkSession.read.parquet(made)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, set_rows: int = SET_ROWS) -> DataFrame:
     """row, key, text_hash, n_words, and i, len, item_id of each verified occurrence of a window; one row with nulls in these
     last three for every document besides."""
     windows = item_windows(benchmark, size, item, item_text)
-    held = windows.select("len", "h").distinct().limit(set_rows + 1).collect()
-    small = len(held) <= set_rows
-    by_length: dict[int, list[int]] = {}
-    for r in held:
-        by_length.setdefault(r["len"], []).append(r["h"])
-    lengths = sorted(by_length) if small else [r["len"] for r in windows.select("len").distinct().collect()]
+    lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most ``size`` rows
+    known = windows.select(F.col("h").alias("known")).distinct()
+    small = known.count() <= set_rows
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), words_of(F.col(text)).alias("words"))
-    w = F.col("words")
-    found = []
-    for n in lengths:
-        found.append(_windows(w, n, by_length[n] if small else None))
-    none = F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("array<string>").alias("w")))
-    made = base.select("row", "key", "text_hash", F.size(w).cast("bigint").alias("n_words"), F.concat(none, *found).alias("all"))
-    rows = made.select("row", "key", "text_hash", "n_words", F.explode("all").alias("x")).select("row", "key", "text_hash", "n_words", "x.i", "x.len", "x.w").withColumn("h", F.xxhash64("w"))
+    base = hashed(base, max(lengths, default=1))
+    # the first array stands for the document itself, with a hash that spreads
+    arrays = F.array(F.array(F.xxhash64(F.lit("row"), F.col("row"))), *(window_hash("hashes", n) for n in lengths))
+    made = base.select("row", "key", "text_hash", "words", F.posexplode(arrays).alias("k", "of"))
+    made = made.select("row", "key", "text_hash", "words", "k", F.posexplode("of").alias("at", "h"))
+    found = made.join(F.broadcast(known) if small else known, F.col("h") == F.col("known"), "left").where("k = 0 or known is not null")
+    len_ = F.element_at(F.array(F.lit(0), *map(F.lit, lengths)), F.col("k") + 1)
+    rows = found.select("row", "key", "text_hash", F.size("words").cast("bigint").alias("n_words"), (F.col("at") + 1).alias("i"), len_.alias("len"), "h", F.slice("words", F.col("at") + 1, len_).alias("w"))
     theirs = windows.select(F.col("h").alias("bh"), F.col("w").alias("bw"), "item_id")
-    joined = rows.join(F.broadcast(theirs) if small else theirs, (F.col("h") == F.col("bh")) & (F.col("w") == F.col("bw")), "left")
-    return joined.select("row", "key", "text_hash", "n_words", F.when(F.col("bh").isNotNull(), F.col("i")).alias("i"), F.when(F.col("bh").isNotNull(), F.col("len")).alias("len"), "item_id")
-
-
-def _windows(words: Column, n: int, held: list[int] | None) -> Column:
-    """Structs of the windows of n words, of those only whose hash is held if that is known."""
-    at = starts(words, n)
-    if held is not None:
-        at = F.filter(at, lambda i: _in(F.xxhash64(F.slice(words, i, n)), held))
-    return F.transform(at, lambda i: F.struct(i.alias("i"), F.lit(n).alias("len"), F.slice(words, i, n).alias("w")))
-
-
-def _in(value: Column, held: list[int]) -> Column:
-    """Membership in a set of literals; Spark turns a long list into a hash set."""
-    return F.array_contains(F.array(*map(F.lit, held)), value) if len(held) <= 10 else value.isin(held)
+    joined = rows.join(theirs, (F.col("h") == F.col("bh")) & (F.col("w") == F.col("bw")), "left")
+    sure = F.col("bh").isNotNull()
+    return joined.select("row", "key", "text_hash", "n_words", F.when(sure, F.col("i")).alias("i"), F.when(sure, F.col("len")).alias("len"), "item_id")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -97,13 +90,14 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, spans: bool = False, **opti
     follows it up to the next word. All columns of ``docs`` stay as they are. Text is shuffled for the join with what was
     found, which may be any share of the documents."""
     key, text = options.get("key", "doc_id"), options.get("text", "text")
-    bad = report(docs, benchmark, **options).where("contaminated").select(F.col(key).alias("_bad_key"), F.col("text_hash").alias("_bad_hash"), F.col("hit").alias("_bad_hit")).dropDuplicates(["_bad_key", "_bad_hash"])
-    same = docs[key].eqNullSafe(F.col("_bad_key")) & (F.xxhash64(docs[text]) == F.col("_bad_hash"))
+    bad = report(docs, benchmark, **options).where("contaminated").select(F.col(key).alias("bad_key"), F.col("text_hash").alias("bad_hash"), F.col("hit").alias("bad_hit")).dropDuplicates(["bad_key", "bad_hash"])
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    same = F.col("k").eqNullSafe(F.col("bad_key")) & (F.col("h") == F.col("bad_hash"))
     if not spans:
-        return docs.join(bad.drop("_bad_hit"), same, "left_anti")
+        return rows.drop("t").join(bad.drop("bad_hit"), same, "left_anti").select("row.*")
     inside = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # as BETWEEN, but for a text whose capitals are still there
-    parts = F.regexp_extract_all(docs[text], F.lit(f"[^{inside}]+[{inside}]*"), F.lit(0))
-    lead = F.regexp_extract(docs[text], f"^[{inside}]*", 0)
-    kept = F.concat(lead, F.array_join(F.filter(parts, lambda p, i: ~F.array_contains(F.col("_bad_hit"), i + 1)), ""))
-    joined = docs.join(bad, same, "left")
-    return joined.select(*(F.when(F.col("_bad_key").isNotNull() | F.col("_bad_hash").isNotNull(), kept).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns))
+    parts = F.regexp_extract_all("t", F.lit(f"[^{inside}]+[{inside}]*"), F.lit(0))
+    lead = F.regexp_extract("t", f"^[{inside}]*", 0)
+    kept = F.concat(lead, F.array_join(F.filter(parts, lambda p, i: ~F.array_contains(F.col("bad_hit"), i + 1)), ""))
+    kept = F.when(F.col("bad_hash").isNotNull(), kept).otherwise(F.col("t"))
+    return rows.join(bad, same, "left").select(*((kept if c == text else F.col("row")[c]).alias(c) for c in docs.columns))

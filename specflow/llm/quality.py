@@ -1,21 +1,24 @@
 """Quality rules, with DataFrame functions only: base counts, and divergence from a language's reference histograms.
 
 Two histograms of a text are compared to those of all documents of its language: of character classes, and of common
-words. The Jensen-Shannon distance (square root of the divergence to base 2, 0 to 1) of either beyond its limit rejects a
-text. A text with fewer than ``MIN_WORDS`` words or ``MIN_CHARS`` characters is too short for a histogram and is not
-judged by distance, one with fewer than ``MIN_COMMON`` words not by its common words; nor is a language with fewer than ``MIN_DOCS`` documents to make a reference. A null or unknown
-language is compared to the characters of all documents together.
-
-Null texts count as empty: no words, so the base rules reject them. Repeated rows are judged alike. References are sums
-over all documents, and a table with one row for each language; what reaches the driver is one row, that of all documents.
+words. The common words of a language are the ``COMMON`` words that its documents have most often, learned from all of them
+for every language (of equals the lesser come first); a further cell counts all other words. The Jensen-Shannon distance
+(square root of the divergence to base 2, 0 to 1) of either beyond its limit rejects a text. A text with fewer than
+``MIN_WORDS`` words or ``MIN_CHARS`` characters is too short for a histogram and is not judged by distance, one with fewer
+than ``MIN_COMMON`` words not by its common words; nor is a language with fewer than ``MIN_DOCS`` documents to make a
+reference. A null or unknown language is compared to the characters of all documents together.
+
+Null texts count as empty: no words, so the base rules reject them. Repeated rows are judged alike. Columns of any name
+pass: those of the input are carried in one struct. References are sums over all documents, and a table with one row for each
+language; what reaches the driver is one row, that of all documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import doubled, scratch, window_hash
 
 #: Least words and characters for the classes of characters, words for the common words, documents of a reference.
 MIN_WORDS, MIN_CHARS, MIN_COMMON, MIN_DOCS = 50, 200, 100, 20
@@ -23,49 +26,45 @@ MIN_WORDS, MIN_CHARS, MIN_COMMON, MIN_DOCS = 50, 200, 100, 20
 CHAR_LIMIT, WORD_LIMIT = 0.25, 0.33
 #: The white space between words, symbols.
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]", "[#*$%&|<>]"
-#: Some of the commonest words of languages.
-COMMON = {
-    "en": "the of and to in a is that for it as was with be by on not he this are".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par au il sur ne".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al".split(),
-}
+#: Common words of a language.
+COMMON = 20
 CLASSES = ("lower", "space", "upper", "digit", "point", "symbol", "other")
 
 
-def with_counts(docs: DataFrame, text: str) -> DataFrame:
-    """Adds _t, the text, _words, and the counts of the character classes as an array _chars."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_t", t).withColumn("_words", F.array_remove(F.split("_t", SPACE + "+"), ""))
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE + "+"), "")
+
+
+def with_chars(docs: DataFrame, text: str) -> DataFrame:
+    """Adds t, the text, size, its characters, and chars, the counts of its character classes as an array."""
+    out = docs.withColumn("t", F.coalesce(F.col(text), F.lit("")))
     # each class is taken out of what the commoner ones left, so later passes see little text
     patterns = ["[a-z]+", SPACE + "+", "[A-Z]+", "[0-9]+", r"[.,;:!?'\"()-]+", r"[\x00-\x7F]+"]
-    out = out.withColumn("_n0", F.length("_t"))
-    rest = "_t"
+    out = out.withColumn("size", F.length("t"))
+    rest, before = "t", F.col("size")
+    taken = []
     for i, p in enumerate(patterns):
-        out = out.withColumn(f"_r{i}", F.regexp_replace(rest, p, "")).withColumn(f"_n{i + 1}", F.length(f"_r{i}"))
-        rest = f"_r{i}"
-    taken = [F.col(f"_n{i}") - F.col(f"_n{i + 1}") for i in range(len(patterns))] + [F.col(f"_n{len(patterns)}")]
-    return out.withColumn("_chars", F.array(*(x.cast("double") for x in taken))).drop(*(f"_r{i}" for i in range(len(patterns))))
-
-
-def with_common(docs: DataFrame, lang: str) -> DataFrame:
-    """Adds _short, the words that may be common ones, then _common, their counts and that of all others."""
-    listed = sorted({w for ws in COMMON.values() for w in ws})
-    short = F.filter(F.transform(F.filter("_words", lambda w: F.octet_length(w) <= max(len(x.encode()) for x in listed)), F.lower), lambda w: w.isin(listed))
-    out = docs.withColumn("_short", F.when(F.col(lang).isin(list(COMMON)), short))
-    lists = F.create_map(*(x for k, ws in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))))
-    out = out.withColumn("_list", F.element_at(lists, F.col(lang)))
+        out = out.withColumn(f"r{i}", F.regexp_replace(rest, p, "")).withColumn(f"n{i}", F.length(f"r{i}"))
+        taken.append(before - F.col(f"n{i}"))
+        rest, before = f"r{i}", F.col(f"n{i}")
+    return out.withColumn("chars", F.array(*(x.cast("double") for x in [*taken, before]))).drop(*(f"{c}{i}" for c in "rn" for i in range(len(patterns))))
+
+
+def with_common(docs: DataFrame) -> DataFrame:
+    """docs: words, and list, common words or null. Adds common, their counts and that of all others. Words are joined with two
+    spaces between them, so each has both of its own and taking a word out tells by the bytes how often it was there."""
+    out = docs.withColumn("padded", F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" ")))
+    often = lambda w: F.floor((F.octet_length("padded") - F.octet_length(F.replace(F.col("padded"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("double")
     # a column that a lambda uses is computed for each element if nothing else uses it: hence the test of its size
-    none, counts = F.transform("_list", lambda c: F.lit(0.0)), F.transform("_list", lambda c: (F.size("_short") - F.size(F.array_remove("_short", c))).cast("double"))
-    out = out.withColumn("_counts", F.when(F.size("_short") > 0, counts).otherwise(none))
-    total = F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x)
-    return out.withColumn("_common", F.concat("_counts", F.array(F.size("_words") - total))).drop("_short", "_list", "_counts")
+    out = out.withColumn("counts", F.when(F.octet_length("padded") > 0, F.transform("list", often)))
+    total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
+    return out.withColumn("common", F.concat("counts", F.array(F.size("words") - total))).drop("padded", "counts")
 
 
-def with_shares(df: DataFrame, counts: str, name: str) -> DataFrame:
-    """Adds an array of counts as shares, null if there are none."""
-    out = df.withColumn("_total", F.aggregate(counts, F.lit(0.0), lambda a, x: a + x))
-    return out.withColumn(name, F.when(F.col("_total") > 0, F.transform(counts, lambda x: x / F.col("_total")))).drop("_total")
+def shares_of(counts: str) -> Column:
+    """An array of counts as shares, null if there are none."""
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total > 0, F.transform(counts, lambda x: x / total))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -79,61 +78,77 @@ def shares(counts: list[float]) -> Column:
     return F.array(*(F.lit(x / sum(counts)) for x in counts)) if sum(counts) else F.lit(None).cast("array<double>")
 
 
+def common_words(docs: DataFrame) -> DataFrame:
+    """docs: lang, text. Returns lang, list (the commonest words, most frequent first) and common (their counts over all documents,
+    and that of all other words). Words combine before they are shuffled, and of each language only a task's best rows are."""
+    words = docs.where("lang is not null").select("lang", F.explode(words_of(F.lower("text"))).alias("w"))
+    counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    best = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("k") <= COMMON)
+    best = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "w", F.col("n").cast("double").alias("n")))).alias("top"))
+    return best.select("lang", F.col("top.w").alias("list"), F.col("top.n").alias("counts"))
+
+
 def references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tuple[DataFrame, list[float]]:
-    """Shares of each language with enough documents (_ref_lang, _own_chars, _own_common), and the character counts of all
-    documents. The table is written to the shared folder: its size is known then, and the join with it planned by that."""
-    counted = with_common(with_counts(docs.select(text, lang), text), lang)
-    sums = [F.sum(F.get("_chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
-    longest = max(map(len, COMMON.values())) + 1
-    sums += [F.sum(F.get("_common", F.lit(i))).alias(f"w{i}") for i in range(longest)]
-    at = scratch(docs.sparkSession, "references")
-    counted.groupBy(F.col(lang).alias("_ref_lang")).agg(F.count("*").alias("n"), *sums).write.parquet(at)
-    by = docs.sparkSession.read.parquet(at)
+    """ref_lang, own_chars (shares), list and own_common (shares) of each language with enough documents, and the character
+    counts of all documents. The table is written to the shared folder: its size is known then, and the join with it planned
+    by that."""
+    spark, rows = docs.sparkSession, docs.select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    counted = with_chars(rows, "text").withColumn("n_words", F.size(words_of(F.col("text"))))
+    sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
+    at = scratch(spark, "characters")
+    counted.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_words").cast("double").alias("n_words"), *sums).write.parquet(at)
+    by = spark.read.parquet(at)
     total = by.agg(*(F.sum(f"c{i}") for i in range(len(CLASSES)))).first()
-    # a language without a list of common words has no counts of them
-    by = by.where((F.col("n") >= MIN_DOCS) & F.col("_ref_lang").isNotNull())
-    common = F.filter(F.array(*(f"w{i}" for i in range(longest))), lambda x: x.isNotNull())
-    by = by.select("_ref_lang", F.array(*(f"c{i}" for i in range(len(CLASSES)))).alias("_c"), common.alias("_w"))
-    return with_shares(with_shares(by, "_c", "_own_chars"), "_w", "_own_common").drop("_c", "_w"), [x or 0.0 for x in total]
+    by = by.where((F.col("n") >= MIN_DOCS) & F.col("lang").isNotNull()).withColumn("c", F.array(*(f"c{i}" for i in range(len(CLASSES)))))
+    by = by.join(common_words(rows), "lang", "left")
+    rest = F.col("n_words") - F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
+    by = by.withColumn("common", F.concat("counts", F.array(rest)))
+    at = scratch(spark, "references")
+    by.select(F.col("lang").alias("ref_lang"), shares_of("c").alias("own_chars"), "list", shares_of("common").alias("own_common")).write.parquet(at)
+    return spark.read.parquet(at), [x or 0.0 for x in total]
+
+
+#: Columns that ``judge`` adds.
+JUDGED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 
 
-def judge(docs: DataFrame, refs: tuple[DataFrame, list[float]], *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The columns of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
-    word_distance, kept."""
-    names = docs.columns
+def rows_judged(docs: DataFrame, refs: tuple[DataFrame, list[float]], *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """row, a struct of the columns of ``docs``, and the ``JUDGED`` columns."""
     own, every = refs
-    clean = docs.select(*(F.col(c) for c in names), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    clean = clean.join(own, F.col("_lang") == F.col("_ref_lang"), "left")
-    out = with_common(with_counts(clean, "_text"), "_lang")
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n = F.size("_words")
-    at = F.when(n >= 5, F.sequence(F.lit(0), n - 5)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(at, lambda i: F.xxhash64(*(F.get("_hashes", i + k) for k in range(5))))
-    out = out.withColumn("_lines", lines).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_windows", windows)
-    pairs = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    same = lambda x, j: F.coalesce(F.get("_sorted", j)["h"] == x["h"], F.lit(False))
-    twice = F.transform(F.filter("_sorted", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"])
-    out = out.withColumn("_twice", F.array_sort(twice))
+    clean = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    clean = clean.join(own, F.col("lang") == F.col("ref_lang"), "left")
+    out = with_common(with_chars(clean, "text").withColumn("words", words_of(F.col("t"))))
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    n = F.size("words")
+    out = doubled(out.withColumn("lines", lines).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))), "hashes", 5)
+    out = out.withColumn("windows", window_hash("hashes", 5))
+    pairs = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.withColumn("sorted", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    same = lambda x, j: F.coalesce(F.get("sorted", j)["h"] == x["h"], F.lit(False))
+    twice = F.transform(F.filter("sorted", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"])
+    out = out.withColumn("twice", F.array_sort(twice))
     start = F.struct(F.lit(-5).alias("last"), F.lit(0).cast("bigint").alias("n"))
-    covered = F.aggregate("_twice", start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(5), i - a["last"])).alias("n")))["n"]
+    covered = F.aggregate("twice", start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(5), i - a["last"])).alias("n")))["n"]
     out = out.withColumns(
         {
-            "n_words": n.cast("bigint"), "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
-            "n_symbols": (F.length("_t") - F.length(F.regexp_replace("_t", SYMBOLS, ""))).cast("bigint"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"), "n_repeat_words": covered,
+            "n_words": n.cast("bigint"), "word_chars": F.length(F.array_join("words", "")).cast("bigint"),
+            "n_symbols": (F.length("t") - F.length(F.regexp_replace("t", SYMBOLS, ""))).cast("bigint"),
+            "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"), "n_repeat_words": covered,
         }
     )
-    chars = F.when(F.col("_ref_lang").isNotNull(), F.col("_own_chars")).otherwise(shares(every))
-    out = with_shares(with_shares(out, "_chars", "_char_shares"), "_common", "_common_shares")
-    out = out.withColumn("_ref_chars", chars).withColumn("_ref_common", F.col("_own_common"))
+    chars = F.when(F.col("ref_lang").isNotNull(), F.col("own_chars")).otherwise(shares(every))
+    out = out.withColumn("char_shares", shares_of("chars")).withColumn("common_shares", shares_of("common")).withColumn("ref_chars", chars)
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    long = (F.col("n_words") >= MIN_WORDS) & (F.col("_n0") >= MIN_CHARS)
-    out = out.withColumn("char_distance", F.when(long, distance(F.col("_char_shares"), F.col("_ref_chars"))))
-    out = out.withColumn("word_distance", F.when(long & (F.col("n_words") >= MIN_COMMON), distance(F.col("_common_shares"), F.col("_ref_common"))))
+    long = (F.col("n_words") >= MIN_WORDS) & (F.col("size") >= MIN_CHARS)
+    out = out.withColumn("char_distance", F.when(long, distance(F.col("char_shares"), F.col("ref_chars"))))
+    out = out.withColumn("word_distance", F.when(long & (F.col("n_words") >= MIN_COMMON), distance(F.col("common_shares"), F.col("own_common"))))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= CHAR_LIMIT) & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_LIMIT)
-    out = out.withColumn("kept", ~F.col("base_failed") & near)
-    return out.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & near).select("row", *JUDGED)
+
+
+def judge(docs: DataFrame, refs: tuple[DataFrame, list[float]], **options) -> DataFrame:
+    """The columns of ``docs`` and the ``JUDGED`` ones, which take the place of input columns of their names."""
+    return rows_judged(docs, refs, **options).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in JUDGED), *JUDGED)
 
 
 def quality(docs: DataFrame, **options) -> DataFrame:
@@ -142,7 +157,8 @@ def quality(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs``, rows that the rules keep. The filter must follow the columns that it needs: pushed below them
-    it would hold a copy of each for every use of it, so a column that is not deterministic stands in the way."""
-    judged = quality(docs, **options).withColumn("_at", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_at") >= 0)).select(*docs.columns)
+    """The columns of ``docs``, all of them as they are, rows that the rules keep. The filter must follow the columns that it
+    needs: pushed below them it would hold a copy of each for every use of it, so a column that is not deterministic stands in
+    the way."""
+    judged = rows_judged(docs, references(docs, **options), **options).withColumn("at", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("at") >= 0)).select("row.*")

@@ -72,6 +72,28 @@ def test_decontamination_removes(spark, empty):
     assert decontaminate.report(empty, frame).count() == 0 and decontaminate.report(docs, frame.limit(0)).where("contaminated").count() == 0
 
 
+def test_filters_pass_columns_of_any_name(spark):
+    names = ["k", "h", "t", "row", "key", "text_hash", "bad_key", "bad_hash", "_bad_key", "hit", "words", "n_words", "kept", "base_failed", "lang", "ref_lang", "list", "common", "size", "at", "a.b", "_t", "_words", "text"]
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, *[f"{i}-{c}" for c in names[:-1]], f"{text} {i}") for i in (1, 2)] + [(3, *[f"3-{c}" for c in names[:-1]], "something else that is long enough to pass the base rules, not in a benchmark")]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id bigint", *(f"`{c}` string" for c in names)]))
+    bench = spark.createDataFrame([("x", text, 1)], "item_id string, text string, h int")
+    kept = quality.keep(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows))
+    judged = rows_of(quality.quality(df))
+    assert {r["n_words"] for r in judged} == {13, 14} and {r["a.b"] for r in judged} == {"1-a.b", "2-a.b", "3-a.b"}
+    left = decontaminate.remove(df, bench)
+    assert left.columns == df.columns and list(map(tuple, left.collect())) == [tuple(rows[2])]
+    cut = decontaminate.remove(df, bench, spans=True)
+    assert cut.columns == df.columns and sorted(map(tuple, cut.collect())) == sorted([(*rows[0][:-1], "1"), (*rows[1][:-1], "2"), rows[2]])
+
+
+def test_common_words_are_learned_for_every_language(spark):
+    docs = spark.createDataFrame([(1, "Da da da po po ze", "xx"), (2, "ze po\nda", "xx"), (3, None, "yy"), (4, "po", None)], "doc_id bigint, text string, lang string")
+    got = {r["lang"]: (r["list"], r["counts"]) for r in quality.common_words(docs).collect()}
+    assert got == {"xx": (["da", "po", "ze"], [4.0, 3.0, 2.0])}
+
+
 def check_base(docs):
     want = []
     for r in docs.collect():
@@ -98,7 +120,7 @@ def test_quality_base(spark, odd, empty):
 
 def test_quality_distance(spark):
     rng = random.Random(1)
-    words = quality.COMMON["en"] + ["wonder", "letters", "moving", "garden"] * 8
+    words = "the of and to in a is that for it as was with be by on not he this are".split() + ["wonder", "letters", "moving", "garden"] * 8
     rows = [(i, " ".join(rng.choice(words) + str(rng.randint(0, 9)) * (rng.random() < 0.02) for _ in range(150)), "en") for i in range(40)]
     junk = [(100, " ".join("@@##%%" + str(rng.randint(0, 10**6)) for _ in range(150)), "en"), (101, " ".join(f"Qzx{rng.randint(0, 10**6)}" for _ in range(150)), None)]
     docs = spark.createDataFrame(rows + junk, "doc_id bigint, text string, lang string")
