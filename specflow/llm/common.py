@@ -46,9 +46,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z only, as the operators' contracts have it; other capitals stay."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def column(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def doubled(df: DataFrame, hashes: str, most: int) -> DataFrame:

@@ -5,19 +5,21 @@ Suffixes of all texts are compared at sampled places only, in a way that loses n
 1. Anchors. Each string of LENGTH bytes picks the place within it whose K bytes hash lowest (the leftmost of equals), so
    equal strings pick the same place, about one place in 85. An anchor's context is what a string that picks it can reach:
    LENGTH - K bytes before it and LENGTH bytes from it on, cut at the document's edges.
-2. Counts, combined before they are shuffled, drop anchors whose K bytes are nowhere else. If all anchors with the same K
-   bytes have the same context, every string through them is repeated: nothing has to be compared.
-3. Of the others one context of each kind is fetched. Their suffixes, the bytes from the anchor on, are range-partitioned
-   by the leading K bytes with sampled splitters, so suffixes on either side of a boundary share fewer than K bytes and
-   every suffix meets all that it can match in its bucket.
+2. Counts, combined before they are shuffled, drop anchors whose K bytes are nowhere else; contexts that are the same are one
+   kind with a number, so copies come once.
+3. One context of each kind is fetched. Their suffixes, the bytes from the anchor on, are range-partitioned by sampled splitters
+   into buckets of about ``BUCKET`` bytes, as many as the contexts need; of equal suffixes the reversed text before the anchor
+   decides, so that no run of equals has to fit one bucket.
 4. A bucket sorts its suffixes, and the reversed texts before them, by multikey quicksort over characters of 8 bytes, and
    the lengths of common prefixes of neighbours tell, for every l, which contexts share both l bytes before the anchor and
    LENGTH - l from it on. The least and the greatest such l bound the repeated bytes around it.
-5. A group of more than ``GROUP`` different contexts with the same K bytes does not go to one bucket: its strings are
-   hashed and counted one by one, across all tasks, which is exact as well.
+5. Contexts with the same K bytes may lie on both sides of a boundary. Those at a bucket's edges, its first and its last group,
+   are compared across boundaries: each of their strings is hashed and counted, over all tasks, which is exact as well. A
+   group that is larger than a bucket is always cut, so none has to fit a task.
 
-Hashes of contexts have 64 bits. Matches never cross documents. Null and empty texts have no bytes; texts below LENGTH
-bytes lose none. Rows that repeat are copies of each other like any other two. A long document is processed in pieces.
+Hashes of contexts and strings have 64 bits. Matches never cross documents. Null and empty texts have no bytes; texts below
+LENGTH bytes lose none. Rows that repeat are copies of each other like any other two; a row is known by its key and a hash of
+64 bits of its text, so keys may repeat or be null. A long document is processed in pieces. Columns of any name pass.
 """
 
 from __future__ import annotations
@@ -30,13 +32,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import bounded_batches, scratch
+from .common import bounded_batches, column, scratch
 
 LENGTH, K = 200, 32
 BEFORE = LENGTH - K
-#: Different contexts of one anchor string that one bucket takes.
-GROUP = 50_000
+#: Bytes of contexts that a bucket takes, about.
+BUCKET = 16 << 20
 #: Bytes of text in a piece that is searched for anchors at once.
 PIECE = 1 << 20
 TABLE = np.random.default_rng(11).integers(1, 1 << 32, 256, dtype=np.uint32)
@@ -93,7 +96,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, h (a text's hash, for keys that repeat), bytes."""
-    return docs.select(F.col(key).alias("key"), F.hash(text).alias("h"), F.coalesce(F.encode(text, "utf-8"), F.lit(b"")).alias("t"))
+    return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.coalesce(F.encode(text, "utf-8"), F.lit(b"")).alias("t"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -105,12 +108,11 @@ def packed(docs: DataFrame) -> DataFrame:
             at = batch.schema.get_field_index("t")
             yield batch.set_column(at, "t", pa.array([pack(t) for t in batch.column(at).to_pylist()], pa.binary()))
 
-    return docs.mapInArrow(batches, ", ".join(f"`{n}` {k}" for n, k in docs.dtypes))
+    return docs.mapInArrow(batches, docs.schema)
 
 
-def unpacked(column: pa.Array) -> list[bytes]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    return [unpack(t) for t in column.to_pylist()]
+def unpacked_one(t: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(t.as_buffer())
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
@@ -132,20 +134,24 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             hashed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (kh, ch)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place.astype(np.int32)), *hashed], names=["key", "h", "pos", "kh", "ch"])
 
-    return docs.mapInArrow(batches, f"key {kind}, h int, pos int, kh bigint, ch bigint")
+    return docs.mapInArrow(batches, f"key {kind}, h bigint, pos int, kh bigint, ch bigint")
 
 
 def contexts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """wanted: key, h, and at, an array of (pos, n). Returns n, suffix, before (reversed)."""
-    joined = wanted.alias("w").join(packed(docs).alias("d"), F.col("w.key").eqNullSafe(F.col("d.key")) & (F.col("w.h") == F.col("d.h"))).select("w.at", "d.t")
+    joined = wanted.alias("w").join(packed(docs).alias("d"), F.col("w.key").eqNullSafe(F.col("d.key")) & (F.col("w.h") == F.col("d.h"))).select("w.key", "w.h", "w.at", "d.t")
 
     def batches(stream):
+        last = None
         for batch in stream:
             rows = []
-            for at, t in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), strict=True):
+            for key, h, at, t in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if (key, h) == last:  # rows that repeat follow each other
+                    continue
+                last, whole = (key, h), unpacked_one(t)
                 for x in at:
                     a = x["pos"]
-                    rows.append((x["n"], t[a : a + LENGTH], t[max(0, a - BEFORE) : a][::-1]))
+                    rows.append((x["n"], whole[a : a + LENGTH], whole[max(0, a - BEFORE) : a][::-1]))
             columns = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["n", "suffix", "before"])
 
@@ -168,22 +174,32 @@ def matrix(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def multikey_sort(words: np.ndarray, length: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
-    """Order of rows by group, then words, then length: one word at a time, and only among rows still tied."""
-    order = np.arange(len(words)) if group is None else np.argsort(group, kind="stable")
-    tied = np.zeros(len(words), np.int64) if group is None else np.cumsum(np.diff(group[order], prepend=group[order][:1]) != 0)
-    for column in [*words.T, length]:
-        open_ = np.flatnonzero((np.diff(tied, prepend=-1) == 0) | (np.diff(tied, append=tied[-1] + 1 if len(tied) else 0) == 0))
-        if not len(open_):
-            break
-        rows = order[open_]
-        values = column[rows]
-        by = np.lexsort((values, tied[open_]))
-        order[open_] = rows[by]
-        changed = np.zeros(len(words), bool)
-        before = np.append(-1, open_[:-1])
-        changed[open_] = np.append(False, values[by][1:] != values[by][:-1]) & (open_ - before == 1)
-        tied = np.cumsum((np.diff(tied, prepend=tied[:1]) != 0) | changed)
-    return order
+    """Order of rows by group, then words, then length, by multikey quicksort: a segment of rows that agree in all words before
+    its depth is split by one word into those below a pivot, equal to it and above it; the equal ones go on with the next word.
+    All segments are split at once, a round each."""
+    cells = np.concatenate([words, length.astype(np.uint64)[:, None]], 1)
+    order = np.arange(len(cells)) if group is None else np.argsort(group, kind="stable")
+    if len(order) < 2:
+        return order
+    start = np.zeros(1, np.int64) if group is None else np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+    size, depth = np.diff(np.append(start, len(order))), np.zeros(len(start), np.int64)
+    while True:
+        open_ = (size > 1) & (depth < cells.shape[1])
+        start, size, depth = start[open_], size[open_], depth[open_]
+        if not len(start):
+            return order
+        segment = np.repeat(np.arange(len(start)), size)
+        first = np.cumsum(size) - size
+        at = np.arange(size.sum()) - first[segment] + start[segment]
+        rows = order[at]
+        value = cells[rows, depth[segment]]
+        pivot = np.sort(np.stack([value[first], value[first + size // 2], value[first + size - 1]]), axis=0)[1][segment]
+        side = 3 * segment + (value > pivot) + (value >= pivot)
+        by = np.argsort(side, kind="stable")
+        order[at] = rows[by]
+        new = np.flatnonzero(np.diff(side[by], prepend=-1))
+        kind = side[by][new]
+        start, size, depth = at[new], np.diff(np.append(new, len(by))), depth[kind // 3] + (kind % 3 == 1)
 
 
 def common(words: np.ndarray, length: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -203,9 +219,9 @@ def common(words: np.ndarray, length: np.ndarray, order: np.ndarray) -> np.ndarr
     return out
 
 
-def repeated(suffixes: list[bytes], befores: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated(suffixes: list[bytes], befores: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each context the least and the greatest l for which its string of LENGTH bytes from l before the anchor on is
-    repeated, -1 if for none. n: how often a context is there."""
+    repeated, -1 if for none, and whether its K bytes are the first or the last ones in order. n: how often a context is there."""
     m = len(suffixes)
     s, s_len = matrix(suffixes, LENGTH)
     b, b_len = matrix(befores, BEFORE)
@@ -231,28 +247,35 @@ def repeated(suffixes: list[bytes], befores: list[bytes], n: np.ndarray) -> tupl
         hit = rows[by[np.repeat(total > 1, np.diff(np.append(starts, len(by))))]]
         least[hit] = np.where(least[hit] < 0, l, least[hit])
         most[hit] = l
-    return least, most
+    return least, most, (lead == lead[order[0]]) | (lead == lead[order[-1]])
 
 
-def in_buckets(context: DataFrame) -> DataFrame:
-    """kh, ch, least, most of the contexts with a repeated string, compared in range-partitioned buckets."""
-    n = int(context.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def in_buckets(context: DataFrame, buckets: int) -> DataFrame:
+    """kh, ch, least, most of the contexts with a repeated string, compared in range-partitioned buckets; and n, suffix, before,
+    with nulls in least and most, of those at a bucket's edges, which have to be compared across boundaries."""
 
     def bucket(stream):
         rows = [b for b in stream if b.num_rows]
         if rows:
-            t = pa.Table.from_batches(rows)
+            t = pa.Table.from_batches(rows).combine_chunks()
             suffixes, befores = t.column("suffix").to_pylist(), t.column("before").to_pylist()
-            least, most = repeated(suffixes, befores, t.column("n").to_numpy())
-            hit = np.flatnonzero(most >= 0)
+            least, most, edge = repeated(suffixes, befores, t.column("n").to_numpy())
+            hit = np.flatnonzero((most >= 0) & ~edge)
             own = np.array([hashes(suffixes[i], befores[i]) for i in hit], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[:, 0], own[:, 1], least[hit].astype(np.int32), most[hit].astype(np.int32))], names=["kh", "ch", "least", "most"])
+            none = lambda k: pa.nulls(len(hit), k)
+            names = ["kh", "ch", "least", "most", "n", "suffix", "before"]
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(least[hit].astype(np.int32)), pa.array(most[hit].astype(np.int32)), none(pa.int64()), none(pa.binary()), none(pa.binary())], names=names)
+            at = np.flatnonzero(edge)
+            for i in range(0, len(at), 10_000):
+                part = t.take(at[i : i + 10_000]).combine_chunks()
+                blank = [pa.nulls(len(part), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*blank, *(part.column(c).chunk(0) for c in names[4:])], names=names)
 
-    return context.repartitionByRange(n, F.substring("suffix", 1, K)).mapInArrow(bucket, "kh bigint, ch bigint, least int, most int")
+    return context.repartitionByRange(buckets, "suffix", "before").mapInArrow(bucket, "kh bigint, ch bigint, least int, most int, n bigint, suffix binary, before binary")
 
 
-def one_by_one(context: DataFrame) -> DataFrame:
-    """The same for groups too large for a bucket: each string hashed and counted."""
+def across_boundaries(context: DataFrame) -> DataFrame:
+    """kh, ch, least, most of contexts that lie in several buckets: each string hashed and counted."""
 
     def strings(stream):
         for batch in stream:
@@ -272,40 +295,35 @@ def one_by_one(context: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names=["kh", "ch", "n", "l", "w"])
 
     made = context.mapInArrow(strings, "kh bigint, ch bigint, n bigint, l int, w bigint")
+    # a string's hash has its l in it, so with the hash of the K bytes it stands for both
     twice = made.groupBy("kh", "w").agg(F.sum("n").alias("n")).where("n > 1").select("kh", "w")
     return made.drop("n").join(twice, ["kh", "w"]).groupBy("kh", "ch").agg(F.min("l").alias("least"), F.max("l").alias("most"))
 
 
-def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows, read again from the shared folder: a join with them has an exchange of its own on both sides, which adaptive
+    execution can split, and lineage ends."""
+    at = scratch(df.sparkSession, what)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
+def repeated_spans(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """docs as ``keyed`` has them. Returns key, h and spans, an array of (start, stop) that cover the repeated bytes; they may
     overlap. Documents without any are not returned."""
-    spark = docs.sparkSession
     found = anchor_rows(docs)
-    again = found.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh")
-    held = scratch(spark, "anchors")
-    found.join(again, "kh").write.parquet(held)
-    found = spark.read.parquet(held)
+    again = written(found.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"), "repeated-anchors")
+    found = written(found.join(again, "kh"), "anchors")
     kinds = found.groupBy("kh", "ch").agg(F.count("*").alias("n"), F.min(F.struct("key", "h", "pos")).alias("first"))
-    # a context that is there twice has all its strings twice: only a group with one that is not has to be compared
-    per = kinds.groupBy("kh").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest"))
-    mixed = kinds.join(per.where("kinds > 1 and rarest = 1").drop("rarest"), "kh").select("kh", "ch", "n", "kinds", "first.key", "first.h", "first.pos")
-    wanted = mixed.groupBy("key", "h").agg(F.collect_list(F.struct("pos", (F.col("n") * 2 + (F.col("kinds") > group).cast("bigint")).alias("n"))).alias("at"))
-    context = contexts(wanted, docs)
-    large = bool(per.where((F.col("kinds") > group) & (F.col("rarest") == 1)).limit(1).count())
-    if large:  # both ways read the contexts
-        at = scratch(spark, "contexts")
-        context.write.parquet(at)
-        context = spark.read.parquet(at)
-    flag, n = F.col("n") % 2 == 1, F.floor(F.col("n") / 2).alias("n")
-    columns = [n, "suffix", "before"]
-    solved = in_buckets(context.where(~flag).select(*columns))
-    if large:
-        solved = solved.unionByName(one_by_one(context.where(flag).select(*columns)))
-    whole = per.where("kinds = 1 or rarest > 1").select("kh", F.lit(0).alias("least"), F.lit(BEFORE).alias("most"))
-    spans = found.join(solved, ["kh", "ch"]).select("key", "h", "pos", "least", "most")
-    spans = spans.unionByName(found.join(whole, "kh").select("key", "h", "pos", "least", "most"))
+    wanted = kinds.select("n", "first.*").groupBy("key", "h").agg(F.collect_list(F.struct("pos", "n")).alias("at"))
+    wanted = written(wanted, "wanted")
+    size = (wanted.agg(F.sum(F.size("at"))).first()[0] or 0) * (LENGTH + BEFORE)
+    compared = written(in_buckets(contexts(wanted, docs), max(1, -(-size // bucket))), "compared")
+    edges = across_boundaries(compared.where("suffix is not null").select("n", "suffix", "before"))
+    solved = compared.where("suffix is null").select("kh", "ch", "least", "most").unionByName(edges)
+    spans = found.join(solved, ["kh", "ch"])
     span = F.struct(F.greatest(F.lit(0), F.col("pos") - F.col("most")).alias("a"), (F.col("pos") + LENGTH - F.col("least")).alias("b"))
-    return spans.groupBy("key", "h").agg(F.collect_list(span).alias("spans"))
+    return written(spans.groupBy("key", "h").agg(F.collect_set(span).alias("spans")), "spans")
 
 
 def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
@@ -337,11 +355,13 @@ def whole_characters(t: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, i
     return out
 
 
-def with_spans(docs: DataFrame, key: str, text: str, columns: list[str]) -> DataFrame:
-    """The given columns of ``docs`` as c0, c1, ..., its bytes as t and the spans found in them."""
-    wide = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col(key).alias("key"), F.hash(text).alias("h"), F.coalesce(F.encode(text, "utf-8"), F.lit(b"")).alias("t"))
+def with_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """row, a struct of the columns of ``docs`` but the text, its bytes as t, whether there is a text, and the spans found in it."""
+    rest = [c for c in docs.columns if c != text]
+    row = F.struct(*(column(c) for c in rest)) if rest else F.lit(None).cast("struct<none:int>")
+    wide = docs.select(row.alias("row"), F.col(text).isNotNull().alias("some"), F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.coalesce(F.encode(text, "utf-8"), F.lit(b"")).alias("t"))
     spans = repeated_spans(keyed(docs, key, text))
-    return packed(wide).alias("d").join(spans.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")) & (F.col("d.h") == F.col("s.h")), "left").select(*(f"c{i}" for i in range(len(columns))), "t", "spans")
+    return packed(wide).alias("d").join(spans.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")) & (F.col("d.h") == F.col("s.h")), "left").select("d.row", "d.some", "d.t", "s.spans")
 
 
 def digest(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -351,32 +371,32 @@ def digest(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     def batches(stream):
         for batch in stream:
             rows = []
-            for t, spans in zip(unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for packed_text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                t = unpacked_one(packed_text)
                 runs = merged(spans or [], len(t))
                 rows.append((len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(t, runs)).hexdigest()))
             n, gone, count, sums = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sums, pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs, key, text, [key]).mapInArrow(batches, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    found = with_spans(docs.select(key, text), key, text).select(F.col("row")[key].alias("key"), "t", "spans")
+    return found.mapInArrow(batches, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``docs``, repeated strings cut out of the text. Only whole characters go, so texts stay UTF-8; a null
     text stays null."""
     bounded_batches(docs.sparkSession)
-    names = docs.columns
-    if text not in names:
+    if text not in docs.columns:
         raise ValueError(f"no column {text}")
-    at = names.index(text)
+    found = with_spans(docs, key, text)
 
     def batches(stream):
         for batch in stream:
             out = []
-            for old, t, spans in zip(batch.column(at).to_pylist(), unpacked(batch.column(len(names))), batch.column(len(names) + 1).to_pylist(), strict=True):
-                out.append(old if not spans else kept_bytes(t, whole_characters(t, merged(spans, len(t)))).decode())
-            columns = [batch.column(i) for i in range(len(names))]
-            columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
-    return with_spans(docs, key, text, names).mapInArrow(batches, schema)
+            for some, packed_text, spans in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                t = unpacked_one(packed_text) if some else None
+                out.append(kept_bytes(t, whole_characters(t, merged(spans, len(t)))) if spans else t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()).cast(pa.string())], names=["row", "t"])
+
+    cut = found.mapInArrow(batches, StructType([found.schema["row"], StructField("t", StringType())]))
+    return cut.select(*((F.col("t") if c == text else F.col("row")[c]).alias(c) for c in docs.columns))

@@ -184,13 +184,37 @@ def test_suffix_dedup(spark, odd, empty):
     assert suffix_dedup.digest(empty).count() == 0
 
 
-def test_large_groups_are_counted_one_by_one(spark):
+def test_groups_cut_by_boundaries_are_compared_across_them(spark):
     df = suffix_dedup.keyed(spark.createDataFrame(list(enumerate(repeating_texts())), "doc_id bigint, text string"), "doc_id", "text")
-    both = []
-    for group in (1, 10**6):
-        spans = suffix_dedup.repeated_spans(df, group).collect()
-        both.append(sorted((r["key"], tuple(suffix_dedup.merged(r["spans"], 10**9))) for r in spans))
-    assert both[0] == both[1] and both[0]
+    found = []
+    for bucket in (2000, 10**9):  # about five contexts a bucket, and all of them in one
+        spans = suffix_dedup.repeated_spans(df, bucket).collect()
+        found.append(sorted((r["key"], tuple(suffix_dedup.merged(r["spans"], 10**9))) for r in spans))
+    assert found[0] == found[1] and found[0]
+
+
+def test_multikey_quicksort_sorts():
+    rng = np.random.default_rng(3)
+    rows = [bytes(rng.integers(97, 99, rng.integers(0, 40)).astype(np.uint8)) for _ in range(500)] + [b"a" * 40] * 5
+    words, length = suffix_dedup.matrix(rows, 40)
+    assert [rows[i] for i in suffix_dedup.multikey_sort(words, length)] == sorted(rows)
+    group = rng.integers(0, 7, len(rows))
+    assert [(group[i], rows[i]) for i in suffix_dedup.multikey_sort(words, length, group)] == sorted(zip(group, rows))
+    assert len(suffix_dedup.multikey_sort(words[:0], length[:0])) == 0
+
+
+def test_null_and_repeated_keys_keep_texts_apart(spark):
+    texts = [f"{i} " + "".join(random.Random(i).choice("abcdefg ") for _ in range(260)) for i in range(300)]
+    rows = [(None, t) for t in texts] + [(1, t[:250] + "!") for t in texts[:20]] + [(1, texts[0])] * 40
+    check_spans(spark.createDataFrame(rows, "doc_id bigint, text string"))
+
+
+def test_removal_passes_columns_of_any_name(spark):
+    names = ["row", "t", "key", "h", "some", "spans", "d", "s", "c0", "pos", "a.b", "text"]
+    rows = [(i, *[f"{i}-{c}" for c in names[:-1]], f"text {i}") for i in (1, 2)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id bigint", *(f"`{c}` string" for c in names)]))
+    got = suffix_dedup.remove(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == rows
 
 
 def test_removal_keeps_characters_whole(spark):
