@@ -1,16 +1,17 @@
 """URL filters by a path-template tree, with DataFrame functions only.
 
-1. A path's segments are generalised one by one: digits, digits with an extension, hexadecimal and long mixed segments
-   become classes of wildcards; others stay literal. Paths keep all their segments.
-2. Pages are summed by host and generalised path. From here on tables hold one row for a host's template, not for a page.
-3. Level by level, a node whose literal children are many and hardly repeat is variable: its children become ``*``.
-4. Siblings whose labelled shares do not differ from their parent's beyond chance (a z test of two shares) are merged: they
-   are judged on their pooled counts. A branch that differs stands by itself. Leaves are merged first, then inner branches
-   level by level up to the host, by the sums of all below them; inner branches that differ are compared once more with those
-   that differ the same way. Leaves that fall together so are pooled if they pass the same test.
-5. A template is rejected if its purity, the share of its labelled pages that are bad, smoothed by ``WEIGHT`` pages of the
-   corpus-wide share, reaches ``REJECT``. A template without a labelled page is not rejected.
-6. Explicit rules on host and path come before the tree; the longest that fits wins.
+1. Pages are summed by host and path; a path is the list of its segments, all of them.
+2. Top-down, level by level, a node of a host's tree is variable if its different children are many (``VARIABLE_CHILDREN``) and
+   hardly repeat (``VARIABLE_RATIO`` of its pages). The children's runs of digits become ``#`` then; if what is left is as varied
+   still, the children become ``*``. Nothing but this variety makes a wildcard; few children stay literal.
+3. Siblings whose labelled shares do not differ from that of their other siblings beyond chance (a z test of two shares) are
+   merged: they are judged on their pooled counts. A branch that differs stands by itself. Leaves are merged first, then inner
+   branches level by level up to the host, by the sums of all below them; inner branches that differ are compared once more with
+   those that differ the same way. Leaves that fall together so are pooled if they pass the same test.
+4. A template is rejected if its purity, the share of its labelled pages that are bad, smoothed by ``WEIGHT`` pages of the
+   corpus-wide share, has ``LIFT`` times the odds of that share. A template without a bad page is not rejected, nor
+   is any if all labelled pages are bad: none stands out.
+5. Explicit rules on host and path come before the tree; the longest that fits wins.
 
 Null urls and urls without ``://`` have an empty host and path and are judged like the pages of any other host, a label of
 theirs included. Repeated rows get equal verdicts. A host may hold any share of the pages: sums combine before they are
@@ -28,8 +29,8 @@ from .common import checkpointed
 
 #: Children from which a node may be variable, and the least ratio of its different children to its pages then.
 VARIABLE_CHILDREN, VARIABLE_RATIO = 12, 0.3
-#: Limit of z for merging siblings, pages that smooth a purity, and the purity that rejects.
-Z_LIMIT, WEIGHT, REJECT = 1.96, 10.0, 0.5
+#: Limit of z for merging siblings, pages that smooth a purity, and how many times the corpus-wide odds reject.
+Z_LIMIT, WEIGHT, LIFT = 1.96, 10.0, 2.0
 #: Beginning of the segment of merged siblings: no segment of a path has a slash.
 MERGED = "/*"
 
@@ -61,15 +62,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """Generalised segments of a path."""
-
-    def wild(s: Column) -> Column:
-        return (
-            F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^[0-9]+\.[a-z]{1,5}$"), F.concat(F.lit("{n}"), F.regexp_extract(s, r"(\.[a-z]{1,5})$", 1)))
-            .when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), "{hex}").when((F.length(s) >= 24) & s.rlike("[0-9]"), "{mixed}").otherwise(s)
-        )
-
-    return F.transform(F.array_remove(F.split(path, "/"), ""), wild)
+    return F.array_remove(F.split(path, "/"), "")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -86,29 +79,29 @@ def deepest(found: DataFrame, least: int) -> int:
 
 def generalised(found: DataFrame) -> DataFrame:
     """Adds t, the segments with those of variable nodes made wildcards, level by level. A level uses its rows twice, so they are
-    checkpointed: the plan would double with each level."""
+    checkpointed: the plan would double with each level. The variable nodes are too: a node with most of the pages meets its one
+    row in a join that can split it."""
     out = found.withColumn("t", F.col("segs"))
     for level in range(1, deepest(found, VARIABLE_CHILDREN) + 1):
-        out = out.withColumn("_up", F.slice("t", 1, level - 1)).withColumn("_seg", F.get("t", F.lit(level - 1)))
-        literal = F.col("_seg").isNotNull() & ~F.col("_seg").startswith("{")
-        children = out.where(literal).groupBy("host", "_up", "_seg").agg(F.sum("n").alias("n"))
-        nodes = children.groupBy("host", "_up").agg(F.count("*").alias("kinds"), F.sum("n").alias("pages"))
-        variable = nodes.where((F.col("kinds") >= VARIABLE_CHILDREN) & (F.col("kinds") >= VARIABLE_RATIO * F.col("pages"))).select("host", "_up", F.lit(True).alias("_variable"))
-        out = out.join(variable, ["host", "_up"], "left")
-        out = out.withColumn("t", F.when(F.col("_variable") & literal, _star(level)).otherwise(F.col("t"))).drop("_up", "_seg", "_variable")
-        out = checkpointed(out)
+        node = out.select("*", F.slice("t", 1, level - 1).alias("up"), F.get("t", F.lit(level - 1)).alias("seg"))
+        children = node.where("seg is not null").groupBy("host", "up", "seg").agg(F.sum("n").alias("n"))
+        shapes = children.groupBy("host", "up", F.regexp_replace("seg", "[0-9]+", "#").alias("shape")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+        nodes = shapes.groupBy("host", "up").agg(F.sum("kinds").alias("kinds"), F.count("*").alias("shapes"), F.sum("n").alias("n"))
+        varied = lambda kinds: (F.col(kinds) >= VARIABLE_CHILDREN) & (F.col(kinds) >= VARIABLE_RATIO * F.col("n"))
+        variable = checkpointed(nodes.where(varied("kinds")).select("host", "up", varied("shapes").alias("any")))
+        wild = F.when(F.col("any"), F.lit("*")).otherwise(F.regexp_replace("seg", "[0-9]+", "#"))
+        node = node.join(variable, ["host", "up"], "left").withColumn("wild", F.when(F.col("any").isNotNull(), wild))
+        t = F.transform("t", lambda s, i: F.when((i == level - 1) & F.col("wild").isNotNull(), F.col("wild")).otherwise(s))
+        out = checkpointed(node.select(*found.columns, t.alias("t")))
     return out
 
 
-def _star(level: int) -> Column:
-    return F.transform("t", lambda s, i: F.when(i == level - 1, F.lit("*")).otherwise(s))
-
-
 def alike(labelled: Column, bad: Column, all_labelled: Column, all_bad: Column) -> Column:
-    """Whether a branch's labelled share does not differ from its family's beyond chance."""
-    pooled = F.try_divide(all_bad, all_labelled)
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), labelled) + F.try_divide(F.lit(1.0), all_labelled)))
-    return F.coalesce(F.abs(F.try_divide(F.try_divide(bad, labelled) - pooled, spread)) < Z_LIMIT, F.lit(True))
+    """Whether a branch's labelled share does not differ beyond chance from that of the rest of its family; all_labelled and all_bad
+    are the family's sums, the branch's own among them."""
+    pooled, rest = F.try_divide(all_bad, all_labelled), all_labelled - labelled
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), labelled) + F.try_divide(F.lit(1.0), rest)))
+    return F.coalesce(F.abs(F.try_divide(F.try_divide(bad, labelled) - F.try_divide(all_bad - bad, rest), spread)) < Z_LIMIT, F.lit(True))
 
 
 def merged_leaves(by: DataFrame) -> DataFrame:
@@ -151,8 +144,10 @@ def judged(found: DataFrame) -> DataFrame:
         by = merged_branches(by, level)
     pools = by.groupBy("host", "m").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(total))
     pools = pools.withColumn("purity", (F.col("bad") + WEIGHT * F.col("prior")) / (F.col("labelled") + WEIGHT))
+    odds = lambda p: F.try_divide(p, 1 - p)
+    high = F.coalesce(odds(F.col("purity")) >= LIFT * odds(F.col("prior")), F.lit(False)) & (F.col("bad") > 0)
     name = F.concat(F.lit("/"), F.array_join(F.transform("m", lambda s: F.when(s.startswith(MERGED), F.lit("*")).otherwise(s)), "/"))
-    pools = pools.select("host", "m", name.alias("template"), "purity", ((F.col("purity") >= REJECT) & (F.col("labelled") > 0)).alias("rejected"))
+    pools = pools.select("host", "m", name.alias("template"), "purity", high.alias("rejected"))
     return found.select("host", "segs", "t").join(by.select("host", "t", "m").join(pools, ["host", "m"]), ["host", "t"]).drop("t", "m")
 
 

@@ -221,6 +221,79 @@ def test_url_templates(spark):
     assert pages.select(F.count("*")).first()[0] == 81
 
 
+def test_url_base_columns_equal_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    odd_urls = [None, "", "no scheme", "HTTP://Example.COM/en/7?x#y", "a://b?c", "a://b#c/d", "x://sub.example.net/de/81", "x://notexample.net/de/8", "://", "s://h//p"]
+    pages = pages.select("page_id", "url").unionByName(spark.createDataFrame([(10**6 + i, u) for i, u in enumerate(odd_urls)], "page_id bigint, url string"))
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    fits = " ".join(f"WHEN (host = '{t.split('/')[0]}' OR ends_with(host, '.{t.split('/')[0]}')) AND starts_with(path, '/{t.split('/', 1)[1]}') THEN '{t}'" for _, t in sorted(rules, key=lambda r: -len(r[1])))
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    want = con.sql(f"SELECT page_id, host, path, CASE {fits} END FROM (SELECT page_id, lower(regexp_extract(r, '^([^/?#]*)', 1)) AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, {rest} AS r FROM pages))").fetchall()
+    got = rows_of(urls.filter_urls(pages, spark.createDataFrame([], "page_id bigint, bad int"), [urls.Rule.parse(*r) for r in rules]))
+    assert sorted((r["page_id"], r["host"], r["path"], r["rule"]) for r in got) == sorted(want)
+    verdict = dict((t, v) for v, t in rules)
+    assert all(r["verdict"] == verdict.get(r["rule"], "allow") for r in got)
+
+
+def plain_wildcards(paths):
+    """The generalised segments of one host's paths, level by level."""
+    split = [[s for s in p.split("/") if s] for p in paths]
+    out = [list(s) for s in split]
+    for level in range(max(map(len, split), default=0)):
+        nodes = defaultdict(list)
+        for k, t in enumerate(out):
+            if len(t) > level:
+                nodes[tuple(t[:level])].append(k)
+        for rows in nodes.values():
+            shape = {k: re.sub("[0-9]+", "#", out[k][level]) for k in rows}
+            varied = lambda kinds, n: kinds >= urls.VARIABLE_CHILDREN and kinds >= urls.VARIABLE_RATIO * n
+            if varied(len({out[k][level] for k in rows}), len(rows)):
+                any_ = varied(len(set(shape.values())), len(rows))
+                for k in rows:
+                    out[k][level] = "*" if any_ else shape[k]
+    return {tuple(s): tuple(t) for s, t in zip(split, out)}
+
+
+def made_pages():
+    """Pages of two hosts with a bad template, a good one, and words for segments; (path, bad, host)."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for host in ("one.com", "two.org"):
+        for _ in range(150):
+            rows.append((f"/deals/{word()}/{rng.randint(1, 999)}.html", int(rng.random() < 0.9), host))
+            rows.append((f"/news/2024/{rng.randint(1, 12)}/{word()}", int(rng.random() < 0.05), host))
+            rows.append((f"/u{rng.randint(1, 9)}/profile", int(rng.random() < 0.1), host))
+    return rows
+
+
+def test_url_wildcards_and_purities_equal_brute_force(spark):
+    rows = made_pages()
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (p, _, h) in enumerate(rows)], "page_id bigint, url string")
+    marked = spark.createDataFrame([(h, p, b) for p, b, h in rows], "host string, path string, bad int")
+    for host in ("one.com", "two.org"):
+        want = plain_wildcards([p for p, _, h in rows if h == host])
+        got = {tuple(r["segs"]): tuple(r["t"]) for r in urls.generalised(urls.templates(marked)).where(f"host = '{host}'").collect()}
+        assert got == want and any("*" in t for t in want.values()) and any("#" in x for t in want.values() for x in t)
+    # learned from two thirds of the pages; judged on the rest
+    labels = spark.createDataFrame([(i, b) for i, (_, b, _) in enumerate(rows) if i // 3 % 3], "page_id bigint, bad int")
+    found = {r["page_id"]: r for r in rows_of(urls.filter_urls(pages, labels, []))}
+    prior = sum(b for i, (_, b, _) in enumerate(rows) if i // 3 % 3) / sum(1 for i in range(len(rows)) if i // 3 % 3)
+    pools = defaultdict(list)
+    for i, (_, b, h) in enumerate(rows):
+        if i // 3 % 3:
+            pools[h, found[i]["template"], round(found[i]["purity"], 12)].append(b)
+    for (_, _, purity), bad in pools.items():
+        assert purity == pytest.approx((sum(bad) + urls.WEIGHT * prior) / (len(bad) + urls.WEIGHT))
+    held = [(found[i]["verdict"] == "block", b) for i, (_, b, _) in enumerate(rows) if i // 3 % 3 == 0]
+    precision = sum(b for v, b in held if v) / sum(v for v, _ in held)
+    recall = sum(v for v, b in held if b) / sum(b for _, b in held)
+    assert precision > 0.85 and recall > 0.75
+
+
 def test_url_branches_merge_up_to_the_host(spark):
     rows = [(100 * k + i, f"http://split.com/{b}/{i}") for k, b in enumerate("abc") for i in range(5)]
     rows += [(1000 + i, f"http://split.com/fine/{i}") for i in range(40)] + [(2000 + i, f"http://good.com/x/{i}") for i in range(20)]
