@@ -6,8 +6,8 @@ with the word's edges. Transitions between the labels of neighbouring words are
 between documents of different languages. Forward-backward gives each word's distribution in its whole text; a text's
 prediction is the language with the highest mean over its words, its score that mean.
 
-Fitting uses at most about ``SAMPLE`` documents of each language, of each a run of ``RUN`` words, a documented bound: a
-share of the documents is taken by the hash of their id. Beyond ``LANGUAGES`` languages each has fewer documents and the table
+Fitting uses about ``SAMPLE`` documents of each language at most, a documented bound: a share of them is taken by the hash of
+their id and text, equal ones once; their whole texts are learned from, in runs of ``RUN`` words. Beyond ``LANGUAGES`` languages each has fewer documents and the table
 of weights fewer slots, ``LEAST`` documents and 2 ** 12 slots at least: no language is left out. Texts are scored whole. Texts are packed by time step and
 processed together, so a step serves all texts that are that long.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, slices
 
 #: Documents of a language, words of a run, languages from which each has fewer documents, and how many it has then at least.
-SAMPLE, RUN, LANGUAGES, LEAST = 1200, 64, 64, 16
+SAMPLE, RUN, LANGUAGES, LEAST = 400, 64, 64, 16
 BITS = 17
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -226,20 +226,18 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
         return Model([], np.zeros((1, 0), np.float32), np.zeros((0, 0)))
     each = min(most, max(LEAST, most * LANGUAGES // len(counts)))
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "_of string, _share double")
-    spread = F.pmod(F.xxhash64(F.col(key), F.lit(29)), F.lit(1 << 30)) / (1 << 30)
-    chosen = rows.join(F.broadcast(shares), F.col(lang) == F.col("_of")).where(spread < F.col("_share")).select(F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(key), F.lit(31)), F.lit(1 << 20)).alias("at"), F.col(text).alias("t"))
+    hashed = F.xxhash64(F.col(key), F.col(text), F.lit(29))
+    chosen = rows.select(F.col(lang).alias("lang"), F.col(text).alias("t"), hashed.alias("at")).join(F.broadcast(shares), F.col("lang") == F.col("_of"))
+    chosen = chosen.where(F.pmod("at", F.lit(1 << 30)) / (1 << 30) < F.col("_share")).select("lang", "t", "at")
 
     def runs(stream):
         for batch in stream:
-            out = []
-            for at, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = words_of(t)
-                start = at % max(1, len(words) - RUN + 1)
-                out.append(words[start : start + RUN])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], names=["lang", "at", "w"])
-
-    table = [r for r in chosen.mapInArrow(runs, "lang string, at bigint, w array<string>").collect() if r["w"]]
-    table.sort(key=lambda r: (r["lang"], r["at"], r["w"]))
+            out = [(lang, at, i, words[i : i + RUN]) for lang, t, at in zip(*(c.to_pylist() for c in batch.columns), strict=True) for words in [words_of(t)] for i in range(0, len(words), RUN)]
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())], strict=True)], names=["lang", "at", "i", "w"])
+
+    found = chosen.mapInArrow(runs, "lang string, at bigint, i int, w array<string>").dropDuplicates(["lang", "at", "i"])
+    table = sorted(found.collect(), key=lambda r: (r["lang"], r["at"], r["i"]))
     languages = sorted({r["lang"] for r in table})
     if not languages:
         return Model([], np.zeros((1, 0), np.float32), np.zeros((0, 0)))

@@ -4,10 +4,11 @@ Features of a whole text: densities of two lexicons (a short fixed one, and one
 from labelled texts by the log-odds of document frequencies), how near their words stand to second-person words, capitals, punctuation, and signs of
 obfuscation (look-alike characters, drawn-out and spaced-out letters, and lexicon words found only after undoing them).
 
-Labels come from at most ``SAMPLE`` labelled rows, a documented bound: if there are more, a share of them is taken by the
-hash of their id. Trees are grown on histograms of the features in numpy; out-of-fold margins are calibrated by pool
-adjacent violators, and scores are interpolated between the pools. Where the sample has no two classes, every score is the
-smoothed share of label 1.
+Labels come from about ``SAMPLE`` labelled texts at most, a documented bound: if there are more, a share of the labelled ids,
+and then of the different texts that they have, is taken by hash; a text that repeats under its id is learned from once. Trees are
+grown on histograms of the features in numpy. Margins of the texts of each fold, by a lexicon and trees that the other folds
+made, are calibrated by pool adjacent violators, and scores are interpolated between the pools. Where the sample has no two
+classes, every score is the smoothed share of label 1.
 
 Null and empty texts are scored like any other, as texts without words. A document with contradicting labels counts as
 toxic. Repeated rows get equal scores.
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, scratch
 
 #: Most labelled rows that the model is fitted on, and most words and word beginnings of the learned lexicon.
 #: Beginnings (stems of inflected words) are kept with a * behind them, and have these lengths.
-SAMPLE, LEXICON, STEMS = 20_000, 400, (6, 5, 4, 3)
+SAMPLE, LEXICON, STEMS, FOLDS = 20_000, 400, (6, 5, 4, 3), 3
 #: Insults, and words of the second person, in four languages.
 INSULTS = frozenset(
     """idiot idiots moron morons stupid dumb dumbass fool imbecile loser losers clown scum trash garbage filth worthless pathetic disgusting
@@ -201,49 +202,74 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, most: int) -> DataFrame:
-    """y and t of a bounded sample of labelled documents."""
-    rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("y"))
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("_k", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    return docs.join(F.broadcast(rows), docs[key] == F.col("_k")).select("y", F.coalesce(docs[text], F.lit("")).alias("t"), F.pmod(F.xxhash64("_k", F.lit(5)), F.lit(3)).alias("fold"))
+    """y, t and fold of a bounded sample of labelled texts, written to the shared folder. Ids are sampled first, so the side that is
+    broadcast is bounded; then their texts, of which an id may have any number."""
 
+    def share(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+        return rows if n <= most else rows.where(F.pmod(F.xxhash64(*columns, F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> Model:
-    """Fits on the documents that ``labels`` has; its rows are taken as given, so held-out ones must not be in it."""
-    bounded_batches(docs.sparkSession)
-    sample = labelled(docs, labels, key=key, text=text, label=label, most=most)
+    ids = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    ids = share(ids, ids.count(), "k")
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(ids), F.col("id") == F.col("k"))
+    rows = rows.select("k", "y", F.xxhash64("t").alias("h"), "t")
+    at = scratch(docs.sparkSession, "labelled")
+    rows = share(rows, rows.select("k", "h").distinct().count(), "k", "h").dropDuplicates(["k", "h"])
+    rows.select("y", "t", F.pmod(F.xxhash64("k", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")).write.parquet(at)
+    return docs.sparkSession.read.parquet(at)
+
+
+def lexicons(sample: DataFrame, sizes: dict[tuple[int, int], int]) -> list[Lexicon]:
+    """The lexicon that all folds but one make, for each fold, and the one of all; sizes: texts by (fold, whether label 1)."""
 
     def kinds(stream):
         for batch in stream:
-            pairs = [(w, y) for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in stems_of(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int32())], names=["w", "y"])
+            rows = [(w, y, k) for y, t, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for w in stems_of(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], names=["w", "y", "fold"])
+
+    sums = [x for k in range(FOLDS) for x in (F.count_if((F.col("fold") == k) & (F.col("y") == 1)).alias(f"b{k}"), F.count_if(F.col("fold") == k).alias(f"n{k}"))]
+    at = scratch(sample.sparkSession, "words")
+    sample.select("y", "t", "fold").mapInArrow(kinds, "w string, y int, fold int").groupBy("w").agg(*sums).where("+".join(f"b{k}" for k in range(FOLDS)) + " >= 3").write.parquet(at)
+    counts, out = sample.sparkSession.read.parquet(at), []
+    for left in [*range(FOLDS), None]:
+        folds = [k for k in range(FOLDS) if k != left]
+        bad, good = (sum(sizes.get((k, c), 0) for k in folds) for c in (1, 0))
+        b, n = sum(F.col(f"b{k}") for k in folds), sum(F.col(f"n{k}") for k in folds)
+        rows = counts.select("w", b.alias("b"), n.alias("n"))
+        odds = F.log((F.col("b") + 0.5) / (bad - F.col("b") + 0.5)) - F.log((F.col("n") - F.col("b") + 0.5) / (F.lit(good + 0.5) - (F.col("n") - F.col("b"))))
+        spread = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("n") - F.col("b") + 0.5))
+        top = rows.where(F.col("b") >= 3).withColumn("odds", odds).withColumn("z", F.col("odds") / spread).where("odds > 1.5 and z > 3.5").orderBy(F.desc("z"), "w").limit(LEXICON)
+        out.append(Lexicon({r["w"]: float(r["odds"]) for r in top.collect()}))
+    return out
 
-    by_class = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    bad, good = by_class.get(1, 0), sum(n for y, n in by_class.items() if y != 1)
+
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> Model:
+    """Fits on the documents that ``labels`` has; its rows are taken as given, so held-out ones must not be in it."""
+    bounded_batches(docs.sparkSession)
+    sample = labelled(docs, labels, key=key, text=text, label=label, most=most)
+    sizes = {(r["fold"], r["bad"]): r["n"] for r in sample.groupBy("fold", (F.col("y") == 1).cast("int").alias("bad")).agg(F.count("*").alias("n")).collect()}
+    bad, good = (sum(n for (_, c), n in sizes.items() if c == kind) for kind in (1, 0))
     prior = (bad + 1) / (bad + good + 20)
     if not bad or not good:
         return Model(Lexicon({}), None, np.zeros(1), np.zeros(1), prior)
-    counts = sample.mapInArrow(kinds, "w string, y int").groupBy("w").agg(F.sum((F.col("y") == 1).cast("int")).alias("b"), F.count("*").alias("n"))
-    odds = F.log((F.col("b") + 0.5) / (bad - F.col("b") + 0.5)) - F.log((F.col("n") - F.col("b") + 0.5) / (F.lit(good + 0.5) - (F.col("n") - F.col("b"))))
-    spread = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("n") - F.col("b") + 0.5))
-    top = counts.where(F.col("b") >= 3).withColumn("odds", odds).withColumn("z", F.col("odds") / spread).where("odds > 1.5 and z > 3.5").orderBy(F.desc("z"), "w").limit(LEXICON)
-    learned = Lexicon({r["w"]: float(r["odds"]) for r in top.collect()})
+    learned = lexicons(sample, sizes)
+    names = [f"{n}_{k}" for k in range(FOLDS + 1) for n in NAMES]
 
     def dense(stream):
         for batch in stream:
-            x = np.array([features(t, learned) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x[:, j]) for j in range(len(NAMES)))], names=["y", "fold", *NAMES])
-
-    table = sample.mapInArrow(dense, "y int, fold bigint, " + ", ".join(f"{n} double" for n in NAMES)).toPandas().sort_values(["fold", *NAMES], kind="stable")
-    x, y, fold = table[list(NAMES)].to_numpy(), (table["y"].to_numpy() == 1).astype(float), table["fold"].to_numpy()
-    margin = np.zeros(len(x))
-    for k in range(3):
+            texts = batch.column(1).to_pylist()
+            x = np.concatenate([np.array([features(t, lexicon) for t in texts], np.float64).reshape(-1, len(NAMES)) for lexicon in learned], 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x[:, j]) for j in range(len(names)))], names=["y", "fold", *names])
+
+    table = sample.select("y", "t", "fold").mapInArrow(dense, "y int, fold int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values(["fold", *names], kind="stable")
+    y, fold = (table["y"].to_numpy() == 1).astype(float), table["fold"].to_numpy()
+    by = [table[names[k * len(NAMES) : (k + 1) * len(NAMES)]].to_numpy() for k in range(FOLDS + 1)]
+    margin = np.zeros(len(y))
+    for k in range(FOLDS):
         inside = fold == k
         if inside.any():
-            margin[inside] = grow(x[~inside], y[~inside]).margin(x[inside]) if (~inside).any() else 0
+            margin[inside] = grow(by[k][~inside], y[~inside]).margin(by[k][inside]) if (~inside).any() else 0
     at, share = isotonic(margin, y)
-    return Model(learned, grow(x, y), at, share, prior)
+    return Model(learned[FOLDS], grow(by[FOLDS], y), at, share, prior)
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:

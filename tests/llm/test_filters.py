@@ -157,6 +157,16 @@ def test_toxicity(spark, odd, empty):
     assert {r["score"] for r in rows_of(toxicity.score(docs.limit(3), one))} == {one.prior}
 
 
+def test_samples_are_bounded_by_texts_not_by_ids(spark):
+    rows = [(7, f"text {i} idiot", 1, "en") for i in range(4000)] + [(7, "the same text", 1, "en")] * 500 + [(None, "no id", 0, "en")] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int, lang string")
+    labels = docs.select("doc_id", "toxic")
+    assert 40 < toxicity.labelled(docs, labels, key="doc_id", text="text", label="toxic", most=100).count() < 200
+    assert toxicity.labelled(docs, labels, key="doc_id", text="text", label="toxic", most=10**6).count() == 4001
+    model = langid.fit(docs, most=50)
+    assert model.languages == ["en"]
+
+
 def test_isotonic_and_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
