@@ -14,9 +14,10 @@ two skippable frames, so that any zstandard reader can unpack it:
 
 Readers find a document by the directory and unpack only its frame, whose checksum they verify.
 
-Documents are dealt out by ranges of (key, text hash) and sorted within them, so the files in order are the corpus in
-ascending key order, nulls first; rows that tie are equal rows or in order of their text's hash. A task writes under a name
-of its own and the row that it returns is what makes a file count, so a repeated or speculative attempt does no harm.
+Documents are dealt out by ranges of (key, text hash, row) and sorted within them, so the files in order are the corpus in
+ascending key order, nulls first; rows that tie are equal rows or in order of their text's hash, and however many they are,
+they spread over files. There are as many files as the bytes of text need. A task writes under a name of its own and the row
+that it returns is what makes a file count, so a repeated or speculative attempt does no harm; what such attempts left is deleted.
 Null texts count as empty; a document without ids still has its end id.
 """
 
@@ -38,7 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, scratch, slices
 
-FRAME_BYTES = 1 << 20
+#: Bytes of ids in a frame, and of text in a file, about.
+FRAME_BYTES, FILE_BYTES = 1 << 20, 24 << 20
+#: Units that a worker remembers: this operator's budget goes into encoding new ones.
+UNITS = 800_000
 SKIPPABLE_DIRECTORY, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 DIRECTORY = np.dtype([("offset", "<u8"), ("key", "<i8"), ("null", "u1"), ("docs", "<u8"), ("ids", "<u8")])
 SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("sum", "<u4")])
@@ -155,7 +159,7 @@ class Encoder:
         self.tokenizer = open_tokenizer(path)
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.coder = UnitCoder(lambda units: ids_of_units(self.tokenizer, units)) if splits_at_space(self.tokenizer) else None
+        self.coder = UnitCoder(lambda units: ids_of_units(self.tokenizer, units), UNITS) if splits_at_space(self.tokenizer) else None
 
     @staticmethod
     @lru_cache(maxsize=4)
@@ -181,11 +185,13 @@ def write(docs: DataFrame, path: str, folder: str, *, key: str = "doc_id", text:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(1, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // FILE_BYTES))
     if key == text:
         raise ValueError("the key and the text are the same column")
-    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    dealt = rows.repartitionByRange(n, "k", "h").sortWithinPartitions("k", "h").select("k", "t")
+    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumns({"h": F.xxhash64("t"), "row": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange(n, "k", "h", "row").sortWithinPartitions("k", "h").select("k", "t")
+
+    run = uuid.uuid4().hex  # names this run's files
 
     def files(stream):
         from pyspark import TaskContext
@@ -194,7 +200,7 @@ def write(docs: DataFrame, path: str, folder: str, *, key: str = "doc_id", text:
         store, at = opened(folder)
         store.create_dir(at, recursive=True)
         part = TaskContext.get().partitionId()
-        name = f"tokens-{part:06d}-{uuid.uuid4().hex}.zst"
+        name = f"tokens-{run}-{part:06d}-{uuid.uuid4().hex[:12]}.zst"
         writer, end = None, np.array([] if end_id is None else [end_id], "<u4")
         with store.open_output_stream(f"{at}/{name}", compression=None) as out:
             writer = Writer(out, 2 if max(encoder.vocabulary, end_id or 0) <= 1 << 16 else 4, frame_bytes=frame_bytes)
@@ -206,7 +212,12 @@ def write(docs: DataFrame, path: str, folder: str, *, key: str = "doc_id", text:
             writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([writer.n_docs], pa.int64()), pa.array([writer.n_ids], pa.int64())], names=["part", "name", "docs", "ids"])
 
-    return [r.asDict() for r in sorted(dealt.mapInArrow(files, "part bigint, name string, docs bigint, ids bigint").collect(), key=lambda r: r["part"]) if r["docs"]]
+    made = [r.asDict() for r in sorted(dealt.mapInArrow(files, "part bigint, name string, docs bigint, ids bigint").collect(), key=lambda r: r["part"])]
+    store, at = opened(folder)
+    for file in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+        if file.base_name.startswith(f"tokens-{run}-") and file.base_name not in {f["name"] for f in made if f["docs"]}:
+            store.delete_file(file.path)
+    return [f for f in made if f["docs"]]
 
 
 def read(spark: SparkSession, folder: str, files: list[dict], *, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
