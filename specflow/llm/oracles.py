@@ -32,9 +32,9 @@ def _quality() -> str:
     apart = lambda p, q: f"coalesce(sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: ({part('z[1]')} + {part('z[2]')}) / 2)))), 0)"
     return f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '') AS w FROM documents),
-v AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(list_filter(string_split_regex(lower(t), '{SPACE}+'), lambda x: x <> '')) AS w FROM d WHERE lang IS NOT NULL) GROUP BY lang, w),
+v AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(list_filter(string_split_regex(t, '{SPACE}+'), lambda x: x <> '')) AS w FROM d WHERE lang IS NOT NULL) GROUP BY lang, w),
 lists AS (SELECT lang, list(w ORDER BY k) AS l, list(n ORDER BY k) AS ln FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS k FROM v) WHERE k <= {COMMON} GROUP BY lang),
-c AS (SELECT d.*, [{counts}] AS ch, CASE WHEN l IS NOT NULL THEN list_transform(l, lambda c: len(list_filter(w, lambda x: lower(x) = c))) END AS cw FROM d LEFT JOIN lists USING (lang)),
+c AS (SELECT d.*, [{counts}] AS ch, CASE WHEN l IS NOT NULL THEN list_transform(l, lambda c: len(list_filter(w, lambda x: x = c))) END AS cw FROM d LEFT JOIN lists USING (lang)),
 e AS (SELECT *, CASE WHEN cw IS NOT NULL THEN list_append(cw, len(w) - CAST(list_sum(cw) AS BIGINT)) END AS co FROM c),
 q AS (SELECT lang, count(*) AS n, {sums('ch', 7)} AS rc, sum(len(w)) AS nw FROM e GROUP BY lang),
 r AS (SELECT q.lang, n, rc, CASE WHEN ln IS NOT NULL THEN list_append(ln, CAST(nw - list_sum(ln) AS BIGINT)) END AS rw FROM q LEFT JOIN lists ON lists.lang = q.lang),

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doubled, scratch, window_hash
+from .common import scratch
 
 #: Least words and characters for the classes of characters, words for the common words, documents of a reference.
 MIN_WORDS, MIN_CHARS, MIN_COMMON, MIN_DOCS = 50, 200, 100, 20
@@ -51,14 +51,11 @@ def with_chars(docs: DataFrame, text: str) -> DataFrame:
 
 
 def with_common(docs: DataFrame) -> DataFrame:
-    """docs: words, and list, common words or null. Adds common, their counts and that of all others. Words are joined with two
-    spaces between them, so each has both of its own and taking a word out tells by the bytes how often it was there."""
-    out = docs.withColumn("padded", F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" ")))
-    often = lambda w: F.floor((F.octet_length("padded") - F.octet_length(F.replace(F.col("padded"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("double")
+    """docs: hashes, those of the words, and list, those of common words or null. Adds common, their counts and that of all others."""
+    out = docs.withColumn("listed", F.filter("hashes", lambda h: F.array_contains("list", h)))
     # a column that a lambda uses is computed for each element if nothing else uses it: hence the test of its size
-    out = out.withColumn("counts", F.when(F.octet_length("padded") > 0, F.transform("list", often)))
-    total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
-    return out.withColumn("common", F.concat("counts", F.array(F.size("words") - total))).drop("padded", "counts")
+    out = out.withColumn("counts", F.when(F.size("listed") >= 0, F.transform("list", lambda c: (F.size("listed") - F.size(F.array_remove("listed", c))).cast("double"))))
+    return out.withColumn("common", F.concat("counts", F.array((F.size("hashes") - F.size("listed")).cast("double")))).drop("listed", "counts")
 
 
 def shares_of(counts: str) -> Column:
@@ -81,7 +78,7 @@ def shares(counts: list[float]) -> Column:
 def common_words(docs: DataFrame) -> DataFrame:
     """docs: lang, text. Returns lang, list (the commonest words, most frequent first) and common (their counts over all documents,
     and that of all other words). Words combine before they are shuffled, and of each language only a task's best rows are."""
-    words = docs.where("lang is not null").select("lang", F.explode(words_of(F.lower("text"))).alias("w"))
+    words = docs.where("lang is not null").select("lang", F.explode(words_of(F.col("text"))).alias("w"))
     counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
     best = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("k") <= COMMON)
     best = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "w", F.col("n").cast("double").alias("n")))).alias("top"))
@@ -89,7 +86,7 @@ def common_words(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tuple[DataFrame, list[float]]:
-    """ref_lang, own_chars (shares), list and own_common (shares) of each language with enough documents, and the character
+    """ref_lang, own_chars (shares), list (hashes of the common words) and own_common (shares) of each language with enough documents, and the character
     counts of all documents. The table is written to the shared folder: its size is known then, and the join with it planned
     by that."""
     spark, rows = docs.sparkSession, docs.select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -104,7 +101,7 @@ def references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tu
     rest = F.col("n_words") - F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
     by = by.withColumn("common", F.concat("counts", F.array(rest)))
     at = scratch(spark, "references")
-    by.select(F.col("lang").alias("ref_lang"), shares_of("c").alias("own_chars"), "list", shares_of("common").alias("own_common")).write.parquet(at)
+    by.select(F.col("lang").alias("ref_lang"), shares_of("c").alias("own_chars"), F.transform("list", lambda w: F.xxhash64(w)).alias("list"), shares_of("common").alias("own_common")).write.parquet(at)
     return spark.read.parquet(at), [x or 0.0 for x in total]
 
 
@@ -117,11 +114,13 @@ def rows_judged(docs: DataFrame, refs: tuple[DataFrame, list[float]], *, text: s
     own, every = refs
     clean = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     clean = clean.join(own, F.col("lang") == F.col("ref_lang"), "left")
-    out = with_common(with_chars(clean, "text").withColumn("words", words_of(F.col("t"))))
+    out = with_chars(clean, "text").withColumn("words", words_of(F.col("t"))).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    out = with_common(out)
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.size("words")
-    out = doubled(out.withColumn("lines", lines).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))), "hashes", 5)
-    out = out.withColumn("windows", window_hash("hashes", 5))
+    at = F.when(n >= 5, F.sequence(F.lit(0), n - 5)).otherwise(F.array().cast("array<int>"))
+    windows = F.transform(at, lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(5))))
+    out = out.withColumn("lines", lines).withColumn("windows", windows)
     pairs = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("sorted", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     same = lambda x, j: F.coalesce(F.get("sorted", j)["h"] == x["h"], F.lit(False))

@@ -89,9 +89,9 @@ def test_filters_pass_columns_of_any_name(spark):
 
 
 def test_common_words_are_learned_for_every_language(spark):
-    docs = spark.createDataFrame([(1, "Da da da po po ze", "xx"), (2, "ze po\nda", "xx"), (3, None, "yy"), (4, "po", None)], "doc_id bigint, text string, lang string")
+    docs = spark.createDataFrame([(1, "da da Po Po da ze", "xx"), (2, "ze po\nda", "xx"), (3, None, "yy"), (4, "po", None)], "doc_id bigint, text string, lang string")
     got = {r["lang"]: (r["list"], r["counts"]) for r in quality.common_words(docs).collect()}
-    assert got == {"xx": (["da", "po", "ze"], [4.0, 3.0, 2.0])}
+    assert got == {"xx": (["da", "Po", "ze"], [4.0, 2.0, 2.0])}
 
 
 def check_base(docs):
