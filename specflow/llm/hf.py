@@ -6,6 +6,8 @@ import json
 import os
 from array import array
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 
@@ -26,7 +28,29 @@ def splits_at_space(tokenizer) -> bool:
     return said.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and said["model"]["type"] == "BPE"
 
 
+#: Units that are encoded in one string.
+JOINED = 2048
+
+
 def ids_of_units(tokenizer, units: list[str]) -> list[bytes]:
-    """Ids of each unit as little-endian unsigned 32-bit integers."""
-    out = [array("I", e.ids) for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-    return [x.tobytes() for x in out]
+    """Ids of each unit as little-endian unsigned 32-bit integers. Units of a space and characters that are none are encoded many
+    in one string, with line feeds between them: a line feed between other characters and a space is a token of its own."""
+    out: list[bytes] = [b""] * len(units)
+    plain = [i for i, u in enumerate(units) if u[:1] == " " and len(u) > 1 and "\n" not in u and not u[1].isspace() and not u[-1].isspace()]
+    feed = tokenizer.token_to_id("\u010a")
+    rest = set(range(len(units))).difference(plain) if feed is not None else set(range(len(units)))
+    for k in range(0, len(plain) if feed is not None else 0, JOINED):
+        some = plain[k : k + JOINED]
+        ids = np.array(tokenizer.encode_batch_fast(["\n".join([units[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == feed), len(ids))
+        if len(ends) != len(some):
+            rest.update(some)
+            continue
+        raw, start = ids.tobytes(), 0
+        for i, end in zip(some, (4 * ends).tolist(), strict=True):
+            out[i] = raw[start:end]
+            start = end + 4
+    left = sorted(rest)
+    for i, e in zip(left, tokenizer.encode_batch_fast([units[i] for i in left], add_special_tokens=False), strict=True):
+        out[i] = array("I", e.ids).tobytes()
+    return out

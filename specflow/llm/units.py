@@ -15,7 +15,7 @@ OTHER_SPACE = tuple(c for c in map(chr, range(0x3100)) if c.isspace() and c not
 #: White space on which all pattern engines agree, after a character that is white space for none of them.
 CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\f\v])")
 #: Characters of a text that are cut into units at once.
-PART = 1 << 19
+PART = 1 << 21
 
 
 def parts_of(text: str):
@@ -40,7 +40,7 @@ class UnitCoder:
     full, so memory is bounded (some 200 bytes a unit) and frequent units stay. Long texts are encoded part by part.
     """
 
-    def __init__(self, encode_many, most: int = 200_000):
+    def __init__(self, encode_many, most: int = 400_000):
         self.encode_many, self.half = encode_many, most // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
