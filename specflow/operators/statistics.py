@@ -6,11 +6,13 @@ the few rows that result.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from .order import least_from, quantiles, running
 from .summaries import crosstab
 
 
@@ -26,20 +28,33 @@ def tail(name: str, *arguments: Column) -> Column:
 
 
 def chi2(df: DataFrame, row: str, col: str, *, correction: bool = True) -> DataFrame:
-    """chi2, dof, n, cramers_v of one contingency table; with one degree of freedom corrected by Yates, V from that too.
+    """chi2, dof, n, cramers_v of one contingency table; with one degree of freedom corrected by Yates, V from that too."""
+    cells = crosstab(df, row, col).select(F.lit(1).alias("s"), "r", "c", F.col("n").alias("o"))
+    out = of_cells(cells, 0, correction)
+    least = F.least("kr", "kc") - 1
+    return out.select("chi2", "dof", "n", F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * least)).alias("cramers_v"))
+
+
+def of_cells(cells: DataFrame, least: int, correction: bool = True) -> DataFrame:
+    """cells: s, r, c, o, the cells that are not empty of a table for each s. Returns s, chi2, dof, n, kr, kc of tables of ``least`` rows
+    or more.
 
-    An empty cell adds its expected count, so all pairs of levels are needed; a column of many levels belongs in no such test.
+    Empty cells are not needed: the sum of (o - e)^2 / e over all cells is n (sum of o^2 / (nr nc) - 1). In a table of two rows and
+    two columns |o - e| is the same in all cells, so Yates' correction needs one of them and the sum of 1 / e, a product of margins.
     """
-    cells = crosstab(df, row, col)
-    rows, cols = cells.groupBy("r").agg(F.sum("n").alias("nr")), cells.groupBy("c").agg(F.sum("n").alias("nc"))
-    size = cells.agg(F.sum("n").alias("n"), F.count_distinct("r").alias("kr"), F.count_distinct("c").alias("kc"))
-    full = rows.crossJoin(cols).join(cells.withColumnRenamed("n", "o"), ["r", "c"], "left").crossJoin(F.broadcast(size))
-    expected = F.col("nr") * F.col("nc") / F.col("n")
-    off = F.abs(F.coalesce("o", F.lit(0)) - expected)
-    off = F.when((F.lit(correction)) & (F.col("kr") == 2) & (F.col("kc") == 2), off - F.least(F.lit(0.5), off)).otherwise(off)
-    out = full.groupBy("n", "kr", "kc").agg(F.sum(off * off / expected).alias("chi2"))
-    least = F.least("kr", "kc") - 1
-    return out.select("chi2", ((F.col("kr") - 1) * (F.col("kc") - 1)).alias("dof"), "n", F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * least)).alias("cramers_v"))
+    rows, cols = cells.groupBy("s", "r").agg(F.sum("o").alias("nr")), cells.groupBy("s", "c").agg(F.sum("o").alias("nc"))
+    size = rows.groupBy("s").agg(F.sum("nr").alias("n"), F.count("*").alias("kr"), F.sum(1 / F.col("nr")).alias("ir"))
+    size = size.join(cols.groupBy("s").agg(F.count("*").alias("kc"), F.sum(1 / F.col("nc")).alias("ic")), "s").where(F.col("n") >= least)
+    o, e = F.col("o"), F.col("nr") * F.col("nc")
+    share = cells.join(rows, ["s", "r"]).join(cols, ["s", "c"]).groupBy("s").agg(F.sum(o * o / e).alias("q"), F.max(F.struct(e.alias("e"), o.alias("o"))).alias("one"))
+    out = share.join(size, "s")
+    n = F.col("n")
+    off = F.abs(F.col("one.o") - F.col("one.e") / n)
+    off = off - F.least(F.lit(0.5), off)
+    corrected = off * off * n * F.col("ir") * F.col("ic")
+    small = F.lit(correction) & (F.col("kr") == 2) & (F.col("kc") == 2)
+    value = F.when(small, corrected).otherwise(F.greatest(F.lit(0.0), n * (F.col("q") - 1)))
+    return out.select("s", value.alias("chi2"), ((F.col("kr") - 1) * (F.col("kc") - 1)).alias("dof"), "n", "kr", "kc")
 
 
 def with_chi2_p(tests: DataFrame) -> DataFrame:
@@ -66,11 +81,18 @@ def notable(cells: DataFrame) -> DataFrame:
 
 
 def adjusted(df: DataFrame, p: str, name: str = "p_adj", by: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg: p m / rank, the running least from the largest, 1 at most. Tests are few: a window over them."""
-    every = Window.partitionBy(*(by or [F.lit(1)]))
-    rank = F.row_number().over(every.orderBy(p))
-    ranked = df.withColumn("_rank", rank).withColumn("_raw", F.col(p) * F.count(p).over(every) / F.col("_rank"))
-    return ranked.withColumn(name, F.least(F.lit(1.0), F.min("_raw").over(every.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)))).drop("_rank", "_raw")
+    """Benjamini-Hochberg: p m / rank, the least of it and of all higher p, 1 at most. Over all rows or in each group; equal p have
+    one rank, that of the last. Over all rows different values of p are ordered range by range (see ``order``)."""
+    if by:
+        every = Window.partitionBy(*by)
+        ranked = df.withColumn("_rank", F.count(p).over(every.orderBy(p))).withColumn("_raw", F.col(p) * F.count(p).over(every) / F.col("_rank"))
+        low = F.min("_raw").over(every.orderBy(F.desc(p)))
+        return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), low))).drop("_rank", "_raw")
+    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_m"))
+    raw = running(counts, "_p", ["_n"]).crossJoin(F.broadcast(total)).select("_p", (F.col("_p") * F.col("_m") / F.col("_n")).alias("_raw"))
+    out = df.join(least_from(raw, "_p", "_raw"), F.col(p) == F.col("_p"), "left")
+    return out.withColumn(name, F.when(F.col("_raw").isNotNull(), F.least(F.lit(1.0), "_raw"))).drop("_p", "_raw")
 
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -83,11 +105,10 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Average ranks of values. Ranks are a running sum over different values, ordered in one window; the rows join back, so
-    what one task orders is the different values only."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return df.join(counts.select(value, (upto - (F.col("_n") - 1) / 2).alias(name), F.col("_n").alias(name + "_ties")), value)
+    """Average ranks of values: running sums over different values, ordered range by range (see ``order``), join the rows."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"), F.count("*").alias("_ties"))
+    upto = running(counts, "_v", ["_n"]).select("_v", (F.col("_n") - (F.col("_ties") - 1) / 2).alias(name), F.col("_ties").alias(name + "_ties"))
+    return df.join(upto, F.col(value) == F.col("_v")).drop("_v")
 
 
 def mann_whitney(df: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:
@@ -104,8 +125,7 @@ def kolmogorov(df: DataFrame, group: str, a: str, b: str, value: str) -> DataFra
     """Greatest distance of the two distribution functions, and the group sizes."""
     counts = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == a).alias("ca"), F.count_if(F.col(group) == b).alias("cb"))
     size = counts.agg(F.sum("ca").alias("n1"), F.sum("cb").alias("n2"))
-    run = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.select(F.sum("ca").over(run).alias("a"), F.sum("cb").over(run).alias("b")).crossJoin(F.broadcast(size))
+    steps = running(counts, value, ["ca", "cb"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).crossJoin(F.broadcast(size))
     return steps.groupBy("n1", "n2").agg(F.max(F.abs(F.col("a") / F.col("n1") - F.col("b") / F.col("n2"))).alias("d"))
 
 
@@ -122,25 +142,25 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def robust_outliers(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """z = (v - median) / (0.7413 IQR); flagged from 1.5 IQR around the median, extreme beyond 3 IQR outside the quartiles."""
-    by = by or []
-    stats = df.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*by, F.get("q", F.lit(0)).alias("_q1"), F.get("q", F.lit(1)).alias("_m"), F.get("q", F.lit(2)).alias("_q3"))
-    out = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))
-    iqr, v = F.col("_q3") - F.col("_q1"), F.col(column)
-    out = out.withColumn("z", F.try_divide(v - F.col("_m"), 0.7413 * iqr)).withColumn("outlier", F.abs(v - F.col("_m")) >= 1.5 * iqr)
-    return out.withColumn("extreme", (v < F.col("_q1") - 3 * iqr) | (v > F.col("_q3") + 3 * iqr)).drop("_q1", "_m", "_q3")
+    """z = (v - median) / (0.7413 IQR); flagged from 1.5 IQR around the median, extreme beyond 3 IQR outside the quartiles. In groups,
+    the quartiles of one are taken by one task."""
+    shares = [0.25, 0.5, 0.75]
+    if by:
+        stats = df.groupBy(*by).agg(F.percentile(column, F.array(*map(F.lit, shares))).alias("_q"))
+        out = df.join(stats, by)
+    else:
+        out = df.withColumn("_q", F.array(*map(F.lit, quantiles(df, [column], shares)[column])))
+    q1, m, q3 = (F.get("_q", F.lit(i)) for i in range(3))
+    iqr, v = q3 - q1, F.col(column)
+    out = out.withColumn("z", F.try_divide(v - m, 0.7413 * iqr)).withColumn("outlier", F.abs(v - m) >= 1.5 * iqr)
+    return out.withColumn("extreme", (v < q1 - 3 * iqr) | (v > q3 + 3 * iqr)).drop("_q")
 
 
 def winsorised(df: DataFrame, columns: list[str], method: str = "iqr") -> DataFrame:
     """Values beyond 1.5 IQR outside the quartiles, or beyond the 1st and 99th percentile, are set to those limits."""
-    low, high = (0.25, 0.75) if method == "iqr" else (0.01, 0.99)
-    ends = df.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias("_" + c) for c in columns))
-    out = df.crossJoin(F.broadcast(ends))
-    for c in columns:
-        a, b = F.get("_" + c, F.lit(0)), F.get("_" + c, F.lit(1))
-        margin = 1.5 * (b - a) if method == "iqr" else F.lit(0.0)
-        out = out.withColumn(c, F.least(F.greatest(F.col(c), a - margin), b + margin))
-    return out.drop(*("_" + c for c in columns))
+    ends = quantiles(df, columns, [0.25, 0.75] if method == "iqr" else [0.01, 0.99])
+    margin = {c: 1.5 * (b - a) if method == "iqr" else 0.0 for c, (a, b) in ends.items() if a is not None}
+    return df.withColumns({c: F.least(F.greatest(F.col(c), F.lit(ends[c][0] - margin[c])), F.lit(ends[c][1] + margin[c])) for c in columns if c in margin})
 
 
 def logged(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -157,7 +177,7 @@ def scaled(df: DataFrame, columns: list[str], method: str = "standard") -> DataF
     elif method == "minmax":
         ends = [F.struct(F.min(c).alias("a"), (F.max(c) - F.min(c)).alias("b")).alias("_" + c) for c in columns]
     elif method == "robust":
-        ends = [F.struct(F.percentile(c, 0.5).alias("a"), (F.percentile(c, 0.75) - F.percentile(c, 0.25)).alias("b")).alias("_" + c) for c in columns]
+        ends = [F.struct(F.first(F.lit(m)).alias("a"), F.first(F.lit(None if m is None else b - a)).alias("b")).alias("_" + c) for c, (a, m, b) in quantiles(df, columns, [0.25, 0.5, 0.75]).items()]
     else:
         raise ValueError(f"no such scaling: {method}")
     out = df.crossJoin(F.broadcast(df.agg(*ends)))
@@ -167,11 +187,12 @@ def scaled(df: DataFrame, columns: list[str], method: str = "standard") -> DataF
 def recommended_scaler(df: DataFrame, columns: list[str]) -> str:
     """power for a mean absolute skewness above 1, robust if a value is beyond 3 IQR, standard for ranges a hundredfold apart,
     else robust."""
-    a = df.agg(*(F.skewness(c).alias(f"s_{c}") for c in columns), *(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in columns), *(F.min(c).alias(f"a_{c}") for c in columns), *(F.max(c).alias(f"b_{c}") for c in columns)).first()
+    quartiles = quantiles(df, columns, [0.25, 0.75])
+    a = df.agg(*(F.skewness(c).alias(f"s_{c}") for c in columns), *(F.min(c).alias(f"a_{c}") for c in columns), *(F.max(c).alias(f"b_{c}") for c in columns)).first()
     if sum(abs(a[f"s_{c}"] or 0) for c in columns) / len(columns) > 1:
         return "power"
     for c in columns:
-        q1, q3 = a[f"q_{c}"]
+        q1, q3 = quartiles[c]
         if a[f"a_{c}"] < q1 - 3 * (q3 - q1) or a[f"b_{c}"] > q3 + 3 * (q3 - q1):
             return "robust"
     spans = [a[f"b_{c}"] - a[f"a_{c}"] for c in columns]
@@ -248,28 +269,85 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int =
 def stratified(df: DataFrame, stratum: str, row: str, col: str, least: int = 10) -> DataFrame:
     """chi2, dof and n of a contingency table in each stratum of enough rows: the stratum is one more key."""
     d = df.where(F.col(stratum).isNotNull() & F.col(row).isNotNull() & F.col(col).isNotNull()).select(F.col(stratum).alias("s"), F.col(row).alias("r"), F.col(col).alias("c"))
-    cells = d.groupBy("s", "r", "c").agg(F.count("*").alias("o"))
-    nr, nc = cells.groupBy("s", "r").agg(F.sum("o").alias("nr")), cells.groupBy("s", "c").agg(F.sum("o").alias("nc"))
-    size = cells.groupBy("s").agg(F.sum("o").alias("n"), F.count_distinct("r").alias("kr"), F.count_distinct("c").alias("kc")).where(F.col("n") >= least)
-    full = nr.join(nc, "s").join(cells, ["s", "r", "c"], "left").join(size, "s")
-    expected = F.col("nr") * F.col("nc") / F.col("n")
-    off = F.abs(F.coalesce("o", F.lit(0)) - expected)
-    off = F.when((F.col("kr") == 2) & (F.col("kc") == 2), off - F.least(F.lit(0.5), off)).otherwise(off)
-    return full.groupBy("s", "n", "kr", "kc").agg(F.sum(off * off / expected).alias("chi2")).select(F.col("s").alias(stratum), "chi2", ((F.col("kr") - 1) * (F.col("kc") - 1)).alias("dof"), "n")
-
-
-def permutation_p(df: DataFrame, row: str, col: str, key: str, times: int = 10_000, seed: int = 42) -> float:
-    """(1 + permutations with a chi2 at least as high) / (times + 1). Labels are dealt anew by the rank of a hash of (time, key),
-    so a permutation does not depend on how rows are partitioned; each is a group of its own."""
-    rows = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).select(F.col(key).alias("k"), F.col(row).alias("r"), F.col(col).alias("c"))
-    spark = df.sparkSession
-    copies = rows.crossJoin(spark.range(times + 1).select(F.col("id").alias("t")))
-    mine, theirs = Window.partitionBy("t").orderBy("k"), Window.partitionBy("t").orderBy(F.when(F.col("t") > 0, F.xxhash64("t", "k", F.lit(seed))), "k")
-    left, right = copies.select("t", "r", F.row_number().over(mine).alias("i")), copies.select("t", "c", F.row_number().over(theirs).alias("i"))
-    dealt = left.join(right, ["t", "i"])
-    found = stratified(dealt, "t", "r", "c", 1).select("t", "chi2")
-    observed = found.where("t = 0").select(F.col("chi2").alias("o"))
-    return found.where("t > 0").crossJoin(F.broadcast(observed)).agg((F.count_if(F.col("chi2") >= F.col("o") - 1e-9) + 1) / (F.lit(times) + 1)).first()[0]
+    return of_cells(d.groupBy("s", "r", "c").agg(F.count("*").alias("o")), least).select(F.col("s").alias(stratum), "chi2", "dof", "n")
+
+
+#: Cells of a table that permutations are drawn for at most: it is held by each task.
+LARGEST_TABLE = 1_000_000
+
+
+def permutation_p(df: DataFrame, row: str, col: str, times: int = 10_000, seed: int = 42) -> float:
+    """(1 + permutations with a chi2 at least as high) / (times + 1). Under a permutation of labels a table depends on its margins
+    only, so tables are drawn from those, row by row, by numbers that hang on the permutation alone; rows are counted once."""
+    cells = crosstab(df, row, col)
+    nr = [int(r["n"]) for r in cells.groupBy("r").agg(F.sum("n").alias("n")).orderBy("r").collect()]
+    nc = [int(r["n"]) for r in cells.groupBy("c").agg(F.sum("n").alias("n")).orderBy("c").collect()]
+    if len(nr) * len(nc) > LARGEST_TABLE:
+        raise ValueError(f"{len(nr)} x {len(nc)} levels are too many for a permutation test")
+    if len(nr) < 2 or len(nc) < 2:
+        return 1.0
+    observed = chi2(df, row, col).first()["chi2"]
+    expected = np.outer(nr, nc) / sum(nr)
+    small = len(nr) == len(nc) == 2
+
+    def at_least(stream):
+        for batch in stream:
+            hits = 0
+            for t in batch["id"]:
+                rng, left, table = np.random.default_rng([seed, int(t)]), np.array(nc), []
+                for n in nr[:-1]:
+                    table.append(rng.multivariate_hypergeometric(left, n, method="marginals"))
+                    left = left - table[-1]
+                off = np.abs(np.array([*table, left]) - expected)
+                off = off - np.minimum(0.5, off) if small else off
+                hits += (off * off / expected).sum() >= observed - 1e-9
+            yield pd.DataFrame({"hits": [hits]})
+
+    hits = df.sparkSession.range(times).mapInPandas(at_least, "hits bigint").agg(F.sum("hits")).first()[0] or 0
+    return (1 + hits) / (times + 1)
+
+
+def permutation_f(df: DataFrame, group: str, value: str, times: int = 10_000, seed: int = 42, largest: int = 20_000) -> float:
+    """(1 + permutations with an F at least as high) / (times + 1), groups of more than one row. A permutation deals the values to
+    groups of the same sizes; F rises with the sum of squared group sums over their sizes. The values of one table of samples,
+    ``largest`` at most, are held by each task, and the permutations are what is spread."""
+    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"))
+    kept = rows.join(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "g").orderBy("g", "v").limit(largest + 1).collect()
+    if len(kept) > largest:
+        raise ValueError(f"more than {largest} rows are too many for a permutation test")
+    values = np.array([r["v"] for r in kept])
+    starts = np.flatnonzero([i == 0 or kept[i]["g"] != kept[i - 1]["g"] for i in range(len(kept))])
+    if len(starts) < 2:
+        return 1.0
+    sizes = np.diff(np.append(starts, len(values)))
+    between = lambda v: (np.add.reduceat(v, starts) ** 2 / sizes).sum()
+    observed = between(values)
+
+    def at_least(stream):
+        for batch in stream:
+            yield pd.DataFrame({"hits": [sum(between(np.random.default_rng([seed, int(t)]).permutation(values)) >= observed * (1 - 1e-12) for t in batch["id"])]})
+
+    hits = df.sparkSession.range(times).mapInPandas(at_least, "hits bigint").agg(F.sum("hits")).first()[0] or 0
+    return (1 + hits) / (times + 1)
+
+
+def group_tests(df: DataFrame, group: str, tags: list[str], features: list[str], least: int = 2) -> DataFrame:
+    """Every tag against the group by chi2 (with V), every feature by one-way F (with eta squared), one row each: kind, name, statistic,
+    d1, d2, n, effect, p, and p_adj, Benjamini-Hochberg within its kind. A test with fewer than ``least`` levels or groups is left out."""
+    out = []
+    for t in tags:
+        r = chi2(df, group, t).where(F.col("dof") >= least - 1)
+        out.append(r.select(F.lit("chi2").alias("kind"), F.lit(t).alias("name"), F.col("chi2").alias("statistic"), F.col("dof").cast("bigint").alias("d1"), F.lit(None).cast("bigint").alias("d2"), F.col("n").cast("bigint").alias("n"), F.col("cramers_v").alias("effect"), tail("chi2_tail", F.col("chi2"), F.col("dof")).alias("p")))
+    for c in features:
+        r = anova(df, group, c).where(F.col("d1") >= least - 1)
+        eta = F.try_divide(F.col("f") * F.col("d1"), F.col("f") * F.col("d1") + F.col("d2"))
+        out.append(r.select(F.lit("anova").alias("kind"), F.lit(c).alias("name"), F.col("f").alias("statistic"), F.col("d1").cast("bigint").alias("d1"), F.col("d2").cast("bigint").alias("d2"), (F.col("d1") + F.col("d2") + 1).cast("bigint").alias("n"), eta.alias("effect"), tail("f_tail", F.col("f"), F.col("d1"), F.col("d2")).alias("p")))
+    if not out:
+        raise ValueError("no tag and no feature to test")
+    tests = out[0]
+    for x in out[1:]:
+        tests = tests.unionByName(x)
+    return adjusted(tests, "p", by=["kind"])
 
 
 def mixture_shares(df: DataFrame, group: str, parts: dict[str, Column]) -> DataFrame:

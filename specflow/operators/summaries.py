@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 
 def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """n, mean, population and sample deviation, quartiles, extremes, biased skewness and excess kurtosis of each column, one
     row for each (group and) column."""
-    by = by or []
+    if not by:
+        return _described(df, columns)
     long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(*by, "x.feature", "x.v").where("v is not null and not isnan(v)")
     q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = long.groupBy(*by, "feature").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std_pop"), F.stddev_samp("v").alias("std_samp"), q.alias("q"), F.min("v").alias("min"), F.max("v").alias("max"), F.skewness("v").alias("skewness"), F.kurtosis("v").alias("kurtosis"))
     return out.withColumns({"q1": F.get("q", F.lit(0)), "median": F.get("q", F.lit(1)), "q3": F.get("q", F.lit(2))}).drop("q")
 
 
+def _described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same over all rows: moments in one pass, quartiles by ``order.quantiles``."""
+    q, v = quantiles(df, columns, [0.25, 0.5, 0.75]), {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    stats = {"n": F.count, "mean": F.avg, "std_pop": F.stddev_pop, "std_samp": F.stddev_samp, "min": F.min, "max": F.max, "skewness": F.skewness, "kurtosis": F.kurtosis}
+    one = df.agg(*(f(v[c]).alias(f"{c}_{name}") for c in columns for name, f in stats.items()))
+    rows = F.array(*(F.struct(F.lit(c).alias("feature"), *(F.col(f"`{c}_{name}`").alias(name) for name in stats), *(F.lit(x).cast("double").alias(name) for name, x in zip(("q1", "median", "q3"), q[c], strict=True))) for c in columns))
+    return one.select(F.explode(rows).alias("x")).select("x.*").where("n > 0")
+
+
 def level_shares(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
     """Counts and percentages of listed levels, in their order, those without rows included; other values count in the total."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).agg(F.count("*").alias("n"))
@@ -77,8 +89,8 @@ def vector_summary(df: DataFrame, by: str, parts: list[str]) -> DataFrame:
 
 def normalised(df: DataFrame, column: str, by: str) -> DataFrame:
     """Median of a group's values on a scale from the 2nd to the 98th percentile of all."""
-    ends = df.agg(F.percentile(column, F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
-    scaled = df.crossJoin(F.broadcast(ends)).withColumn("_s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(column) - F.get("p", F.lit(0)), F.get("p", F.lit(1)) - F.get("p", F.lit(0))))))
+    low, high = (F.lit(x) for x in quantiles(df, [column], [0.02, 0.98])[column])
+    scaled = df.withColumn("_s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(column) - low, high - low))))
     return scaled.groupBy(by).agg(F.percentile("_s", 0.5).alias("median"))
 
 
