@@ -8,14 +8,14 @@ Suffixes of all texts are compared at sampled places only, in a way that loses n
 2. Counts, combined before they are shuffled, drop anchors whose K bytes are nowhere else; contexts that are the same are one
    kind with a number, so copies come once.
 3. One context of each kind is fetched. Their suffixes, the bytes from the anchor on, are range-partitioned by sampled splitters
-   into buckets of about ``BUCKET`` bytes, as many as the contexts need; of equal suffixes the reversed text before the anchor
-   decides, so that no run of equals has to fit one bucket.
+   into buckets of about ``BUCKET`` bytes, as many as the contexts need. Suffixes with the same K bytes fall into one bucket unless
+   there are more than a bucket holds of them: such a group is spread by all of its suffixes' bytes, and of equal suffixes by the
+   reversed text before the anchor, so that no run of equals has to fit one bucket.
 4. A bucket sorts its suffixes, and the reversed texts before them, by multikey quicksort over characters of 8 bytes, and
    the lengths of common prefixes of neighbours tell, for every l, which contexts share both l bytes before the anchor and
    LENGTH - l from it on. The least and the greatest such l bound the repeated bytes around it.
-5. Contexts with the same K bytes may lie on both sides of a boundary. Those at a bucket's edges, its first and its last group,
-   are compared across boundaries: each of their strings is hashed and counted, over all tasks, which is exact as well. A
-   group that is larger than a bucket is always cut, so none has to fit a task.
+5. Groups that a boundary cuts are compared across boundaries: a bucket hands on, once for all its contexts, each string that a
+   suffix beyond its edges may have too, by hash, with its number; those that it has once only ask whether another bucket has them.
 
 Hashes of contexts and strings have 64 bits. Matches never cross documents. Null and empty texts have no bytes; texts below
 LENGTH bytes lose none. Rows that repeat are copies of each other like any other two; a row is known by its key and a hash of
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -138,8 +138,9 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def contexts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted: key, h, and at, an array of (pos, n). Returns n, suffix, before (reversed)."""
+    """wanted: key, h, and at, an array of (pos, n, large). Returns n, large, suffix, before (reversed)."""
     joined = wanted.alias("w").join(packed(docs).alias("d"), F.col("w.key").eqNullSafe(F.col("d.key")) & (F.col("w.h") == F.col("d.h"))).select("w.key", "w.h", "w.at", "d.t")
+    schema = {"n": pa.int64(), "large": pa.bool_(), "suffix": pa.binary(), "before": pa.binary()}
 
     def batches(stream):
         last = None
@@ -151,11 +152,11 @@ def contexts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 last, whole = (key, h), unpacked_one(t)
                 for x in at:
                     a = x["pos"]
-                    rows.append((x["n"], whole[a : a + LENGTH], whole[max(0, a - BEFORE) : a][::-1]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["n", "suffix", "before"])
+                    rows.append((x["n"], x["large"], whole[a : a + LENGTH], whole[max(0, a - BEFORE) : a][::-1]))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.values(), strict=True)], names=list(schema))
 
-    return joined.mapInArrow(batches, "n bigint, suffix binary, before binary")
+    return joined.mapInArrow(batches, "n bigint, large boolean, suffix binary, before binary")
 
 
 def hashes(suffix: bytes, before: bytes) -> tuple[int, int]:
@@ -219,9 +220,22 @@ def common(words: np.ndarray, length: np.ndarray, order: np.ndarray) -> np.ndarr
     return out
 
 
-def repeated(suffixes: list[bytes], befores: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def reach(lcp: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """For rows in order: how many bytes each has in common with the first or the last row of its group, whichever are more."""
+    out = np.zeros(len(lcp), np.int64)
+    starts = np.flatnonzero(np.diff(lead, prepend=-1))
+    for a, b in zip(starts, np.append(starts[1:], len(lcp)), strict=True):
+        inner = np.append(LENGTH, lcp[a + 1 : b])
+        first = np.minimum.accumulate(inner)
+        last = np.append(np.minimum.accumulate(inner[:0:-1])[::-1], LENGTH)
+        out[a:b] = np.maximum(first, last)
+    return out
+
+
+def repeated(suffixes: list[bytes], befores: list[bytes], n: np.ndarray, large: np.ndarray):
     """For each context the least and the greatest l for which its string of LENGTH bytes from l before the anchor on is
-    repeated, -1 if for none, and whether its K bytes are the first or the last ones in order. n: how often a context is there."""
+    repeated, -1 if for none; then (row, l, number) of the different strings of large groups that may be elsewhere too. n: how often a
+    context is there."""
     m = len(suffixes)
     s, s_len = matrix(suffixes, LENGTH)
     b, b_len = matrix(befores, BEFORE)
@@ -232,8 +246,13 @@ def repeated(suffixes: list[bytes], befores: list[bytes], n: np.ndarray) -> tupl
     back = multikey_sort(b, b_len, lead)
     lcp_back = common(b, b_len, back)
     lcp_back[np.diff(lead[back], prepend=-1) != 0] = -1
+    far = np.full(m, -1)
+    if large.any():
+        far[order] = reach(lcp, lead[order])
+        far[~large] = -1
     least, most = np.full(m, -1), np.full(m, -1)
     right, left = np.empty(m, np.int64), np.empty(m, np.int64)
+    strings = []
     for l in range(BEFORE + 1):  # noqa: E741
         rows = np.flatnonzero((b_len >= l) & (s_len >= LENGTH - l))
         if not len(rows):
@@ -247,57 +266,49 @@ def repeated(suffixes: list[bytes], befores: list[bytes], n: np.ndarray) -> tupl
         hit = rows[by[np.repeat(total > 1, np.diff(np.append(starts, len(by))))]]
         least[hit] = np.where(least[hit] < 0, l, least[hit])
         most[hit] = l
-    return least, most, (lead == lead[order[0]]) | (lead == lead[order[-1]])
+        one = rows[by[starts]]
+        over = far[one] >= LENGTH - l
+        strings.append((one[over], np.full(over.sum(), l), total[over]))
+    joined = [np.concatenate(x) for x in zip(*strings, strict=True)] if strings else [np.empty(0, np.int64)] * 3
+    return least, most, joined
 
 
 def in_buckets(context: DataFrame, buckets: int) -> DataFrame:
-    """kh, ch, least, most of the contexts with a repeated string, compared in range-partitioned buckets; and n, suffix, before,
-    with nulls in least and most, of those at a bucket's edges, which have to be compared across boundaries."""
+    """kh, ch, least, most of the contexts with a string that is repeated in their range-partitioned bucket; and, with least null,
+    the strings that may be in several buckets: kh, w (hash), n (their number in the bucket), and ch and l if that is one."""
+    names = ["kh", "ch", "least", "most", "w", "n", "l"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
     def bucket(stream):
-        rows = [b for b in stream if b.num_rows]
-        if rows:
-            t = pa.Table.from_batches(rows).combine_chunks()
-            suffixes, befores = t.column("suffix").to_pylist(), t.column("before").to_pylist()
-            least, most, edge = repeated(suffixes, befores, t.column("n").to_numpy())
-            hit = np.flatnonzero((most >= 0) & ~edge)
-            own = np.array([hashes(suffixes[i], befores[i]) for i in hit], np.int64).reshape(-1, 2)
-            none = lambda k: pa.nulls(len(hit), k)
-            names = ["kh", "ch", "least", "most", "n", "suffix", "before"]
-            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(least[hit].astype(np.int32)), pa.array(most[hit].astype(np.int32)), none(pa.int64()), none(pa.binary()), none(pa.binary())], names=names)
-            at = np.flatnonzero(edge)
-            for i in range(0, len(at), 10_000):
-                part = t.take(at[i : i + 10_000]).combine_chunks()
-                blank = [pa.nulls(len(part), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*blank, *(part.column(c).chunk(0) for c in names[4:])], names=names)
-
-    return context.repartitionByRange(buckets, "suffix", "before").mapInArrow(bucket, "kh bigint, ch bigint, least int, most int, n bigint, suffix binary, before binary")
-
-
-def across_boundaries(context: DataFrame) -> DataFrame:
-    """kh, ch, least, most of contexts that lie in several buckets: each string hashed and counted."""
-
-    def strings(stream):
-        for batch in stream:
+        batches = [b for b in stream if b.num_rows]
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
+        suffixes, befores, n = t.column("suffix").to_pylist(), t.column("before").to_pylist(), t.column("n").to_numpy()
+        least, most, (row, at, total) = repeated(suffixes, befores, n, t.column("large").to_numpy())
+        hit = np.flatnonzero(most >= 0)
+        own = np.array([hashes(suffixes[i], befores[i]) for i in hit], np.int64).reshape(-1, 2)
+        solved = [own[:, 0], own[:, 1], least[hit].astype(np.int32), most[hit].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, solved), *(pa.nulls(len(hit), k) for k in kinds[4:])], names=names)
+        known = {i: hashes(suffixes[i], befores[i]) for i in np.unique(row).tolist()}
+        for start in range(0, len(row), 50_000):
             rows = []
-            for n, s, b in zip(*(batch.column(c).to_pylist() for c in ("n", "suffix", "before")), strict=True):
-                whole, (kh, ch) = b[::-1] + s, hashes(s, b)
-                for l in range(max(0, LENGTH - len(s)), len(b) + 1):  # noqa: E741
-                    at = len(b) - l
-                    rows.append((kh, ch, n, l, xxhash.xxh3_64_intdigest(whole[at : at + LENGTH], l) - (1 << 63)))
-                if len(rows) > 50_000:
-                    yield batch_of(rows)
-                    rows = []
-            if rows:
-                yield batch_of(rows)
-
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names=["kh", "ch", "n", "l", "w"])
-
-    made = context.mapInArrow(strings, "kh bigint, ch bigint, n bigint, l int, w bigint")
-    # a string's hash has its l in it, so with the hash of the K bytes it stands for both
-    twice = made.groupBy("kh", "w").agg(F.sum("n").alias("n")).where("n > 1").select("kh", "w")
-    return made.drop("n").join(twice, ["kh", "w"]).groupBy("kh", "ch").agg(F.min("l").alias("least"), F.max("l").alias("most"))
+            for i, l, count in zip(row[start : start + 50_000].tolist(), at[start : start + 50_000].tolist(), total[start : start + 50_000].tolist(), strict=True):
+                kh, ch = known[i]
+                string = befores[i][:l][::-1] + suffixes[i][: LENGTH - l]
+                rows.append((kh, ch if count == 1 else None, None, None, xxhash.xxh3_64_intdigest(string, l) - (1 << 63), count, l))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    prefix, rest = F.substring("suffix", 1, K), [F.when(F.col("large"), F.col(c)) for c in ("suffix", "before")]
+    return context.repartitionByRange(buckets, prefix, *rest).mapInArrow(bucket, "kh bigint, ch bigint, least int, most int, w bigint, n bigint, l int")
+
+
+def across_boundaries(strings: DataFrame) -> DataFrame:
+    """kh, ch, least, most of the contexts that asked for a string which another bucket has. A string's hash has its l in it, so with
+    the hash of the K bytes it stands for both."""
+    total = F.sum("n").over(Window.partitionBy("kh", "w"))  # at most one row for each bucket
+    asked = strings.withColumn("total", total).where("ch is not null and total > 1")
+    return asked.groupBy("kh", "ch").agg(F.min("l").alias("least"), F.max("l").alias("most"))
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -315,13 +326,14 @@ def repeated_spans(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     again = written(found.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"), "repeated-anchors")
     found = written(found.join(again, "kh"), "anchors")
     kinds = found.groupBy("kh", "ch").agg(F.count("*").alias("n"), F.min(F.struct("key", "h", "pos")).alias("first"))
-    wanted = kinds.select("n", "first.*").groupBy("key", "h").agg(F.collect_list(F.struct("pos", "n")).alias("at"))
-    wanted = written(wanted, "wanted")
+    large = kinds.groupBy("kh").agg(F.count("*").alias("kinds")).where(F.col("kinds") > bucket // (LENGTH + BEFORE)).select("kh", F.lit(True).alias("large"))
+    wanted = kinds.join(written(large, "large-groups"), "kh", "left").select("n", F.coalesce("large", F.lit(False)).alias("large"), "first.*")
+    wanted = written(wanted.groupBy("key", "h").agg(F.collect_list(F.struct("pos", "n", "large")).alias("at")), "wanted")
     size = (wanted.agg(F.sum(F.size("at"))).first()[0] or 0) * (LENGTH + BEFORE)
     compared = written(in_buckets(contexts(wanted, docs), max(1, -(-size // bucket))), "compared")
-    edges = across_boundaries(compared.where("suffix is not null").select("n", "suffix", "before"))
-    solved = compared.where("suffix is null").select("kh", "ch", "least", "most").unionByName(edges)
-    spans = found.join(solved, ["kh", "ch"])
+    solved = compared.where("least is not null").select("kh", "ch", "least", "most").unionByName(across_boundaries(compared.where("least is null")))
+    solved = solved.groupBy("kh", "ch").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    spans = found.join(written(solved, "solved"), ["kh", "ch"])
     span = F.struct(F.greatest(F.lit(0), F.col("pos") - F.col("most")).alias("a"), (F.col("pos") + LENGTH - F.col("least")).alias("b"))
     return written(spans.groupBy("key", "h").agg(F.collect_set(span).alias("spans")), "spans")
 

@@ -187,10 +187,10 @@ def test_suffix_dedup(spark, odd, empty):
 def test_groups_cut_by_boundaries_are_compared_across_them(spark):
     df = suffix_dedup.keyed(spark.createDataFrame(list(enumerate(repeating_texts())), "doc_id bigint, text string"), "doc_id", "text")
     found = []
-    for bucket in (2000, 10**9):  # about five contexts a bucket, and all of them in one
+    for bucket in (400, 2000, 10**9):  # one context a bucket, about five, and all of them in one
         spans = suffix_dedup.repeated_spans(df, bucket).collect()
         found.append(sorted((r["key"], tuple(suffix_dedup.merged(r["spans"], 10**9))) for r in spans))
-    assert found[0] == found[1] and found[0]
+    assert found[0] == found[1] == found[2] and found[0]
 
 
 def test_multikey_quicksort_sorts():
