@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -51,47 +50,61 @@ class Counter:
     def of(path: str, chunk: int, overlap: int) -> Counter:
         return Counter(path, chunk, overlap)
 
-    def boundaries(self, text: str, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of one chunk: where pre-tokens end, and how many tokens lie before each of those places."""
-        e = self.tokenizer.encode(text[begin:end], add_special_tokens=False)
-        words = np.array([-1 if w is None else w for w in e.word_ids])
-        ends = np.array([x[1] for x in e.offsets]) + begin
-        n = len(words)
-        if not n:
-            return np.array([begin]), np.array([0])
-        last = np.append(np.flatnonzero((words[1:] != words[:-1]) | (words[1:] < 0)), n - 1)  # the last token of each pre-token
-        return np.append(begin, ends[last]), np.append(0, last + 1)
+    def encoded(self, text: str):
+        return self.tokenizer.encode(text, add_special_tokens=False)
+
+    @staticmethod
+    def word_end(e, char: int) -> tuple[int, int, int] | None:
+        """Of the pre-token that holds a character: where it begins and ends, and how many tokens there are up to its end; None for white
+        space that its offsets leave out, and for special strings."""
+        word = e.char_to_word(char)
+        if word is None:
+            return None
+        chars = e.word_to_chars(word)
+        return chars[0], chars[1], e.word_to_tokens(word)[1]
+
+    def common(self, left, begin: int, low: int, high: int, right, right_begin: int) -> tuple[int, int, int] | None:
+        """The last place in (low, high] at which pre-tokens of both chunks end, and the tokens that each has before it."""
+        at = high - 1
+        while at >= low:
+            found = self.word_end(left, at - begin)
+            if found is None:
+                at -= 1
+                continue
+            place = begin + found[1]
+            if low < place <= high and (other := self.word_end(right, place - 1 - right_begin)) and right_begin + other[1] == place:
+                return place, found[2], other[2]
+            at = min(at, begin + found[0]) - 1
+        return None
 
     def long(self, text: str) -> tuple[int, int]:
-        """Tokens of a text longer than a chunk, and the chunks that were spliced."""
+        """Tokens of a text longer than a chunk, and the chunks that were spliced. Only the places that are tried are asked for: a chunk's
+        offsets stay in the library."""
         begin, end = 0, min(len(text), self.chunk)
-        places, before = self.boundaries(text, begin, end)
-        start = 0  # the place from which the present chunk counts
+        e = self.encoded(text[begin:end])
+        start = skipped = 0  # the place from which the present chunk counts, and its tokens before that
         total, chunks = 0, 1
         while end < len(text):
-            overlap = self.overlap
+            overlap, found = self.overlap, None
             while True:
                 right = max(start, end - overlap)
                 right_end = min(len(text), right + self.chunk + overlap)
-                theirs, their_before = self.boundaries(text, right, right_end)
-                usable = places[(places <= end - MARGIN) & (places >= start)]
-                common = np.intersect1d(usable, theirs[1:] if right > start else theirs)
-                if len(common):
+                e2 = self.encoded(text[right:right_end])
+                if found := self.common(e, begin, right, end - MARGIN, e2, right):
                     break
                 self.widened += 1
                 if right == start:  # the chunk cannot begin earlier: it must end later
                     end = min(len(text), end + 2 * overlap)
-                    places, before = self.boundaries(text, begin, end)
+                    e = self.encoded(text[begin:end])
                     if end == len(text):
                         break
                 overlap *= 2
-            if not len(common):
+            if not found:
                 break
-            at = int(common[-1])
-            total += int(before[np.searchsorted(places, at)] - before[np.searchsorted(places, start)])
-            start, begin, end, places, before = at, right, right_end, theirs, their_before
-            chunks += 1
-        return total + int(before[-1] - before[np.searchsorted(places, start)]), chunks
+            start, before, after = found
+            total, skipped, chunks = total + before - skipped, after, chunks + 1
+            begin, end, e = right, right_end, e2
+        return total + len(e) - skipped, chunks
 
     def count(self, texts: list[str]) -> list[tuple[int, int]]:
         """Tokens and chunks of each text."""
