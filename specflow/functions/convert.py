@@ -94,3 +94,8 @@ def runner_up(probabilities: Column) -> Column:
 
 def confidence_of_gap(r2: Column, share: Column) -> Column:
     return F.when((r2 >= 0.997) & (share >= 0.10), "high").when((r2 >= 0.990) & (share >= 0.05), "medium").otherwise("low")
+
+
+def colour(cluster: Column, palette: list[str], noise: str = "grey") -> Column:
+    """A cluster's colour, in turn through the palette; that of noise for negative or missing clusters."""
+    return F.when(cluster >= 0, F.element_at(F.array(*map(F.lit, palette)), (cluster % len(palette)).cast("int") + 1)).otherwise(noise)

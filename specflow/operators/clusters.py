@@ -7,6 +7,7 @@ for each iteration, so iterations run in parallel and their seeds do not depend
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,27 +27,47 @@ def prepared(features: DataFrame, columns: list[str], coverage: float = 0.5) ->
     return out.dropna(subset=columns)
 
 
-def transformed(x: np.ndarray) -> np.ndarray:
-    """Yeo-Johnson by golden section on its likelihood, then standardised, for a table in one worker."""
-    out = np.empty_like(x, float)
-    for j in range(x.shape[1]):
-        v = x[:, j]
+def moved(v: np.ndarray, p: float) -> np.ndarray:
+    """Yeo-Johnson with power p."""
+    up = np.log1p(np.maximum(v, 0)) if abs(p) < 1e-9 else ((np.maximum(v, 0) + 1) ** p - 1) / p
+    q = 2 - p
+    down = -np.log1p(np.maximum(-v, 0)) if abs(q) < 1e-9 else -((np.maximum(-v, 0) + 1) ** q - 1) / q
+    return np.where(v >= 0, up, down)
+
+
+@dataclass
+class Scaling:
+    """Yeo-Johnson and standardisation as one table determined them, for any rows."""
 
-        def moved(p: float, v=v) -> np.ndarray:
-            up = np.log1p(np.maximum(v, 0)) if abs(p) < 1e-9 else ((np.maximum(v, 0) + 1) ** p - 1) / p
-            q = 2 - p
-            down = -np.log1p(np.maximum(-v, 0)) if abs(q) < 1e-9 else -((np.maximum(-v, 0) + 1) ** q - 1) / q
-            return np.where(v >= 0, up, down)
+    powers: list[float]
+    means: np.ndarray
+    spreads: np.ndarray
 
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        z = np.stack([moved(x[:, j].astype(float), p) for j, p in enumerate(self.powers)], 1) if len(self.powers) else x
+        return (z - self.means) / self.spreads
+
+
+def scaling(x: np.ndarray) -> Scaling:
+    """Powers by golden section on their likelihood."""
+    powers, columns = [], []
+    for j in range(x.shape[1]):
+        v = x[:, j].astype(float)
         weight = float((np.sign(v) * np.log1p(np.abs(v))).sum())
-        loss = lambda p, v=v, weight=weight, moved=moved: len(v) / 2 * math.log(max(1e-300, moved(p).var())) - (p - 1) * weight
+        loss = lambda p, v=v, weight=weight: len(v) / 2 * math.log(max(1e-300, moved(v, p).var())) - (p - 1) * weight
         a, b, g = -3.0, 5.0, (math.sqrt(5) - 1) / 2
         while b - a > 1e-5:
             c, d = b - g * (b - a), a + g * (b - a)
             a, b = (a, d) if loss(c) < loss(d) else (c, b)
-        z = moved((a + b) / 2)
-        out[:, j] = (z - z.mean()) / (z.std() or 1.0)
-    return out
+        powers.append((a + b) / 2)
+        columns.append(moved(v, powers[-1]))
+    z = np.stack(columns, 1)
+    return Scaling(powers, z.mean(0), np.where(z.std(0) > 0, z.std(0), 1.0))
+
+
+def transformed(x: np.ndarray) -> np.ndarray:
+    """A table by the scaling that it determines itself."""
+    return scaling(x)(x)
 
 
 def macro_labels(x: np.ndarray, order: np.ndarray, k: int | None, seed: int, starts: int = 10) -> tuple[np.ndarray, np.ndarray]:
@@ -133,19 +154,163 @@ def consensus(runs: DataFrame, key: str = "sample_id") -> DataFrame:
     return a.join(b, "iteration").where("i < j").groupBy("i", "j").agg(F.count_if(F.col("li") == F.col("lj")).alias("together"), F.count("*").alias("present"))
 
 
-def classify(new: DataFrame, reference: DataFrame, key: str = "sample_id", k: int = 5) -> DataFrame:
-    """new and reference rows with the same features, reference clustered. Nearest neighbours, macro cluster by their vote and
-    its share, and the sub-label of the nearest one in that cluster, else the cluster with a question mark."""
-    from .statistics import nearest, scaled
+def bounded(table: DataFrame, columns: list[str]) -> pd.DataFrame:
+    """A feature table, one row for a curve, for a model that sees all of it; more rows than a model takes raise."""
+    rows = table.select(*columns).limit(models.LARGEST + 1).toPandas()
+    if len(rows) > models.LARGEST:
+        raise ValueError(f"more than {models.LARGEST} rows are too many for one model")
+    return rows
+
+
+@dataclass
+class MacroModel:
+    """Scaling and mixture of a reference table; classes ascend with the mean of ORDER in it."""
+
+    scale: Scaling
+    mixture: models.Mixture
+    kinds: list[int]
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return self.mixture.probabilities(self.scale(x))[:, self.kinds]
+
+
+def macro_model(reference: DataFrame, k: int = 2, seed: int = 42) -> MacroModel:
+    """Fitted on the reference rows alone, in a stable order."""
+    table = bounded(reference, MACRO).dropna().sort_values(MACRO, kind="stable")
+    scale = scaling(table[MACRO].to_numpy())
+    m = models.mixture(scale(table[MACRO].to_numpy()), k, 10, seed)
+    labels, order = m.predict(scale(table[MACRO].to_numpy())), table[ORDER].to_numpy()
+    return MacroModel(scale, m, sorted(range(k), key=lambda c: order[labels == c].mean() if (labels == c).any() else math.inf))
+
+
+def posteriors(rows: DataFrame, model: MacroModel, key: str = "sample_id") -> DataFrame:
+    """key, macro_cluster, macro_cluster_prob and posterior_minority, the least posterior, of each row with all features."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for t in batches:
+            p = held.value.probabilities(t[MACRO].to_numpy()) if len(t) else np.empty((0, 1))
+            yield pd.DataFrame({key: t[key], "macro_cluster": p.argmax(1).astype("int32"), "macro_cluster_prob": p.max(1), "posterior_minority": p.min(1)})
+
+    return rows.dropna(subset=MACRO).select(key, *MACRO).mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, macro_cluster int, macro_cluster_prob double, posterior_minority double")
+
+
+def classify(new: DataFrame, reference: DataFrame, key: str = "sample_id", k: int = 5, classes: int = 2) -> DataFrame:
+    """new: rows with the features. reference: clustered rows. The macro cluster and its probability come from a scaling and a mixture
+    fitted on the reference alone, so a row's class does not depend on its batch; borderline below 0.6. The sub-label is the
+    commonest one of the k nearest reference rows (scaled by the reference) that lie in that cluster, the nearest of equals, else the
+    cluster's letter with a question mark."""
+    from .statistics import nearest
+
+    columns = sorted({*MACRO, *SUB})
+    found = posteriors(new, macro_model(reference, classes), key)
+    ends = reference.agg(*(F.avg(c).alias(f"a_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns)).first()
+    vector = F.array(*((F.col(c) - ends[f"a_{c}"]) / (ends[f"s_{c}"] or 1.0) for c in columns)).alias("_v")
+    held = reference.dropna(subset=columns)
+    near = nearest(new.dropna(subset=columns).select(F.concat(F.lit("new|"), key).alias("_i"), vector), held.select(F.concat(F.lit("ref|"), key).alias("_i"), vector), "_i", "_v", k)
+    voted = near.join(held.select(F.concat(F.lit("ref|"), key).alias("_i"), F.col("macro_cluster").alias("_c"), "full_label"), "_i")
+    own = voted.join(found.select(F.concat(F.lit("new|"), key).alias("query"), "macro_cluster"), "query").where(F.col("_c") == F.col("macro_cluster"))
+    votes = own.groupBy("query", "full_label").agg(F.count("*").alias("n"), F.min("distance").alias("d"))
+    label = votes.groupBy("query").agg(F.max_by("full_label", F.struct("n", -F.col("d"))).alias("_label"))
+    out = found.withColumn("query", F.concat(F.lit("new|"), key)).join(label, "query", "left")
+    letter = F.concat(F.char(F.lit(65) + F.col("macro_cluster")), F.lit("?"))
+    return out.select(key, "macro_cluster", F.col("macro_cluster_prob").alias("probability"), F.coalesce("_label", letter).alias("full_label"), (F.col("macro_cluster_prob") < 0.6).alias("borderline"))
+
+
+def certain(rows: DataFrame, least: float = 0.7) -> DataFrame:
+    """Adds certain: whether the cluster's probability is ``least`` or more; null probabilities are not."""
+    return rows.withColumn("certain", F.coalesce(F.col("macro_cluster_prob") >= least, F.lit(False)))
+
+
+def boundary_samples(rows: DataFrame, tags: DataFrame, names: list[str], key: str = "sample_id", n: int = 15) -> DataFrame:
+    """The n rows of greatest ``posterior_minority`` (of equals the least key), with the tags of the first row that ``tags`` has for
+    each; what is missing is unknown. A top-n report."""
+    top = rows.orderBy(F.desc("posterior_minority"), key).limit(n)
+    one = tags.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*names)).alias("_t"))
+    return top.join(one, F.col(key) == F.col("_k"), "left").select(*rows.columns, *(F.coalesce(F.col("_t")[t], F.lit("unknown")).alias(t) for t in names))
+
+
+def representatives(rows: DataFrame, cluster: str, columns: list[str], key: str) -> DataFrame:
+    """Of each cluster the row nearest to its mean over the (scaled) columns, the least key of equals: cluster, key, distance, centre_*."""
+    centres = rows.groupBy(cluster).agg(*(F.avg(c).alias("centre_" + c) for c in columns))
+    far = F.sqrt(sum(((F.col(c) - F.col("centre_" + c)) * (F.col(c) - F.col("centre_" + c)) for c in columns), F.lit(0.0)))
+    near = rows.join(centres, cluster).withColumn("distance", far)
+    return near.groupBy(cluster).agg(F.min_by(F.struct(key, "distance", *("centre_" + c for c in columns)), F.struct(F.round("distance", 12), F.col(key))).alias("r")).select(cluster, "r.*")
+
+
+def with_noise_split(features: DataFrame, columns: list[str], key: str = "sample_id", least_size: int = 5, samples: int = 2, most: int = 10, seed: int = 42) -> DataFrame:
+    """Adds density (density cluster, -1 for noise) and combined, in which the noise, if it is six rows or more, is split by a mixture
+    of lowest BIC into further clusters behind the others."""
+    ready = features.dropna(subset=columns)
+    schema = T.StructType([*ready.schema.fields, T.StructField("density", T.IntegerType()), T.StructField("combined", T.IntegerType())])
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(key, kind="stable").reset_index(drop=True)
+        z = transformed(t[columns].to_numpy())
+        found = models.hdbscan(z, least_size, samples)
+        combined, noise = found.copy(), found == -1
+        if noise.sum() >= 6:
+            combined[noise] = models.mixture_by_bic(z[noise], min(most, int(noise.sum()) // 3), 5, seed).predict(z[noise]) + found.max() + 1
+        return t.assign(density=found.astype("int32"), combined=combined.astype("int32"))
+
+    return ready.groupBy(F.lit("all")).applyInPandas(run, schema)
+
+
+def alternative_subclusters(features: DataFrame, key: str = "sample_id", macro: int = 1, methods: tuple[str, ...] = ("hierarchical", "gmm", "spectral"), seed: int = 42) -> DataFrame:
+    """Sub-clusters of one macro cluster by each method: method, key, sub_cluster, n_clusters, silhouette (null for one cluster). A group
+    of its own for each method."""
+    ready = prepared(features, sorted({*MACRO, *SUB})).where(F.col("macro_cluster") == macro).select(key, *SUB)
+    copies = ready.crossJoin(F.broadcast(features.sparkSession.createDataFrame([(m,) for m in methods], "method string")))
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(key, kind="stable").reset_index(drop=True)
+        method, x = t["method"].iloc[0], t[SUB].to_numpy()
+        labels = sub_labels(x, t[SUB[0]].to_numpy(), method, seed=seed)
+        score = models.silhouette(transformed(x), labels) if labels.max() > 0 else None
+        return pd.DataFrame({"method": method, key: t[key], "sub_cluster": labels.astype("int32"), "n_clusters": int(labels.max()) + 1, "silhouette": score})
+
+    return copies.groupBy("method").applyInPandas(run, f"method string, `{key}` {dict(features.dtypes)[key]}, sub_cluster int, n_clusters int, silhouette double")
+
 
+def nested_bootstrap(clustered: DataFrame, key: str = "sample_id", n: int = 300, drop: float = 0.2, seed: int = 42) -> DataFrame:
+    """Clusters and sub-clusters resampled together. clustered: the features with macro_cluster and full_label. Each iteration, a group of
+    its own, drops a share of the rows, finds two macro clusters anew, and splits the second by spectral clustering in two. Returns
+    iteration, key, full_label, reference, macro_ari, full_ari, sub_k for each row kept; ``bootstrap_stability`` sums up."""
     columns = sorted({*MACRO, *SUB})
-    both = reference.select(key, *columns, F.lit(False).alias("_new")).unionByName(new.select(key, *columns, F.lit(True).alias("_new")))
-    vectors = scaled(both, columns).select(key, "_new", F.array(*columns).alias("_v"))
-    near = nearest(vectors.where("_new").select(key, "_v"), vectors.where("not _new").select(key, "_v"), key, "_v", k)
-    voted = near.join(reference.select(key, "macro_cluster", "full_label"), key)
-    share = voted.groupBy("query", "macro_cluster").agg(F.count("*").alias("n"), F.min("distance").alias("d"), F.min_by("full_label", "distance").alias("label"))
-    best = share.groupBy("query").agg(F.max_by(F.struct("macro_cluster", "n", "label"), F.struct("n", -F.col("d"))).alias("b"))
-    return best.select(F.col("query").alias(key), "b.macro_cluster", (F.col("b.n") / k).alias("probability"), F.col("b.label").alias("full_label"), (F.col("b.n") / k < 0.6).alias("borderline"))
+    ready = prepared(clustered, columns).select(key, *columns, F.col("macro_cluster").alias("_m"), F.col("full_label").alias("_l"))
+    copies = ready.crossJoin(F.broadcast(clustered.sparkSession.range(n).select(F.col("id").cast("int").alias("iteration"))))
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        it = int(t["iteration"].iloc[0])
+        t = t.sort_values(key, kind="stable").reset_index(drop=True)
+        rng = np.random.default_rng([seed, it])
+        t = t.iloc[np.sort(rng.permutation(len(t))[: max(4, int(len(t) * (1 - drop)))])].reset_index(drop=True)
+        macro, _ = macro_labels(t[MACRO].to_numpy(), t[ORDER].to_numpy(), 2, it, 3)
+        old = t["_m"].to_numpy()
+        macro = models.aligned(old, macro)
+        second, sub_k = macro == 1, 1
+        labels = np.where(second, "B.1", "A").astype(object)
+        if second.sum() >= 6:
+            x = t.loc[second, SUB].to_numpy()
+            sub, order = models.spectral(transformed(x), 2, seed=it), t.loc[second, ORDER].to_numpy()
+            if (sub == 0).any() and (sub == 1).any():
+                if order[sub == 0].mean() > order[sub == 1].mean():
+                    sub = 1 - sub
+                labels[second], sub_k = np.where(sub == 0, "B.1", "B.2"), 2
+        ids = {x: i for i, x in enumerate(sorted({*labels, *t["_l"]}))}
+        number = lambda v: np.array([ids[x] for x in v])
+        return pd.DataFrame({"iteration": it, key: t[key], "full_label": labels, "reference": t["_l"], "macro_ari": models.adjusted_rand(old, macro), "full_ari": models.adjusted_rand(number(t["_l"]), number(labels)), "sub_k": sub_k})
+
+    return copies.groupBy("iteration").applyInPandas(run, f"iteration int, `{key}` {dict(clustered.dtypes)[key]}, full_label string, reference string, macro_ari double, full_ari double, sub_k int")
+
+
+def bootstrap_stability(runs: DataFrame, key: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """For each row the share of iterations, of those that kept it, in which its full label was the same; and mean, deviation and 5th
+    and 95th percentile of both ARIs, with the share of iterations that split the second cluster."""
+    rows = runs.groupBy(key).agg(F.avg((F.col("full_label") == F.col("reference")).cast("double")).alias("stability"), F.count("*").alias("n"))
+    its = runs.groupBy("iteration").agg(F.first("macro_ari").alias("macro_ari"), F.first("full_ari").alias("full_ari"), F.first("sub_k").alias("sub_k"))
+    parts = [x for c in ("macro_ari", "full_ari") for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), F.percentile(c, 0.05).alias(f"{c}_p5"), F.percentile(c, 0.95).alias(f"{c}_p95"))]
+    return rows, its.agg(F.count("*").alias("n"), *parts, F.avg((F.col("sub_k") > 1).cast("double")).alias("split"))
 
 
 def perturbed(points: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
@@ -183,7 +348,7 @@ def crossings(trans: DataFrame, reference: DataFrame, directions: int = 2000, se
     """Of each pair (ref_x, ref_y, mod_x, mod_y, id): whether it crosses the border of two classes (x, y, side = -1 or 1), and
     the share of random directions of the same length that would. The border is that of a kernel classifier; the reference is a
     bounded table, broadcast as its model."""
-    table = reference.select("x", "y", "side").limit(models.LARGEST + 1).toPandas()
+    table = bounded(reference, ["x", "y", "side"])
     model = models.kernel_classifier(table[["x", "y"]].to_numpy(float), table["side"].to_numpy(float))
 
     def run(batches):
@@ -196,3 +361,41 @@ def crossings(trans: DataFrame, reference: DataFrame, directions: int = 2000, se
             yield pd.DataFrame({"id": t["id"], "crosses": side != np.sign(model.decide(b)), "expected": expected, "length": length})
 
     return trans.select("id", "ref_x", "ref_y", "mod_x", "mod_y").mapInPandas(run, f"id {dict(trans.dtypes)['id']}, crosses boolean, expected double, length double")
+
+
+#: Cells of the grid on which a border is looked for, each way.
+GRID = 400
+
+
+def border_points(model, x: np.ndarray, factor: float = 1.5, cells: int = GRID) -> np.ndarray:
+    """Points of a grid over the rows, widened by ``factor``, whose class differs from that of the grid point below or left of it.
+
+    model: maps points to labels.
+    """
+    low, high = x.min(0), x.max(0)
+    margin = (high - low) * (factor - 1) / 2
+    axes = [np.linspace(a - m, b + m, cells) for a, b, m in zip(low, high, margin, strict=True)]
+    grid = np.stack(np.meshgrid(*axes), -1)
+    labels = np.asarray(model(grid.reshape(-1, 2))).reshape(cells, cells)
+    edge = np.zeros_like(labels, bool)
+    edge[1:] |= labels[1:] != labels[:-1]
+    edge[:, 1:] |= labels[:, 1:] != labels[:, :-1]
+    return grid[edge]
+
+
+def border_distances(rows: DataFrame, reference: DataFrame, key: str = "id") -> DataFrame:
+    """key, distance to the nearest grid point of the border between the two classes of ``reference`` (x, y, side = -1 or 1), and side,
+    for rows with x and y; a null distance where there is no border. The grid's border is bounded and goes to every task."""
+    table = bounded(reference, ["x", "y", "side"])
+    model = models.kernel_classifier(table[["x", "y"]].to_numpy(float), table["side"].to_numpy(float))
+    border = border_points(lambda p: np.sign(model.decide(p)), table[["x", "y"]].to_numpy(float))
+
+    def run(batches):
+        for t in batches:
+            p = t[["x", "y"]].to_numpy(float)
+            least = np.full(len(p), np.inf)
+            for part in np.array_split(border, max(1, len(border) // 256)) if len(border) else []:
+                least = np.minimum(least, models.distances(p, part).min(1))
+            yield pd.DataFrame({key: t[key], "distance": np.where(np.isfinite(least), least, np.nan), "side": np.sign(model.decide(p)).astype("int32")})
+
+    return rows.select(key, "x", "y").mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, distance double, side int")

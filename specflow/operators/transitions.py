@@ -68,3 +68,12 @@ def article_votes(trans: DataFrame, group: str, tag: str, order: str) -> DataFra
 def top_rows(df: DataFrame, by: str, value: str, key: str, k: int) -> DataFrame:
     """Top k rows of each group."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(value), key))).where(F.col("_r") <= k).drop("_r")
+
+
+def tag_changes(trans: DataFrame, group: str, tags: list[str], order: str) -> DataFrame:
+    """group, tag, ref (of the first pair by an order), mods (the different values of its modified rows, sorted, joined) and changed,
+    whether any of them is not ref: one row for each group and tag."""
+    rows = trans.select(group, F.col(order).alias("_o"), F.explode(F.array(*(F.struct(F.lit(t).alias("tag"), F.col("ref_" + t).cast("string").alias("ref"), F.col("mod_" + t).cast("string").alias("mod")) for t in tags))).alias("x")).select(group, "_o", "x.*")
+    named = F.coalesce("mod", F.lit("unknown"))
+    by = rows.groupBy(group, "tag").agg(F.min_by("ref", "_o").alias("ref"), F.collect_set(named).alias("_mods"), F.array_join(F.sort_array(F.collect_set(named)), ", ").alias("mods"))
+    return by.withColumn("changed", F.exists("_mods", lambda m: m != F.coalesce("ref", F.lit("unknown")))).drop("_mods")

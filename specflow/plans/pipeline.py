@@ -28,3 +28,9 @@ def run(spark: SparkSession, root: str, out: str, k: int | None = None) -> DataF
     clustered = clusters.nested(stored, k=k)
     clustered.write.parquet(f"{out}/clustered")
     return spark.read.parquet(f"{out}/clustered")
+
+
+def write_tables(tables: dict[str, DataFrame], out: str) -> None:
+    """Downstream tables (transitions, geometry, articles and so on), each as CSV with a header in a folder of its name below ``out``."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").option("header", True).csv(f"{out}/{name}")

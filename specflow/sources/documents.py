@@ -39,6 +39,35 @@ def with_text(files: DataFrame, extractors: list[Callable[[bytes], dict]]) -> Da
     return files.mapInPandas(run, "path string, folder string, filename string, text string, n_pages int, title string, author string, error string")
 
 
+#: Folders of articles that have no experimental section.
+SKIPPED = ("theoretical", "reviews")
+
+
+def load_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """key (folder/filename), title, author, is_duplicate, duplicate_of of a CSV file with a header; columns that it has not are null,
+    a missing flag is false. Of rows with the same key the last one counts."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    column = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string").alias(name)
+    flag = F.coalesce(F.lower(column("is_duplicate")) == "true", F.lit(False))
+    named = rows.select(F.concat_ws("/", "folder", "filename").alias("key"), column("title").alias("title"), column("author").alias("author"), flag.alias("is_duplicate"), column("duplicate_of").alias("duplicate_of"), F.monotonically_increasing_id().alias("_at"))
+    return named.groupBy("key").agg(F.max_by(F.struct("title", "author", "is_duplicate", "duplicate_of"), "_at").alias("r")).select("key", "r.*")
+
+
+def with_metadata(files: DataFrame, metadata: DataFrame) -> DataFrame:
+    """files: folder, filename. Adds the metadata of each; a file without any is no duplicate."""
+    return files.join(metadata, F.concat_ws("/", "folder", "filename") == F.col("key"), "left").drop("key").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
+
+
+def to_extract(files: DataFrame) -> DataFrame:
+    """files: folder, is_duplicate. Those that are no duplicates and not in a folder without experimental sections."""
+    return files.where(~F.col("is_duplicate") & ~F.lower("folder").isin(*SKIPPED))
+
+
+def first_files(files: DataFrame, n: int | None = None) -> DataFrame:
+    """The first n files by path, for a trial run; all of them without n."""
+    return files if n is None else files.orderBy("path").limit(n)
+
+
 def two_columns(blocks: DataFrame) -> DataFrame:
     """Text of pages from blocks (path, page, x, y, width, text): the left column before the right one where both have more
     than three blocks, else from top to bottom."""
