@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from specflow.plans import queries
+from specflow.plans import expressions, queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
