@@ -13,8 +13,9 @@ POINTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("fol
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, folder, stem, content of every CSV file below ``root``. Whole files, so that lines keep their order."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+    """path, folder, stem, content of every CSV file below ``root``. Whole files, so that lines keep their order. The text is always
+    read: where no column is asked for the source would give a row for each line."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root, wholetext=True).where("value is not null")
     path = F.col("_metadata.file_path")
     return files.select(path.alias("path"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract(path, r"([^/]+)\.[^./]*$", 1).alias("stem"), F.col("value").alias("content"))
 

@@ -11,7 +11,7 @@ from ..sources import curves as source
 
 
 def file_stream(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
-    files = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files_per_batch).text(root)
+    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files_per_batch).text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     return files.select(path.alias("path"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract(path, r"([^/]+)\.[^./]*$", 1).alias("stem"), F.col("value").alias("content"))
 
