@@ -77,7 +77,10 @@ def alike_titles(titles: DataFrame, least: float) -> DataFrame:
     need = least * (F.col("size") + F.col("size2")) - 1e-9
     pairs = a.join(b, "w").where("t < t2").where((2 * F.least("size", "size2") >= need) & (2 * common >= need))
     # a pair meets at each token that both prefixes have: the first one counts
-    pairs = pairs.where(F.array_min(F.array_intersect("prefix", "prefix2")) == F.col("w")).select("t", "t2")
+    pairs = pairs.where(F.array_min(F.array_intersect("prefix", "prefix2")) == F.col("w")).select("t", "t2", "size", "size2")
+    # what is left out of the matching blocks is deleted or inserted: no fewer characters than the edit distance has steps
+    most = F.floor((1 - least) * (F.col("size") + F.col("size2")) + 1e-9).cast("int")
+    pairs = pairs.where(F.call_function("levenshtein", F.col("t"), F.col("t2"), most) >= 0).select("t", "t2")
     pairs = pairs.withColumn("forth", similarity("t", "t2")).withColumn("back", similarity("t2", "t"))
     return pairs.where((F.col("forth") >= least) | (F.col("back") >= least))
 
