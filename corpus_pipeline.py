@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specflow.llm import byte_bpe, decontaminate, quality, simhash, suffix_dedup
-from specflow.llm.common import scratch, table
+from specflow.llm.common import release, scratch, scratches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each stage's rows are written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``; each stage's rows are written to the shared folder and read by the next. What a stage
+    wrote for itself goes when its rows are there, the rows when the next stage's are; those that the result is made of stay until
+    the application ends, or until ``release``."""
+    docs, before = table(spark, sf_dir, "documents"), scratches(spark)
     for name, stage in STAGES[:-1]:
         at = scratch(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(at)
+        release(spark, {x for x in scratches(spark) - before if not x.endswith(at.rsplit("/", 1)[1])})
         docs = spark.read.parquet(at)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,18 +26,48 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors reach, as the session's ``spark.checkpoint.dir`` names it.
 
-    Only where a session has none is one below its warehouse chosen; a Spark context checkpoints there too.
+    Only a local session that has none gets one, below its warehouse; a Spark context checkpoints there too. On a cluster such a
+    folder would be one machine's own, so a session without the setting is refused.
     """
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    context = spark.sparkContext
+    own, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not own and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
+    own = own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(own)
     return own.rstrip("/")
 
 
+def _on_disk(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that is this application's own; it goes when the driver's JVM ends, or with ``release``."""
+    at = f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}"
+    files, path = _on_disk(spark, at)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return at
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder."""
+    return f"{run_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def scratches(spark: SparkSession) -> set[str]:
+    """All that the application has in its part of the shared folder."""
+    files, path = _on_disk(spark, run_dir(spark))
+    return {str(x.getPath().toString()) for x in files.listStatus(path)}
+
+
+def release(spark: SparkSession, paths: set[str] | None = None) -> None:
+    """Deletes these of the application's scratch folders, or all: rows that were not written elsewhere can't be read again."""
+    for at in scratches(spark) if paths is None else paths:
+        files, path = _on_disk(spark, at)
+        files.delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

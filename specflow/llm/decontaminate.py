@@ -3,8 +3,8 @@
 Texts are lower-cased (A-Z) and cut into words. A window is ``size`` consecutive words of a benchmark item; an item of
 fewer words, but not none, is one window. A window's hash comes from the hashes of its words, by doubling. The distinct hashes of
 all windows, counted once they are written, are broadcast as a hash set as long as there are at most ``SET_ROWS``, and
-documents' windows are looked up in it where they are made; with more of them, the same look-up is a shuffled join of hashes, with
-no text in it. Only windows found are then verified, word by word, in a join with the benchmark's windows, which is left to the
+documents' windows are looked up in it where they are made; with more of them, the same look-up is a shuffled join of hashes, in
+which no row has text or words; texts come to what was found by one shuffle. Only windows found are then verified, word by word, in a join with the benchmark's windows, which is left to the
 planner: it broadcasts them only if their written size is small.
 
 Null or wordless texts have no windows: 0 words, no hits. Repeated rows are reported like any other; items that are
@@ -58,21 +58,51 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
     lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most ``size`` rows
     known = windows.select(F.col("h").alias("known")).distinct()
     small = known.count() <= set_rows
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), words_of(F.col(text)).alias("words"))
-    base = hashed(base, max(lengths, default=1))
-    # the first array stands for the document itself, with a hash that spreads
-    arrays = F.array(F.array(F.xxhash64(F.lit("row"), F.col("row"))), *(window_hash("hashes", n) for n in lengths))
-    made = base.select("row", "key", "text_hash", "words", F.posexplode(arrays).alias("k", "of"))
-    made = made.select("row", "key", "text_hash", "words", "k", F.posexplode("of").alias("at", "h"))
-    found = made.join(F.broadcast(known) if small else known, F.col("h") == F.col("known"), "left").where("k = 0 or known is not null")
-    len_ = F.element_at(F.array(F.lit(0), *map(F.lit, lengths)), F.col("k") + 1)
-    rows = found.select("row", "key", "text_hash", F.size("words").cast("bigint").alias("n_words"), (F.col("at") + 1).alias("i"), len_.alias("len"), "h", F.slice("words", F.col("at") + 1, len_).alias("w"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"), words_of(F.col(text)).alias("words"))
+    find = _in_set if known.count() <= set_rows else _by_shuffle
+    rows = find(base, known, lengths)
     theirs = windows.select(F.col("h").alias("bh"), F.col("w").alias("bw"), "item_id")
     joined = rows.join(theirs, (F.col("h") == F.col("bh")) & (F.col("w") == F.col("bw")), "left")
     sure = F.col("bh").isNotNull()
     return joined.select("row", "key", "text_hash", "n_words", F.when(sure, F.col("i")).alias("i"), F.when(sure, F.col("len")).alias("len"), "item_id")
 
 
+def _windows(base: DataFrame, lengths: list[int], more: list, *carried: str) -> DataFrame:
+    """The carried columns and k, at, h: the place in ``lengths`` (from 1), the place in the text (from 0) and the hash of each
+    window. more: arrays of hashes that come before them, at k 0 and down."""
+    arrays = F.array(*more, *(window_hash("hashes", n) for n in lengths))
+    made = hashed(base, max(lengths, default=1)).select(*carried, F.posexplode(arrays).alias("k", "of"))
+    return made.select(*carried, (F.col("k") + (1 - len(more))).alias("k"), F.posexplode("of").alias("at", "h"))
+
+
+def _length(lengths: list[int], k: Column) -> Column:
+    return F.element_at(F.array(F.lit(0), *map(F.lit, lengths)), k + 1)
+
+
+def _in_set(base: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """Windows found where they are made, in a broadcast set of hashes: row, key, text_hash, n_words, i, len, h, w; one row more for
+    each document itself, with a hash of its own that spreads and a len of 0."""
+    own = F.array(F.xxhash64(F.lit("row"), F.col("row")))
+    made = _windows(base, lengths, [own], "row", "key", "text_hash", "words")
+    found = made.join(F.broadcast(known), F.col("h") == F.col("known"), "left").where("k = 0 or known is not null")
+    len_ = _length(lengths, F.col("k"))
+    return found.select("row", "key", "text_hash", F.size("words").cast("bigint").alias("n_words"), (F.col("at") + 1).alias("i"), len_.alias("len"), "h", F.slice("words", F.col("at") + 1, len_).alias("w"))
+
+
+def _by_shuffle(base: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same rows with hashes too many for a set: windows are shuffled as (key, text_hash, k, at, h); the places found come back to
+    their texts, which go through one shuffle, once each, and only there are cut into words again."""
+    slim = _windows(base.drop("text"), lengths, [], "key", "text_hash")
+    found = slim.join(known.hint("shuffle_merge"), F.col("h") == F.col("known"), "left_semi").groupBy("key", "text_hash").agg(F.collect_set(F.struct("k", "at", "h")).alias("found"))
+    found = found.select(F.col("key").alias("found_key"), F.col("text_hash").alias("found_hash"), "found")
+    slices = F.transform("found", lambda c: F.struct((c["at"] + 1).alias("i"), _length(lengths, c["k"]).alias("len"), c["h"].alias("h"), F.slice("words", c["at"] + 1, _length(lengths, c["k"])).alias("w")))
+    texts = base.select("row", "key", "text_hash", "text", F.size("words").cast("bigint").alias("n_words"))
+    both = texts.join(found, F.col("key").eqNullSafe(F.col("found_key")) & (F.col("text_hash") == F.col("found_hash")), "left")
+    at = both.withColumn("words", F.when(F.col("found").isNotNull(), words_of(F.col("text")))).select("row", "key", "text_hash", "n_words", F.explode_outer(slices).alias("c"))
+    own = F.xxhash64(F.lit("row"), F.col("row"))
+    return at.select("row", "key", "text_hash", "n_words", F.coalesce("c.i", F.lit(1)).alias("i"), F.coalesce("c.len", F.lit(0)).alias("len"), F.coalesce("c.h", own).alias("h"), F.coalesce("c.w", F.array().cast("array<string>")).alias("w"))
+
+
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """key, text_hash, n_words, n_hit, n_items, items_sha256, contaminated for each document, and ``hit``, the sorted
     1-based places of its hit words."""

@@ -59,6 +59,20 @@ def test_decontamination(spark, odd, set_rows):
     check_hits(odd, bench, set_rows=set_rows)
 
 
+def test_decontamination_beyond_the_set_shuffles_no_words_with_windows(spark):
+    docs, bench = leaked(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check_hits(docs, bench, set_rows=0)
+        found = decontaminate.report(docs, spark.createDataFrame(bench, "item_id bigint, text string"), set_rows=0)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        made = [x for x in plan.split("\n") if "Generate posexplode" in x]
+        assert made and "BroadcastExchange" not in plan and not any(re.search(r"\b(words|text)#", re.search(r"posexplode\(.*\), \[(.*?)\]", x)[1]) for x in made)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_decontamination_removes(spark, empty):
     docs, bench = leaked(spark)
     frame = spark.createDataFrame(bench, "item_id bigint, text string")
@@ -81,7 +95,7 @@ def test_filters_pass_columns_of_any_name(spark):
     kept = quality.keep(df)
     assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows))
     judged = rows_of(quality.quality(df))
-    assert {r["n_words"] for r in judged} == {13, 14} and {r["a.b"] for r in judged} == {"1-a.b", "2-a.b", "3-a.b"}
+    assert {r["n_words"] for r in judged} == {13, 15} and {r["a.b"] for r in judged} == {"1-a.b", "2-a.b", "3-a.b"}
     left = decontaminate.remove(df, bench)
     assert left.columns == df.columns and list(map(tuple, left.collect())) == [tuple(rows[2])]
     cut = decontaminate.remove(df, bench, spans=True)
@@ -91,7 +105,7 @@ def test_filters_pass_columns_of_any_name(spark):
 def test_common_words_are_learned_for_every_language(spark):
     docs = spark.createDataFrame([(1, "da da Po Po da ze", "xx"), (2, "ze po\nda", "xx"), (3, None, "yy"), (4, "po", None)], "doc_id bigint, text string, lang string")
     got = {r["lang"]: (r["list"], r["counts"]) for r in quality.common_words(docs).collect()}
-    assert got == {"xx": (["da", "Po", "ze"], [4.0, 2.0, 2.0])}
+    assert got == {"xx": (["da", "Po", "ze", "po"], [4.0, 2.0, 2.0, 1.0])}
 
 
 def check_base(docs):
