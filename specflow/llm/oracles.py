@@ -50,4 +50,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w,
  NOT failed AND coalesce(cd, 0) <= {CHAR_LIMIT} AND coalesce(wd, 0) <= {WORD_LIMIT} AS kept FROM h"""
 
 
-ORACLES = {"op7_decontaminate": DECONTAMINATION, "op9_quality_rules": _quality()}
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.l = b.l AS same, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) AS BIGINT) AS s FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.a, p.b, p.s AS ps, s.b AS nb, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r FROM p JOIN s ON p.a = s.a AND NOT same AND 80 * p.s <= 100 * s.s AND 100 * s.s <= 100 * p.s)
+SELECT a AS anchor_id, b AS positive_id, CAST(r AS INTEGER) AS rank, nb AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 5"""
+
+
+ORACLES = {"op11_hard_negatives": NEGATIVES, "op7_decontaminate": DECONTAMINATION, "op9_quality_rules": _quality()}
