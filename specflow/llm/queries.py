@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, langid, negatives, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, urls
+from . import byte_bpe, decontaminate, divergence, langid, negatives, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, urls
 from .common import table
 from .oracles import ORACLES
 
@@ -82,5 +82,9 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_suffix_dedup, op4_language_id, op5_url_filters, op6_token_counts, op7_decontaminate, op8_simhash, op9_quality_rules, op10_byte_bpe, op11_hard_negatives)}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_suffix_dedup, op4_language_id, op5_url_filters, op6_token_counts, op7_decontaminate, op8_simhash, op9_quality_rules, op10_byte_bpe, op11_hard_negatives, op12_source_divergence)}
 __all__ = ["ORACLES", "QUERIES"]
