@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, divergence, langid, negatives, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, urls
+from . import byte_bpe, decontaminate, divergence, langid, main_text, negatives, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, urls
 from .common import table
 from .oracles import ORACLES
 
@@ -86,5 +86,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_suffix_dedup, op4_language_id, op5_url_filters, op6_token_counts, op7_decontaminate, op8_simhash, op9_quality_rules, op10_byte_bpe, op11_hard_negatives, op12_source_divergence)}
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text.extract(pages, main_text.fit(pages))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_suffix_dedup, op4_language_id, op5_url_filters, op6_token_counts, op7_decontaminate, op8_simhash, op9_quality_rules, op10_byte_bpe, op11_hard_negatives, op12_source_divergence, op13_main_text)}
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,6 +1,7 @@
 """The registered queries over the smallest tables, and the pipeline, against SQL, brute force and what their contracts say."""
 
 import hashlib
+import html
 import os
 import re
 import zlib
@@ -135,3 +136,27 @@ def test_pipeline_on_odd_rows(spark, odd):
             out = stage(spark, kept, DATA)
             kept = spark.createDataFrame(out.collect(), out.schema)
         assert kept.columns[:2] == ["doc_id", "n_tokens"] and kept.count() <= stage_docs.count()
+
+
+def test_main_text_of_pages(spark):
+    """The given pages mark their articles: h1 and p, with b, br and references inside."""
+    got = rows_of(queries.op13_main_text(spark, DATA))
+    html_of = {r["page_id"]: r["html"] for r in rows_of(spark.read.parquet(f"{DATA}/pages.parquet"))}
+    assert len(got) == len(html_of)
+    for r in got:
+        inside = re.search("<article>(.*)</article>", html_of[r["page_id"]], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("</?b>|<br>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", inside)]
+        assert r["text"] == "\n".join(filter(None, blocks)) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_source_divergence"])
+def test_sql_of_new_queries(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, DATA)
+    found = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(found.fetchall())
