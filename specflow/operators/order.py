@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Ranges that values are cut into, and the accuracy of approximate quantiles: their rank is off by a 10,000th of the rows at most.
 RANGES, ACCURACY = 256, 10_000
 
@@ -33,6 +35,17 @@ def running(values: DataFrame, value: str, sums: list[str]) -> DataFrame:
     return out.withColumns({s: F.sum(s).over(upto) + F.col("_" + s) for s in sums}).drop("_range", *("_" + s for s in sums))
 
 
+def numbered(rows: DataFrame, by: str, number: str) -> DataFrame:
+    """rows: ``by`` differs in each. Adds the place of ``by`` among them, from 1: ranges are numbered by themselves, after the counts
+    of those before (a row a range)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(rows.repartitionByRange(parts, by).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select(F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(by))
+    return dealt.withColumn(number, own).join(F.broadcast(counts), F.col("_range") == F.col("_of")).withColumn(number, F.col(number) + F.col("_before")).drop("_range", "_of", "_before")
+
+
 def least_from(values: DataFrame, value: str, column: str) -> DataFrame:
     """values: one row for each different value. ``column`` becomes its least over the row's own value and all higher ones."""
     held = values.withColumn("_range", range_of(values, value))

@@ -402,3 +402,9 @@ def nested_clusters(spark, sf_dir):
 def fuzzy_titles(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"))
     return titles.fuzzy_pairs(parts, "p_partkey", "title", 0.85)
+
+
+@query()
+def duplicate_titles(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"))
+    return titles.duplicates(parts, "p_partkey", "title", 0.85)

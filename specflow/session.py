@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -15,3 +15,15 @@ def importable(spark: SparkSession) -> SparkSession:
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as written to the folder that ``spark.checkpoint.dir`` names: lineage ends there. Only a local session that has none
+    gets one, below its warehouse; on a cluster that would be one machine's own folder."""
+    spark = df.sparkSession
+    own, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not own and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+    return df.checkpoint()

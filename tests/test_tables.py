@@ -1,4 +1,6 @@
 import math
+import random
+from difflib import SequenceMatcher
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ def test_nested_clusters_and_stability(spark):
 def test_titles(spark):
     df = spark.createDataFrame([(1, "Photocatalysis of carbon nitride sheets"), (2, "Photocatalysis of carbon nitride sheet"), (3, "Something else altogether here"), (4, "photocatalysis of Carbon nitride sheets!"), (5, "x.pdf")], "id int, title string")
     assert {(r["id"], r["duplicate_of"]) for r in titles.exact_groups(df, "id", "title").collect()} == {(1, 1), (4, 1)}
-    assert (1, 2) in {(r["a"], r["b"]) for r in titles.fuzzy_pairs(df, "id", "title").collect()}
+    assert {(r["kind"], r["a"], r["b"]) for r in titles.fuzzy_pairs(df, "id", "title").collect()} == {("member", 1, 1), ("member", 2, 2), ("member", 3, 3), ("member", 4, 1), ("pair", 1, 2)}
 
 
 def test_section(spark):
@@ -83,25 +85,104 @@ def test_flattening(spark):
     assert got == [("a", "success", 0, "x"), ("a", "success", 1, "y"), ("b", "error", None, None), ("c", "no_samples", None, None)]
 
 
+def made_titles(n, seed=4):
+    rng = random.Random(seed)
+    words = ["old", "cold", "hot", "blue", "plate", "plates", "ring", "photocatalytic", "nitride", "sheets", "evolution", "hydrogen", "of", "the"]
+    made = [" ".join(rng.choices(words, k=rng.choice([3, 4, 5, 9, 14]))) + f" {rng.randint(1, 60)}" for _ in range(n)]
+    for i in range(0, n, 3):  # near copies, with letters taken out, put in and moved
+        t = list(made[rng.randrange(n)])
+        for _ in range(rng.randint(1, 6)):
+            t[rng.randrange(len(t))] = rng.choice(["", "", "x", "e "])
+        made[i] = "".join(t)
+    return made
+
+
+def plain_pairs(titles_, least):
+    """titles_: [(key, title)], by key."""
+    out = {}
+    for i, (a, s) in enumerate(titles_):
+        for b, t in titles_[i + 1 :]:
+            m = SequenceMatcher(None, s, t)
+            if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (ratio := m.ratio()) >= least:
+                out[a, b] = round(ratio, 9)
+    return out
+
+
 def test_fuzzy_titles_equal_brute_force(spark):
-    from difflib import SequenceMatcher
-
-    import random
-
-    rng = random.Random(4)
-    rows = [(i, " ".join([rng.choice(["old", "cold", "hot", "blue"]), rng.choice(["plate", "plates", "ring"]), "standard brand", str(rng.randint(1, 25))])) for i in range(250)]
-    rows += [(1000 + i, "zzzzzzzzzzzz aaaaaaaaa " + "b" * (i % 5)) for i in range(10)] + [(2000, None), (2001, "x.pdf")]
-    frame = spark.createDataFrame(rows * 1, "id int, title string")
-    plain = [(k, " ".join(t.split())) for k, t in rows[:-2]]
-    for least in (0.95, 0.85):
-        want = {}
-        for i, (a, s) in enumerate(plain):
-            for b, t in plain[i + 1 :]:
-                ratio = SequenceMatcher(None, s, t).ratio()
-                if ratio >= least:
-                    want[a, b] = round(ratio, 9)
-        got = [((r["a"], r["b"]), round(r["similarity"], 9)) for r in titles.fuzzy_pairs(frame, "id", "title", least).collect()]
-        assert len(got) == len(want) and dict(got) == want
+    rows = list(enumerate(made_titles(2000))) + [(5000 + i, "zzzzzzzzzzzz aaaaaaaaa " + "b" * (i % 5)) for i in range(10)] + [(9000, None), (9001, "x.pdf"), (None, "A title without a key")]
+    frame = spark.createDataFrame(rows, "id int, title string")
+    named = {}
+    for k, t in rows[:-3]:
+        t = " ".join(t.split())
+        if len(t) >= 10:
+            named.setdefault(t, []).append(k)
+    reps = sorted((min(k), t) for t, k in named.items())
+    for least, options in ((0.85, {}), (0.95, {"sample": 300, "block": 64})):
+        got = titles.fuzzy_pairs(frame, "id", "title", least, **options).collect()
+        pairs = [((r["a"], r["b"]), round(r["similarity"], 9)) for r in got if r["kind"] == "pair"]
+        assert len(pairs) == len(dict(pairs)) and dict(pairs) == plain_pairs(reps, least) and len(pairs) > 30
+        assert sorted((r["a"], r["b"]) for r in got if r["kind"] == "member") == sorted((k, min(ks)) for ks in named.values() for k in ks)
+    assert titles.fuzzy_pairs(frame.limit(0), "id", "title").count() == 0
+
+
+def test_common_letters():
+    rng = random.Random(2)
+    made = ["".join(rng.choices("abc 1", k=rng.randint(1, 64))) for _ in range(60)]
+    t = titles.Titles(made)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    i, j = np.arange(59), np.arange(1, 60)
+    assert titles.common_letters(t.places(), t.spelled(), i, j).tolist() == [lcs(made[a], made[b]) for a, b in zip(i, j)]
+
+
+def test_star_groups_equal_the_loop(spark):
+    rng = random.Random(3)
+    edges = []
+    for g in range(5000):
+        n = rng.randint(2, 9)
+        edges += [(g * 10 + a, g * 10 + b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.4]
+    want = {}
+    for a, b in sorted(edges):
+        if a not in want and b not in want:
+            want[b] = a
+    got = {r["key"]: r["duplicate_of"] for r in titles.star_groups(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == want
+    chain = spark.createDataFrame([(i, i + 1) for i in range(24)], "a int, b int")
+    assert {r["key"]: r["duplicate_of"] for r in titles.star_groups(chain).collect()} == {i: i - 1 for i in range(1, 25, 2)}
+    assert titles.star_groups(chain.limit(0)).count() == 0
+
+
+def test_duplicates_equal_the_loop(spark):
+    made = made_titles(260, 9)
+    rows = list(enumerate(made)) + [(1000 + i, t.upper()) for i, t in enumerate(made[:40])] + [(2000, None), (2001, "   ")]
+    plain = {k: " ".join(t.lower().split()) for k, t in rows[:-2] if len(t.strip()) >= 10}
+    groups, want = {}, {k: (False, None, 0) for k, _ in rows}
+    for k, t in plain.items():
+        groups.setdefault(t, []).append(k)
+    number = 0
+    for t in sorted(groups):
+        if len(groups[t]) > 1:
+            number += 1
+            want |= {k: (k != groups[t][0], groups[t][0] if k != groups[t][0] else None, number) for k in groups[t]}
+    rest, done = [(k, t) for k, t in plain.items() if len(groups[t]) == 1], set()
+    for i, (a, s) in enumerate(rest):
+        if a in done:
+            continue
+        same = [b for b, t in rest[i + 1 :] if b not in done and SequenceMatcher(None, s, t).ratio() >= 0.85]
+        if same:
+            number += 1
+            done |= {a, *same}
+            want |= {a: (False, None, number)} | {b: (True, a, number) for b in same}
+    got = {r["id"]: (r["is_duplicate"], r["duplicate_of"], r["duplicate_group"]) for r in titles.duplicates(spark.createDataFrame(rows, "id int, title string"), "id", "title").collect()}
+    assert got == want and number > 10
 
 
 def test_whole_texts_of_all_languages_are_normalised(spark, tmp_path):
