@@ -69,7 +69,7 @@ def answered(sql: str, values: list | None = None, **tables) -> pa.Table:
     db = engine()
     for name, rows in tables.items():
         db.register(name, rows)
-    found = db.execute(sql, values or []).to_arrow_table()
+    found = db.sql(sql, params=values or []).to_arrow_table()
     for name in tables:
         db.unregister(name)
     return found
@@ -145,8 +145,8 @@ def audit(docs: DataFrame, *, least_docs: int = 30, top: int = 50, shard: int =
     rows = told.unionByName(kept.drop("first"), allowMissingColumns=True)
 
     def parts(t: pa.Table) -> pa.Table:
-        for statement in SHARES.split(";"):
-            answered(statement, rows=t)
+        engine().register("rows", t)
+        engine().execute(SHARES)
         return answered(PARTS, [top])
 
     at = scratch(spark, "term-parts")
