@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fit
+from .order import group_quantiles
 
 FEATURES = (
     "sample_id string, E_g_eV double, E_g_R2 double, E_g_conf string, edge_slope double, transition_width double, E_u_meV double, E_u_R2 double, E_u_conf string, "
@@ -113,7 +114,7 @@ def minmax(points: DataFrame, group: str, y: str, name: str) -> DataFrame:
 
 def baseline(points: DataFrame, group: str, y: str, share: float = 0.1) -> DataFrame:
     """A group's quantile of y: the level that excess is counted from."""
-    return points.groupBy(group).agg(F.percentile(y, share).alias("baseline"))
+    return group_quantiles(points, [group], y, [share]).select(group, F.get("q", F.lit(0)).alias("baseline"))
 
 
 def excess_area(points: DataFrame, group: str, order: list[str], x: str, y: str) -> DataFrame:

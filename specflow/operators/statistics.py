@@ -12,17 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from .order import least_from, quantiles, running
+from ..session import checkpointed
+from .order import group_quantiles, least_from, quantiles, ranged, running, same
 from .summaries import crosstab
 
 
 def tail(name: str, *arguments: Column) -> Column:
-    """A tail probability of ``special``, null where an argument is."""
+    """A tail probability of ``special``, null where an argument is. Whole batches are evaluated at a time."""
     function = getattr(special, name)
 
     @F.pandas_udf("double")
     def of(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if any(pd.isna(v) for v in row) else function(*row) for row in zip(*columns, strict=True)], dtype="float64")
+        values = np.array([c.to_numpy(np.float64, na_value=np.nan) for c in columns])
+        out, known = np.full(values.shape[1], np.nan), ~np.isnan(values).any(0)
+        out[known] = function(*values[:, known])
+        return pd.Series(out).astype("Float64").where(known, None) if not known.all() else pd.Series(out)
 
     return of(*arguments)
 
@@ -88,9 +92,11 @@ def adjusted(df: DataFrame, p: str, name: str = "p_adj", by: list[str] | None =
         ranked = df.withColumn("_rank", F.count(p).over(every.orderBy(p))).withColumn("_raw", F.col(p) * F.count(p).over(every) / F.col("_rank"))
         low = F.min("_raw").over(every.orderBy(F.desc(p)))
         return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), low))).drop("_rank", "_raw")
-    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    df = checkpointed(df)  # it is read twice, and what made it may be dear
+    counts = ranged(df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n")), "_p")
     total = counts.agg(F.sum("_n").alias("_m"))
-    raw = running(counts, "_p", ["_n"]).crossJoin(F.broadcast(total)).select("_p", (F.col("_p") * F.col("_m") / F.col("_n")).alias("_raw"))
+    upto = running(counts.withColumn("_at", F.col("_range")), "_p", ["_n"]).withColumnRenamed("_at", "_range")
+    raw = upto.crossJoin(F.broadcast(total)).select("_p", "_range", (F.col("_p") * F.col("_m") / F.col("_n")).alias("_raw"))
     out = df.join(least_from(raw, "_p", "_raw"), F.col(p) == F.col("_p"), "left")
     return out.withColumn(name, F.when(F.col("_raw").isNotNull(), F.least(F.lit(1.0), "_raw"))).drop("_p", "_raw")
 
@@ -142,12 +148,12 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def robust_outliers(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """z = (v - median) / (0.7413 IQR); flagged from 1.5 IQR around the median, extreme beyond 3 IQR outside the quartiles. In groups,
-    the quartiles of one are taken by one task."""
+    """z = (v - median) / (0.7413 IQR); flagged from 1.5 IQR around the median, extreme beyond 3 IQR outside the quartiles."""
     shares = [0.25, 0.5, 0.75]
     if by:
-        stats = df.groupBy(*by).agg(F.percentile(column, F.array(*map(F.lit, shares))).alias("_q"))
-        out = df.join(stats, by)
+        keys = [f"_by{i}" for i in range(len(by))]
+        stats = group_quantiles(df, by, column, shares).select(F.col("q").alias("_q"), *(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)))
+        out = df.join(stats, same(by, keys), "left").drop(*keys)
     else:
         out = df.withColumn("_q", F.array(*map(F.lit, quantiles(df, [column], shares)[column])))
     q1, m, q3 = (F.get("_q", F.lit(i)) for i in range(3))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import quantiles
+from .order import group_quantiles, quantiles, same
 
 
 def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -14,8 +14,10 @@ def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) ->
     if not by:
         return _described(df, columns)
     long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(*by, "x.feature", "x.v").where("v is not null and not isnan(v)")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy(*by, "feature").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std_pop"), F.stddev_samp("v").alias("std_samp"), q.alias("q"), F.min("v").alias("min"), F.max("v").alias("max"), F.skewness("v").alias("skewness"), F.kurtosis("v").alias("kurtosis"))
+    stats = long.groupBy(*by, "feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std_pop"), F.stddev_samp("v").alias("std_samp"), F.min("v").alias("min"), F.max("v").alias("max"), F.skewness("v").alias("skewness"), F.kurtosis("v").alias("kurtosis"))
+    keys = [f"_by{i}" for i in range(len(by) + 1)]
+    q = group_quantiles(long, [*by, "feature"], "v", [0.25, 0.5, 0.75]).select("n", "q", *(F.col(b).alias(k) for b, k in zip([*by, "feature"], keys, strict=True)))
+    out = stats.join(q, same([*by, "feature"], keys)).drop(*keys)
     return out.withColumns({"q1": F.get("q", F.lit(0)), "median": F.get("q", F.lit(1)), "q3": F.get("q", F.lit(2))}).drop("q")
 
 
