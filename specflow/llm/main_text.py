@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, sampled
 
 #: Elements of HTML that stand for themselves, by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -256,8 +256,8 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
     return "\n".join(b[1] for b, yes in zip(page.blocks, labelled(page, weights)) if yes)
 
 
-def fit(pages: DataFrame, *, html: str = "html", sample: int = SAMPLE_PAGES) -> np.ndarray:
-    """Weights of the score, from blocks that markup labels, of the ``sample`` pages that are least by a hash of their html."""
+def fit(pages: DataFrame, *, key: str = "page_id", html: str = "html", sample: int = SAMPLE_PAGES) -> np.ndarray:
+    """Weights of the score, from blocks that markup labels, of about ``sample`` pages, by a hash of them."""
     bounded_batches(pages.sparkSession)
 
     def blocks(stream):
@@ -270,7 +270,7 @@ def fit(pages: DataFrame, *, html: str = "html", sample: int = SAMPLE_PAGES) ->
                 known = known[:: 1 + len(known) // 100]
                 yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in known], pa.bool_()), pa.array([x for _, x in known], pa.list_(pa.float64()))], names=["y", "x"])
 
-    few = pages.where(F.col(html).isNotNull()).select(F.col(html).alias("html")).orderBy(F.xxhash64("html"), "html").limit(sample)
+    few = sampled(pages, sample, pages.count(), key, html).where(F.col(html).isNotNull()).select(F.col(html).alias("html"))
     rows = few.mapInArrow(blocks, "y boolean, x array<double>").toArrow()  # some 100 blocks a page at most
     width = len(features("x", 0, False))
     order = sorted(zip(rows["x"].to_pylist(), rows["y"].to_pylist()))

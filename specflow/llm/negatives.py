@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch
+from .common import bounded_batches, sampled, scratch
 
 #: Anchors sent to all tasks at once; with ``SAMPLE``, what bounds the driver's memory.
 CHUNK = 8192
-#: Rows, least by a hash of their content, that the rotation and the first limits are learned from.
+#: Rows, chosen by a hash of their content, that the rotation and the first limits are learned from.
 SAMPLE = 4096
 #: Fixed value: a component is floor(SCALE * x).
 SCALE = 256.0
@@ -218,13 +218,13 @@ def mine(rows: DataFrame, anchors: Column, *, key: str = "vec_id", label: str =
     spark = rows.sparkSession
     bounded_batches(spark)
     ready = usable(rows, key, label, vector, anchors)
-    size = ready.agg(F.max(F.size("x")).alias("dims"), F.count_if("anchor").alias("anchors")).first()
+    size = ready.agg(F.max(F.size("x")).alias("dims"), F.count_if("anchor").alias("anchors"), F.count("*").alias("rows")).first()
     dims, chunks = max(1, size["dims"] or 1), -(-size["anchors"] // chunk)
     out = scratch(spark, "negatives")
     schema = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
     if not chunks:
         return spark.createDataFrame([], schema)
-    known = ready.orderBy(F.xxhash64("id", "label", "x"), "id").limit(sample).select("id", "label", "x").toArrow()
+    known = sampled(ready.select("id", "label", "x"), sample, size["rows"], "id", "label", "x").limit(sample).toArrow()
     s_ids, s_labels, s_x = known["id"].to_numpy(), known["label"].to_numpy(), matrix(known["x"], dims)
     rotation, levels = learned(s_x)
     at = scratch(spark, "anchors")
