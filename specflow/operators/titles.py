@@ -38,7 +38,7 @@ def exact_groups(docs: DataFrame, key: str, title: str) -> DataFrame:
 LETTERS, OWN = "abcdefghijklmnopqrstuvwxyz0123456789 ", 6
 CODES = np.zeros(128, np.int64)
 CODES[list(LETTERS.encode())] = np.arange(len(LETTERS))
-#: Titles that cells are learned from (the least by a hash), cells at most, and titles compared with as many at once.
+#: Titles that cells are learned from (about as many, by a hash), cells at most, and titles compared with as many at once.
 SAMPLE, CELLS, BLOCK = 1 << 14, 1024, 1024
 
 
@@ -172,7 +172,8 @@ def alike_classes(named: DataFrame, least: float = 0.85, *, sample: int = SAMPLE
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     named = checkpointed(named.select("t", "rep"))
     kind = dict(named.dtypes)["rep"]
-    few = [r["t"] for r in named.select("t").orderBy(F.xxhash64("t"), "t").limit(sample).collect()]
+    part = min(1.0, sample / max(1, named.count()))
+    few = [r["t"] for r in named.where(F.pmod(F.xxhash64("t"), F.lit(1 << 31)) <= int(part * (1 << 31))).select("t").limit(2 * sample).collect()]
     pairs_schema = f"a {kind}, b {kind}, similarity double"
     if not few:
         return spark.createDataFrame([], pairs_schema)
