@@ -7,7 +7,8 @@ between documents of different languages. Forward-backward gives each word's dis
 prediction is the language with the highest mean over its words, its score that mean.
 
 Fitting uses about ``SAMPLE`` documents of each language at most, a documented bound: a share of them is taken by the hash of
-their id and text, equal ones once; their whole texts are learned from, in runs of ``RUN`` words. Beyond ``LANGUAGES`` languages each has fewer documents and the table
+their id and text, equal ones once; they are learned from in runs of ``RUN`` words. A language's documents of more than ``BYTES`` bytes
+together give a share of their runs, from all over their texts, by a hash: so what the driver gets of a language is bounded, long texts or not. Beyond ``LANGUAGES`` languages each has fewer documents and the table
 of weights fewer slots, ``LEAST`` documents and 2 ** 12 slots at least: no language is left out. Texts are scored whole. Texts are packed by time step and
 processed together, so a step serves all texts that are that long.
 
@@ -18,6 +19,7 @@ Repeated rows get equal results. Rows come back in no particular order.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,15 +27,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, checkpointed, slices
 
 #: Documents of a language, words of a run, languages from which each has fewer documents, and how many it has then at least.
 SAMPLE, RUN, LANGUAGES, LEAST = 400, 64, 64, 16
+#: Bytes of a language's sampled texts from which runs are sampled too, and letters of a word that are learned from: its first and last.
+BYTES, LETTERS = 6 << 20, 64
+#: Characters that are cut into words at once.
+PIECE = 1 << 20
 BITS = 17
-WORD = re.compile(r"[^\W\d_]+")
+WORD, SPACE = re.compile(r"[^\W\d_]+"), re.compile(r"\s")
 UNKNOWN = "und"
 
 
+def word_runs(text: str):
+    """The words of a text in runs of ``RUN``; of a long text only a piece, cut at white space, is words at a time."""
+    held, begin = [], 0
+    while begin < len(text):
+        space = SPACE.search(text, begin + PIECE)
+        end = space.end() if space else len(text)
+        held += words_of(text[begin:end])
+        whole = len(held) - len(held) % RUN
+        yield from (held[i : i + RUN] for i in range(0, whole, RUN))
+        held, begin = held[whole:], end
+    if held:
+        yield held
+
+
 def words_of(text: str | None) -> list[str]:
     found = WORD.findall((text or "").lower())
     return found if not found or "".join(found).isalpha() else [w for w in found if any(map(str.isalpha, w))]
@@ -230,13 +250,19 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     chosen = rows.select(F.col(lang).alias("lang"), F.col(text).alias("t"), hashed.alias("at")).join(F.broadcast(shares), F.col("lang") == F.col("_of"))
     chosen = chosen.where(F.pmod("at", F.lit(1 << 30)) / (1 << 30) < F.col("_share")).select("lang", "t", "at")
 
+    # equal rows count once; a language's share of runs is by the bytes that its sample has
+    chosen = checkpointed(chosen.dropDuplicates(["lang", "at"]))
+    sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.sum(F.octet_length("t")).alias("n")).collect()}
+    part = {k: int((1 << 32) * min(1.0, BYTES * each / most / max(1, n))) for k, n in sizes.items()}
+
     def runs(stream):
         for batch in stream:
-            out = [(lang, at, i, words[i : i + RUN]) for lang, t, at in zip(*(c.to_pylist() for c in batch.columns), strict=True) for words in [words_of(t)] for i in range(0, len(words), RUN)]
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())], strict=True)], names=["lang", "at", "i", "w"])
+            for lang, t, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = [(lang, at, i, [w if len(w) <= LETTERS else w[: LETTERS // 2] + w[-LETTERS // 2 :] for w in run]) for i, run in enumerate(word_runs(t)) if zlib.crc32(b"%d %d" % (at, i)) < part.get(lang, 0)]
+                columns = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())], strict=True)], names=["lang", "at", "i", "w"])
 
-    found = chosen.mapInArrow(runs, "lang string, at bigint, i int, w array<string>").dropDuplicates(["lang", "at", "i"])
+    found = chosen.mapInArrow(runs, "lang string, at bigint, i int, w array<string>")
     table = sorted(found.collect(), key=lambda r: (r["lang"], r["at"], r["i"]))
     languages = sorted({r["lang"] for r in table})
     if not languages:

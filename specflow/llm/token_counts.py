@@ -23,8 +23,9 @@ from .common import bounded_batches, slices
 
 #: Characters of a chunk, and of the overlap of two chunks at first.
 CHUNK, OVERLAP = 2048, 128
-#: Characters before a chunk's right edge at which no splice is made: more than any special string that the edge may cut.
-MARGIN = 32
+#: Characters before a chunk's right edge at which no splice is made, at least; it is more than the tokenizer's longest added token, so that
+#: one which the edge cuts begins after the splice. The overlap is ``OVERLAPS`` margins at least, a chunk as many overlaps.
+MARGIN, OVERLAPS = 32, 4
 
 
 class Counter:
@@ -43,6 +44,10 @@ class Counter:
 
         self.tokenizer = open_tokenizer(path)
         self.chunks = splits_at_space(self.tokenizer)  # only where pre-tokens are known to be independent
+        longest = max((len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), default=0)
+        self.margin = max(MARGIN, longest + 1)
+        self.overlap = max(overlap, OVERLAPS * self.margin if self.margin > MARGIN else 0)
+        self.chunk = max(chunk, OVERLAPS * self.overlap if self.margin > MARGIN else 0)
         self.whole = lambda texts: [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
@@ -90,7 +95,7 @@ class Counter:
                 right = max(start, end - overlap)
                 right_end = min(len(text), right + self.chunk + overlap)
                 e2 = self.encoded(text[right:right_end])
-                if found := self.common(e, begin, right, end - MARGIN, e2, right):
+                if found := self.common(e, begin, right, end - self.margin, e2, right):
                     break
                 self.widened += 1
                 if right == start:  # the chunk cannot begin earlier: it must end later

@@ -14,7 +14,8 @@
 5. Explicit rules on host and path come before the tree; the longest that fits wins.
 
 Null urls and urls without ``://`` have an empty host and path and are judged like the pages of any other host, a label of
-theirs included. Repeated rows get equal verdicts. A host may hold any share of the pages: sums combine before they are
+theirs included. Repeated rows get equal verdicts. The rounds of 2 and 3 are the levels at which a host has segments enough to
+make a node variable, or to branch: a common beginning of any length costs none. A host may hold any share of the pages: sums combine before they are
 shuffled, and pages meet their template's one row in a join that can split them.
 """
 
@@ -70,11 +71,13 @@ def templates(pages: DataFrame) -> DataFrame:
     return pages.groupBy("host", segments(F.col("path")).alias("segs")).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
 
 
-def deepest(found: DataFrame, least: int) -> int:
-    """The greatest depth at which a host has ``least`` templates; below it no node has that many children."""
-    per = found.groupBy("host", F.size("segs").alias("depth")).agg(F.count("*").alias("n"))
-    below = per.withColumn("n", F.sum("n").over(Window.partitionBy("host").orderBy(F.desc("depth"))))
-    return below.where(F.col("n") >= least).agg(F.max("depth")).first()[0] or 0
+def levels(found: DataFrame, column: str, least: int, inner: bool = False) -> list[int]:
+    """The levels, from 1, at which a host has ``least`` different segments: at others no node has as many children. With ``inner``
+    the last segment of a path does not count. One pass, however long a path is; a number for each level comes back."""
+    segs = F.slice(column, 1, F.greatest(F.size(column) - 1, F.lit(0))) if inner else F.col(column)
+    each = found.select("host", F.posexplode(segs).alias("level", "seg")).groupBy("host", "level", "seg").agg(F.count("*").alias("n"))
+    kinds = each.groupBy("host", "level").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= least)
+    return sorted(r["level"] + 1 for r in kinds.select("level").distinct().collect())
 
 
 def generalised(found: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def generalised(found: DataFrame) -> DataFrame:
     checkpointed: the plan would double with each level. The variable nodes are too: a node with most of the pages meets its one
     row in a join that can split it."""
     out = found.withColumn("t", F.col("segs"))
-    for level in range(1, deepest(found, VARIABLE_CHILDREN) + 1):
+    for level in levels(out, "segs", VARIABLE_CHILDREN):
         node = out.select("*", F.slice("t", 1, level - 1).alias("up"), F.get("t", F.lit(level - 1)).alias("seg"))
         children = node.where("seg is not null").groupBy("host", "up", "seg").agg(F.sum("n").alias("n"))
         shapes = children.groupBy("host", "up", F.regexp_replace("seg", "[0-9]+", "#").alias("shape")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
@@ -140,7 +143,7 @@ def judged(found: DataFrame) -> DataFrame:
     """found: as ``generalised`` has it. Returns host, segs, template, purity, rejected."""
     total = found.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).select(F.coalesce(F.try_divide("b", "l"), F.lit(0.0)).alias("prior"))
     by = merged_leaves(found.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
-    for level in range(deepest(found, 2) - 1, 0, -1):
+    for level in reversed(levels(by, "m", 2, inner=True)):
         by = merged_branches(by, level)
     pools = by.groupBy("host", "m").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(total))
     pools = pools.withColumn("purity", (F.col("bad") + WEIGHT * F.col("prior")) / (F.col("labelled") + WEIGHT))

@@ -356,3 +356,39 @@ def test_no_language_is_left_out(spark):
     assert model.languages == sorted(own)
     got = {r["doc_id"]: r["lang_pred"] for r in rows_of(langid.predict(docs, model))}
     assert sum(got[i] == name for i, _, name in rows) / len(rows) > 0.95
+
+
+def jobs_of(spark, run):
+    count = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = count()
+    run()
+    return count() - before
+
+
+def test_url_rounds_do_not_follow_the_length_of_urls(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(13)], "page_id bigint, bad int")
+
+    def jobs(depth):
+        way = "/".join(["seg"] * (depth - 1))
+        pages = spark.createDataFrame([(i, f"http://h.com/{way}/p{'abcdefghijklm'[i]}") for i in range(13)], "page_id bigint, url string")
+        return jobs_of(spark, lambda: rows_of(urls.filter_urls(pages, labels, [])))
+
+    short, long = jobs(4), jobs(1000)
+    assert abs(long - short) <= 2  # as the planner cuts small shuffles
+
+
+def test_language_is_learned_from_bounded_bytes(spark, monkeypatch):
+    text = ("nous sommes dans la maison " * 30 + "x" * 500 + " ") * 3500  # 4.6 million characters
+    assert [w for run in langid.word_runs(text) for w in run] == langid.words_of(text)
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert [w for run in langid.word_runs("Ab c1d e  \nfgh" * 9) for w in run] == langid.words_of("Ab c1d e  \nfgh" * 9)
+    monkeypatch.undo()
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda runs, y, languages: seen.append((runs, y, languages)) or "model")
+    monkeypatch.setattr(langid, "BYTES", 1 << 17)
+    docs = spark.createDataFrame([(1, text, "fr"), (1, text, "fr"), (2, "we are in the house " * 40, "en"), (3, None, "en")], "doc_id bigint, text string, lang string")
+    assert langid.fit(docs) == "model"
+    runs, y, languages = seen[0]
+    assert languages == ["en", "fr"] and (y == 0).sum() == 4  # 200 words, all of them
+    size = sum(len(w) for r, k in zip(runs, y) if k for w in r)
+    assert 0.3 * (1 << 17) < size < 1.5 * (1 << 17) and max(map(len, runs[-1])) <= 64

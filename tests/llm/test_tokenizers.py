@@ -137,3 +137,18 @@ def test_files_are_zstandard_and_seekable(tmp_path):
         reader = token_files.Reader(store.open_input_file(str(path)))
         for i in range(len(reader)):
             reader.frame(i)
+
+
+def test_long_special_strings_at_every_edge(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    special = "<|" + "the end of it " * 14 + "|>"  # 200 characters
+    own.add_special_tokens([special])
+    path = f"{tmp_path}/own.json"
+    own.save(path)
+    counter = token_counts.Counter(path, 256, 32)
+    assert counter.margin == 201 and counter.overlap >= 4 * 201 and counter.chunk >= 4 * counter.overlap
+    words = "some words, and more of them; " * 400
+    for at in range(counter.chunk - 420, counter.chunk + 30, 3):
+        text = words[:at] + special + words
+        assert counter.count([text])[0][0] == len(own.encode(text, add_special_tokens=False))
