@@ -121,3 +121,23 @@ def excess_area(points: DataFrame, group: str, order: list[str], x: str, y: str)
     """Area of what exceeds the baseline."""
     over = points.join(baseline(points, group, y), group).withColumn("_over", F.greatest(F.lit(0.0), F.col(y) - F.col("baseline")))
     return trapezoid(over, group, order, x, "_over", "excess")
+
+
+def smoothed(points: DataFrame, group: str, order: list[str], y: str, name: str, window: int = 7, degree: int = 2) -> DataFrame:
+    """Savitzky-Golay smoothing as columns: each point a weighted sum of its neighbours, the ends on the polynomial of the end windows.
+    A curve shorter than the window stays as it is. Frames are bounded, so a curve of any length goes through without being held."""
+    half = window // 2
+    basis = np.vander(np.arange(-half, half + 1), degree + 1, increasing=True)
+    weights = basis @ np.linalg.pinv(basis)  # a row for each place in a window, of a weight for each of its points
+    by = Window.partitionBy(group).orderBy(*order)
+    ranked = points.withColumn("_at", F.row_number().over(by)).withColumns({f"_y{k}": (F.lag(y, -k) if k < 0 else F.lead(y, k)).over(by) if k else F.col(y) for k in range(1 - window, window)})
+    # places are counted from the ends as neighbours run out: the last point has no follower
+    left = F.least(F.col("_at") - 1, F.lit(half))
+    right = sum((F.when(F.lead("_at", k).over(by).isNotNull(), 1).otherwise(0) for k in range(1, half + 1)), F.lit(0))
+    more = sum((F.when(F.lead("_at", k).over(by).isNotNull(), 1).otherwise(0) for k in range(1, window)), F.lit(0))
+    ranked = ranked.withColumn("_left", left).withColumn("_right", right).withColumn("_enough", (F.col("_at") + more >= window))
+    place = F.when(F.col("_left") < half, F.col("_left")).otherwise(window - 1 - F.col("_right"))  # of the point in its window
+    value = F.col(y)
+    for at in range(window):
+        value = F.when(F.col("_enough") & (place == at), sum((float(weights[at, j]) * F.col(f"_y{j - at}") for j in range(window)), F.lit(0.0))).otherwise(value)
+    return ranked.withColumn(name, value).drop("_at", "_left", "_right", "_enough", *(f"_y{k}" for k in range(1 - window, window)))

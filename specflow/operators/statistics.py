@@ -241,6 +241,63 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return by.agg(F.avg(F.when(F.col("own").isNull(), 0.0).otherwise(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")))).alias("silhouette"))
 
 
+#: Clusters times dimensions whose sums go to every task.
+LARGEST_SUMS = 1_000_000
+
+
+def cluster_sums(df: DataFrame, vector: str, label: str, width: int) -> list:
+    """label, n, s (the sum of its vectors), q (the sum of their squares) of each cluster, by label: from one pass; bounded."""
+    x = [F.get(vector, F.lit(i)).cast("double") for i in range(width)]
+    sums = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.array(*(F.sum(v) for v in x)).alias("s"), sum((F.sum(v * v) for v in x), F.lit(0.0)).alias("q"))
+    found = sums.orderBy("label").limit(1 + LARGEST_SUMS // width).collect()
+    if len(found) * width > LARGEST_SUMS:
+        raise ValueError(f"more than {LARGEST_SUMS // width} clusters are too many")
+    return found
+
+
+def squared_silhouette(df: DataFrame, vector: str, label: str, width: int) -> DataFrame:
+    """Mean silhouette by squared distances, in time linear in the rows: the mean squared distance of x to a cluster is
+    |x|^2 - 2 x s / n + q / n. A cluster of one row counts 0."""
+    sums = cluster_sums(df, vector, label, width)
+    held = F.array(*(F.struct(F.lit(r["label"]).alias("label"), F.lit(float(r["n"])).alias("n"), F.array(*map(F.lit, r["s"])).alias("s"), F.lit(r["q"]).alias("q")) for r in sums)) if sums else None
+    rows = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).alias("g"), F.transform(vector, lambda v: v.cast("double")).alias("x"))
+    if held is None:
+        return rows.agg(F.avg(F.lit(None).cast("double")).alias("silhouette"))
+    clusters = df.sparkSession.range(1).select(held.alias("clusters"))
+    rows = rows.crossJoin(F.broadcast(clusters))  # one row
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda v, w: v * w), F.lit(0.0), lambda t, v: t + v)
+    rows = rows.withColumn("xx", dot("x", "x"))
+    far = F.transform("clusters", lambda c: F.struct(c["label"].alias("label"), c["n"].alias("n"), F.greatest(F.lit(0.0), c["n"] * F.col("xx") - 2 * dot(F.col("x"), c["s"]) + c["q"]).alias("t")))
+    rows = rows.withColumn("far", far)
+    own = F.get(F.filter("far", lambda c: c["label"] == F.col("g")), F.lit(0))
+    other = F.array_min(F.transform(F.filter("far", lambda c: c["label"] != F.col("g")), lambda c: c["t"] / c["n"]))
+    rows = rows.select(own.alias("own"), other.alias("other")).select(F.col("own.n").alias("n"), F.try_divide(F.col("own.t"), F.col("own.n") - 1).alias("own"), "other")
+    value = F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.when(F.col("other").isNotNull(), 0.0)))
+    return rows.agg(F.avg(value).alias("silhouette"))
+
+
+def davies_bouldin(df: DataFrame, vector: str, label: str, width: int) -> DataFrame:
+    """The mean over clusters of the greatest (d_i + d_j) / distance of their centres, d the mean distance of a cluster's rows to its
+    centre. Two passes; centres, of bounded number, go to every task."""
+    sums = cluster_sums(df, vector, label, width)
+    spark = df.sparkSession
+    if len(sums) < 2:
+        return spark.range(1).select(F.lit(None).cast("double").alias("davies_bouldin"))
+    centres = spark.createDataFrame([(r["label"], [v / r["n"] for v in r["s"]]) for r in sums], f"h {dict(df.dtypes)[label]}, c array<double>")
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(label).alias("h"), F.col(vector).alias("x")).join(F.broadcast(centres), "h")
+    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda v, w: (v.cast("double") - w) * (v.cast("double") - w)), F.lit(0.0), lambda t, v: t + v))
+    near = {r["h"]: r["d"] for r in rows.groupBy("h").agg(F.avg(gap("x", "c")).alias("d")).collect()}
+    m, d = np.array([r["s"] for r in sums]) / np.array([r["n"] for r in sums])[:, None], np.array([near[r["label"]] for r in sums])
+    worst = []
+    for i in range(len(m)):  # a row of the clusters' distances at a time
+        apart = np.sqrt(((m - m[i]) ** 2).sum(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = (d + d[i]) / apart
+        ratio[i] = -np.inf
+        worst.append(ratio.max())
+    return spark.range(1).select(F.lit(float(np.mean(worst))).alias("davies_bouldin"))
+
+
 def dispersion(df: DataFrame, vector: str, label: str, width: int) -> DataFrame:
     """Calinski-Harabasz index, from one sum for each cluster and dimension."""
     long = df.select(F.col(label).alias("g"), F.posexplode(vector).alias("d", "v"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .cells import Cells
 from .order import numbered
 
 
@@ -72,42 +73,6 @@ class Titles:
         return out
 
 
-class Cells:
-    """A tree that cuts titles by how often they have a letter (or by length) into cells, learned from a sample of bags."""
-
-    def __init__(self, bags: np.ndarray, cells: int):
-        self.column, self.limit, self.child = [], [], []
-        self.leaves, queue = 1, [(self._node(), np.arange(len(bags)))]
-        while queue and self.leaves < cells:
-            node, rows = queue.pop(0)
-            if len(rows) < 2:
-                continue
-            column = int(bags[rows].var(0).argmax())
-            values = bags[rows, column]
-            limit = int(np.median(values)) if values.min() < values.max() else None
-            if limit is None:
-                continue
-            limit -= limit == values.max()
-            below = values <= limit
-            self.column[node], self.limit[node], self.child[node] = column, limit, (self._node(), self._node())
-            self.leaves += 1
-            queue += [(self.child[node][0], rows[below]), (self.child[node][1], rows[~below])]
-
-    def _node(self) -> int:
-        self.column.append(-1)
-        self.limit.append(0)
-        self.child.append((0, 0))
-        return len(self.column) - 1
-
-    def of(self, bags: np.ndarray) -> np.ndarray:
-        column, limit, child = np.array(self.column), np.array(self.limit), np.array(self.child)
-        node = np.zeros(len(bags), np.int64)
-        while (inner := np.nonzero(column[node] >= 0)[0]).size:
-            at = node[inner]
-            node[inner] = child[at, (bags[inner, column[at]] > limit[at]).astype(np.int64)]
-        return node
-
-
 def room(least: float, sizes):
     """How many characters two titles of these lengths in all may have outside of matching blocks."""
     return np.floor((1 - least) * sizes + 1e-9)
