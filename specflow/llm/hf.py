@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
-import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
@@ -28,29 +29,39 @@ def splits_at_space(tokenizer) -> bool:
     return said.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and said["model"]["type"] == "BPE"
 
 
-#: Units that are encoded in one string.
-JOINED = 2048
-
-
-def ids_of_units(tokenizer, units: list[str]) -> list[bytes]:
-    """Ids of each unit as little-endian unsigned 32-bit integers. Units of a space and characters that are none are encoded many
-    in one string, with line feeds between them: a line feed between other characters and a space is a token of its own."""
-    out: list[bytes] = [b""] * len(units)
-    plain = [i for i, u in enumerate(units) if u[:1] == " " and len(u) > 1 and "\n" not in u and not u[1].isspace() and not u[-1].isspace()]
-    feed = tokenizer.token_to_id("\u010a")
-    rest = set(range(len(units))).difference(plain) if feed is not None else set(range(len(units)))
-    for k in range(0, len(plain) if feed is not None else 0, JOINED):
-        some = plain[k : k + JOINED]
-        ids = np.array(tokenizer.encode_batch_fast(["\n".join([units[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == feed), len(ids))
-        if len(ends) != len(some):
-            rest.update(some)
-            continue
-        raw, start = ids.tobytes(), 0
-        for i, end in zip(some, (4 * ends).tolist(), strict=True):
-            out[i] = raw[start:end]
-            start = end + 4
-    left = sorted(rest)
-    for i, e in zip(left, tokenizer.encode_batch_fast([units[i] for i in left], add_special_tokens=False), strict=True):
-        out[i] = array("I", e.ids).tobytes()
-    return out
+#: Fixed value: the split pattern of such tokenizers.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Units of characters whose classes have been the same in all versions of Unicode for long: every engine cuts them alike.
+SURE = re.compile(" ?[!-~\u00a1-\u017f]+")
+#: Fixed rule: a byte-level vocabulary writes a byte that is printed as itself, the others as the characters from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+WRITTEN = {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
+
+class UnitIds:
+    """Ids of units as little-endian unsigned 32-bit integers. Units of usual characters are cut into pieces by the split pattern, and
+    the tokenizer's model is asked for pieces that are not remembered (``most`` at a time, with no text around them there is
+    nothing else that it needs); other units go through the whole tokenizer."""
+
+    def __init__(self, tokenizer, most: int = 250_000):
+        self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
+        self.known: dict[str, bytes] = {}
+
+    def piece(self, text: str) -> bytes:
+        if (ids := self.known.get(text)) is None:
+            ids = self.known[text] = array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(WRITTEN))]).tobytes()
+        return ids
+
+    def __call__(self, units: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(units)
+        rest = []
+        for i, u in enumerate(units):
+            if SURE.fullmatch(u):
+                if len(self.known) > self.most:
+                    self.known = {}
+                out[i] = b"".join([self.piece(p) for p in PIECES.findall(u)])
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out

@@ -153,13 +153,13 @@ class Encoder:
     """A tokenizer file's ids of texts, with its number of ids."""
 
     def __init__(self, path: str):
-        from .hf import ids_of_units, open_tokenizer, splits_at_space
+        from .hf import UnitIds, open_tokenizer, splits_at_space
         from .units import UnitCoder
 
         self.tokenizer = open_tokenizer(path)
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.coder = UnitCoder(lambda units: ids_of_units(self.tokenizer, units), UNITS) if splits_at_space(self.tokenizer) else None
+        self.coder = UnitCoder(UnitIds(self.tokenizer), UNITS) if splits_at_space(self.tokenizer) else None
 
     @staticmethod
     @lru_cache(maxsize=4)

@@ -152,3 +152,15 @@ def test_long_special_strings_at_every_edge(tmp_path):
     for at in range(counter.chunk - 420, counter.chunk + 30, 3):
         text = words[:at] + special + words
         assert counter.count([text])[0][0] == len(own.encode(text, add_special_tokens=False))
+
+
+def test_ids_of_units_equal_the_library():
+    from specflow.llm import hf
+
+    own = hf.open_tokenizer(P.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    usual, odd_ = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x180)]], list("ʼǅ世😀​́ \x00\x85")
+    units = ["".join(rng.choices(usual, k=rng.randint(1, 12))) for _ in range(3000)] + ["".join(rng.choices(usual[60:90] + odd_, k=rng.randint(1, 6))) for _ in range(500)] + ["don't", "it's'll", "a'S", "²½ªº", "x\xady"]
+    units = [rng.choice([" ", "", "\n"]) + u for u in units]
+    made = hf.UnitIds(own, most=500)
+    assert [np.frombuffer(x, "<u4").tolist() for x in made(units)] == [own.encode(u, add_special_tokens=False).ids for u in units]
