@@ -22,6 +22,32 @@ CONFIGS = {
         "mod_atmosphere_class": ["none", "inert", "N2", "air", "reducing", "etching_reactive", "liquid", "vacuum", "unknown"],
     },
 }
+# What a tag is where its value is none of those, by configuration.
+COMMON_DEFAULTS = {
+    "precursor_family": "other",
+    "calcination_temperature_bin": "520_560",
+    "atmosphere_class": "unknown",
+    "primary_route": "unknown_or_other",
+    "dopant_class": "none",
+    "morphology_form": "unknown",
+}
+DEFAULTS = {
+    "v1_flat": COMMON_DEFAULTS | {"defect_introduction_mode": "none_or_baseline"},
+    "v2_staged": COMMON_DEFAULTS | {"mod_method": "none", "mod_atmosphere_class": "none"},
+}
+# Other fields with allowed values, and their defaults, by configuration.
+DURATIONS = ["lt2h", "2_4h", "4_8h", "gt8h"]
+EXTRA = {
+    "v1_flat": {
+        "synthesis_method": (["thermal_polymerization", "solvothermal_exfoliation", "supramolecular", "other"], "other"),
+        "duration_bin": (DURATIONS, "2_4h"),
+    },
+    "v2_staged": {
+        "backbone_method": (["thermal_polymerization", "solvothermal", "supramolecular", "other"], "other"),
+        "backbone_duration_bin": (DURATIONS, "2_4h"),
+        "mod_duration_bin": (["none", *DURATIONS], "none"),
+    },
+}
 # Values merged before analysis.
 MERGES = {
     "atmosphere_class": {"unknown": "air", "co2_generated": "other_atmosphere"},
@@ -44,6 +70,19 @@ def validated(value: Column, allowed: list[str], default: str) -> Column:
     return F.coalesce(F.when(value.isin(allowed), value), F.element_at(by_lower, F.lower(F.trim(value))), F.lit(default))
 
 
+def fields(config: str) -> dict[str, tuple[list[str], str]]:
+    """Allowed values and default of every tag and every other field of a configuration."""
+    if config not in CONFIGS:
+        raise ValueError(f"no such configuration: {config}; there are {', '.join(available())}")
+    return {t: (allowed, DEFAULTS[config][t]) for t, allowed in CONFIGS[config].items()} | EXTRA[config]
+
+
+def all_validated(samples: DataFrame, config: str) -> DataFrame:
+    """Every field of the configuration, validated; one that ``samples`` lacks has its default. Other columns stay as they are."""
+    have = {c.lower() for c in samples.columns}
+    return samples.withColumns({t: validated(F.col(t) if t.lower() in have else F.lit(None).cast("string"), allowed, default) for t, (allowed, default) in fields(config).items()})
+
+
 def temperature_bin(kelvins: Column) -> Column:
     t = kelvins
     return F.when(t.isNull(), None).when(t < 520, "lt520").when(t < 560, "520_560").when(t < 600, "560_600").otherwise("gt600")
@@ -99,20 +138,6 @@ def flattened(answers: DataFrame, schema: str) -> DataFrame:
     return rows.select("*", "sample.*").drop("sample", "response")
 
 
-def answered(articles: DataFrame, client, prompt: str) -> DataFrame:
-    """article_id, response from a client: a callable that is made on the worker and maps a prompt to JSON text. Tests replay
-    recorded answers; none is constructed here."""
-
-    def run(batches):
-        import pandas as pd
-
-        ask = client()
-        for batch in batches:
-            yield pd.DataFrame({"article_id": batch["article_id"], "response": [ask(p) for p in batch[prompt]]})
-
-    return articles.select("article_id", prompt).mapInPandas(run, "article_id string, response string")
-
-
 def unprocessed(articles: DataFrame, done: DataFrame, version: str) -> DataFrame:
     """Articles without a result of this configuration; results of another one stop the run."""
     if (other := done.where(F.col("config_version") != version).select("config_version").first()) is not None:

@@ -182,12 +182,12 @@ MARKED = "CASE doc_id % 4 WHEN 0 THEN 'Access denied. Request ID: 7 ' WHEN 1 THE
 
 @query(
     f"""SELECT doc_id, doc_id % 3 <= 1 AND length(t) < 3000 AND (contains(lower(t), 'access denied')::INT + contains(lower(t), 'request id:')::INT + contains(lower(t), 'cookie policy')::INT) >= 2 AS broken,
- regexp_matches(lower(t[1:200]), 'see\\s+(the\\s+)?support') AS redirects FROM (SELECT doc_id, {MARKED} || coalesce(text, '') AS t FROM documents)"""
+ regexp_matches(lower(t), 'see\\s+(the\\s+)?support') AS redirects FROM (SELECT doc_id, {MARKED} || coalesce(text, '') AS t FROM documents)"""
 )
 def error_pages(spark, sf_dir):
     k = F.col("doc_id") % 4
     t = F.concat(F.when(k == 0, "Access denied. Request ID: 7 ").when(k == 1, "see the Supporting Information ").when(k == 2, "described in the SI ").otherwise(""), F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", text.broken(t, F.col("doc_id") % 3 + 1).alias("broken"), text.redirects(F.substring(t, 1, 200)).alias("redirects"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.broken(t, F.col("doc_id") % 3 + 1).alias("broken"), text.redirects(t).alias("redirects"))
 
 
 @query(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import curves, neighbours, statistics
+from ..operators import answers, curves, neighbours, statistics, tags
+from ..session import shared_dir
 from .queries import POINTS, points, query, table
 
 
@@ -55,3 +58,23 @@ SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT a, max((x.d + y.d) / g) A
 )
 def davies_bouldin(spark, sf_dir):
     return statistics.davies_bouldin(table(spark, sf_dir, "embeddings"), "embedding", "label", 64).select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
+
+
+def recorded():
+    """A client that has an answer to every prompt, from the prompt itself: a family, and a duration that may be none that is allowed."""
+    import json
+
+    return lambda prompt: json.dumps({"samples": [{"precursor_family": prompt.split("#")[-1], "duration_bin": "GT8H " if int(prompt.split("#")[1]) % 2 else "long"}], "drs_instrument": "d", "general_notes": prompt[:8]})
+
+
+@query(
+    """SELECT CAST(c_custkey AS VARCHAR) AS article_id, 'success' AS extraction_status, CASE c_custkey % 3 WHEN 0 THEN 'urea' WHEN 1 THEN 'melamine' ELSE 'other' END AS precursor_family,
+ CASE WHEN c_custkey % 2 = 1 THEN 'gt8h' ELSE '2_4h' END AS duration_bin, 'other' AS synthesis_method, 'none' AS dopant_class FROM customer"""
+)
+def answered_articles(spark, sf_dir):
+    family = F.element_at(F.array(F.lit("Urea"), F.lit("melamine"), F.lit("?")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    articles = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("article_id"), F.concat(F.col("c_name"), F.lit("#"), F.col("c_custkey"), F.lit("#"), family).alias("prompt"))
+    at = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    found = answers.answer(articles, recorded, "prompt", at, version="v1_flat", batch=20_000, tasks=8, pause=0.0)
+    rows = tags.flattened(found.select("article_id", "response"), "samples array<struct<precursor_family:string,duration_bin:string>>, drs_instrument string, general_notes string")
+    return tags.all_validated(rows, "v1_flat").select("article_id", "extraction_status", "precursor_family", "duration_bin", "synthesis_method", "dopant_class")

@@ -274,13 +274,9 @@ def map_default(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", tags.validated(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"], "none").alias("tag"))
 
 
-FIRST_LINE = "split_part(text, chr(10), 1)"
-
-
-@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower({FIRST_LINE}), '&#x[0-9a-f]+;|&[a-z]+;', '', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '&#x[0-9a-f]+;|&[a-z]+;', '', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents")
 def normalise_title(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return docs.select("doc_id", titles.normalise(F.substring_index("text", "\n", 1)).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", titles.normalise(F.col("text")).alias("title"))
 
 
 @query()

@@ -17,13 +17,19 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows as written to the folder that ``spark.checkpoint.dir`` names: lineage ends there. Only a local session that has none
-    gets one, below its warehouse; on a cluster that would be one machine's own folder."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only a local session that has none gets one, below its warehouse; on a cluster that
+    would be one machine's own folder."""
     own, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not own and not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
+    own = own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+        context.setCheckpointDir(own)
+    return own.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as written to the shared folder: lineage ends there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
