@@ -370,27 +370,57 @@ def permutation_p(df: DataFrame, row: str, col: str, times: int = 10_000, seed:
     return (1 + hits) / (times + 1)
 
 
-def permutation_f(df: DataFrame, group: str, value: str, times: int = 10_000, seed: int = 42, largest: int = 20_000) -> float:
+#: Values that a task permutes at once.
+CHUNK = 10_000
+
+
+def permutation_f(df: DataFrame, group: str, value: str, times: int = 10_000, seed: int = 42, chunk: int = CHUNK) -> float:
     """(1 + permutations with an F at least as high) / (times + 1), groups of more than one row. A permutation deals the values to
-    groups of the same sizes; F rises with the sum of squared group sums over their sizes. The values of one table of samples,
-    ``largest`` at most, are held by each task, and the permutations are what is spread."""
+    groups of the same sizes; F rises with the sum of squared group sums over their sizes.
+
+    No task holds all values. They lie in chunks; how many of a chunk's values a permutation deals to each group follows from sizes
+    alone, and is drawn from them chunk by chunk; a chunk then deals its own values at random, and sums of groups are added up. So each
+    permutation is as likely as any other."""
     rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"))
-    kept = rows.join(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "g").orderBy("g", "v").limit(largest + 1).collect()
-    if len(kept) > largest:
-        raise ValueError(f"more than {largest} rows are too many for a permutation test")
-    values = np.array([r["v"] for r in kept])
-    starts = np.flatnonzero([i == 0 or kept[i]["g"] != kept[i - 1]["g"] for i in range(len(kept))])
-    if len(starts) < 2:
+    known = rows.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).where("n > 1").orderBy("g").limit(LARGEST_TABLE + 1).collect()
+    if len(known) < 2:
         return 1.0
-    sizes = np.diff(np.append(starts, len(values)))
-    between = lambda v: (np.add.reduceat(v, starts) ** 2 / sizes).sum()
-    observed = between(values)
-
-    def at_least(stream):
+    sizes, total = np.array([r["n"] for r in known], np.int64), sum(r["s"] for r in known)
+    chunks = -(-int(sizes.sum()) // chunk)
+    if len(sizes) * chunks > LARGEST_TABLE:
+        raise ValueError(f"{len(sizes)} groups of {sizes.sum()} rows are too many for a permutation test")
+    mean = total / sizes.sum()  # values are centred: only differences count
+    between = lambda s: (s * s / sizes).sum(-1)
+    observed = between(np.array([r["s"] for r in known]) - sizes * mean)
+    names = df.sparkSession.createDataFrame([(r["g"],) for r in known], "g string")
+    held = rows.join(F.broadcast(names), "g", "left_semi").select((F.col("v") - mean).alias("v")).withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int"))
+    held = checkpointed(held)
+    filled = {r["chunk"]: r["n"] for r in held.groupBy("chunk").agg(F.count("*").alias("n")).collect()}
+    lengths = np.array([filled.get(c, 0) for c in range(chunks)])
+
+    def drawn(stream):
+        """For each permutation and chunk, how many of the chunk's values go to each group."""
         for batch in stream:
-            yield pd.DataFrame({"hits": [sum(between(np.random.default_rng([seed, int(t)]).permutation(values)) >= observed * (1 - 1e-12) for t in batch["id"])]})
+            for t in batch["id"]:
+                rng, left, out = np.random.default_rng([seed, int(t)]), sizes.copy(), []
+                for n in lengths:
+                    out.append(rng.multivariate_hypergeometric(left, n, method="marginals"))
+                    left = left - out[-1]
+                yield pd.DataFrame({"t": int(t), "chunk": np.arange(chunks, dtype="int32"), "k": [x.tolist() for x in out]})
+
+    def dealt(key, values: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        v, rng, out = np.sort(values["v"].to_numpy()), np.random.default_rng([seed, times, int(key[0])]), []
+        for k in counts.sort_values("t")["k"]:
+            run = np.append(0.0, np.cumsum(rng.permutation(v)))
+            out.append(np.diff(run[np.append(0, np.cumsum(k))]).tolist())
+        return pd.DataFrame({"t": np.sort(counts["t"].to_numpy()), "s": out})
 
-    hits = df.sparkSession.range(times).mapInPandas(at_least, "hits bigint").agg(F.sum("hits")).first()[0] or 0
+    spark = df.sparkSession
+    counts = spark.range(times).mapInPandas(drawn, "t bigint, chunk int, k array<bigint>")
+    sums = held.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(dealt, "t bigint, s array<double>")
+    each = sums.groupBy("t").agg(F.array(*(F.sum(F.get("s", F.lit(i))) for i in range(len(sizes)))).alias("s"))
+    score = sum((F.get("s", F.lit(i)) * F.get("s", F.lit(i)) / int(n) for i, n in enumerate(sizes)), F.lit(0.0))
+    hits = each.where(score >= float(observed) * (1 - 1e-9)).count()
     return (1 + hits) / (times + 1)
 
 

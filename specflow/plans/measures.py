@@ -78,3 +78,25 @@ def answered_articles(spark, sf_dir):
     found = answers.answer(articles, recorded, "prompt", at, version="v1_flat", batch=20_000, tasks=8, pause=0.0)
     rows = tags.flattened(found.select("article_id", "response"), "samples array<struct<precursor_family:string,duration_bin:string>>, drs_instrument string, general_notes string")
     return tags.all_validated(rows, "v1_flat").select("article_id", "extraction_status", "precursor_family", "duration_bin", "synthesis_method", "dopant_class")
+
+
+RUNS = f"""SELECT a.user_id, a.pos AS x_i, b.pos AS x_j, count(*) AS n, regr_slope(c.value, c.pos) AS slope, regr_intercept(c.value, c.pos) AS intercept, regr_r2(c.value, c.pos) AS r2, var_pop(c.value) AS vy, var_pop(c.pos) AS vx
+ FROM p a JOIN p b ON a.user_id = b.user_id AND b.pos - a.pos BETWEEN 5 AND 9 JOIN p c ON c.user_id = a.user_id AND c.pos BETWEEN a.pos AND b.pos GROUP BY a.user_id, a.pos, b.pos"""
+SCORED = f"""SELECT *, 1000 / slope AS width, r2 - 0.15 * sqrt(greatest(0, (1 - r2) * vy / vx / (n - 2))) / slope AS score FROM ({RUNS}) WHERE slope > 0 AND r2 >= 0.6 AND 1000 / slope BETWEEN 15 AND 8000"""
+
+
+@query(f"WITH p AS ({POINTS}) SELECT user_id, CAST(x_i AS BIGINT) AS i, CAST(x_j AS BIGINT) AS j, n, round(slope, 6) AS slope, round(intercept, 5) AS intercept, round(CASE WHEN vy = 0 THEN 0 ELSE r2 END, 6) AS r2 FROM ({RUNS})")
+def straight_runs(spark, sf_dir):
+    runs = curves.run_fits(points(spark, sf_dir), "user_id", "pos", "value", narrow=5.0, wide=9.0)
+    return runs.select("user_id", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "n", F.round("slope", 6).alias("slope"), F.round("intercept", 5).alias("intercept"), F.round("r2", 6).alias("r2"))
+
+
+@query(
+    f"""WITH p AS ({POINTS}), s AS ({SCORED}), c AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY user_id) AS best FROM s) WHERE score >= best - 0.05),
+m AS (SELECT user_id, median(width) AS m, count(*) AS runs FROM c GROUP BY user_id)
+SELECT user_id, round(m, 4) AS width, round(r2, 6) AS r2, round(slope, 6) AS slope, runs FROM (SELECT c.*, m, runs, row_number() OVER (PARTITION BY c.user_id ORDER BY round(abs(width - m), 6), round(-score, 9), x_i, x_j) AS k FROM c JOIN m ON c.user_id = m.user_id) WHERE k = 1"""
+)
+def tails_of_runs(spark, sf_dir):
+    runs = curves.run_fits(points(spark, sf_dir), "user_id", "pos", "value", narrow=5.0, wide=9.0)
+    found = curves.tail_of_runs(runs, "user_id", least_r2=0.6, widest=8000.0, near=0.05)
+    return found.select("user_id", F.round("width", 4).alias("width"), F.round("r2", 6).alias("r2"), F.round("slope", 6).alias("slope"), "runs")

@@ -77,3 +77,43 @@ def test_cluster_quality(spark):
     assert statistics.davies_bouldin(df.where("g = 1"), "v", "g", 3).first()[0] is None and statistics.squared_silhouette(df.limit(0), "v", "g", 3).first()[0] is None
     # by distances that are not squared the quadratic form says nearly the same of these clusters
     assert abs(statistics.silhouette(df.where("v is not null and g is not null"), "i", "v", "g").first()[0] - np.mean(each)) < 0.3
+
+
+def test_runs_and_their_tail_equal_the_kernel(spark):
+    rng = np.random.default_rng(8)
+    made = {}
+    for g, width in (("a", 80.0), ("b", 140.0), (None, 60.0)):
+        e = np.sort(rng.uniform(2.05, 2.32, 60))
+        made[g] = (e, np.log(np.exp((e - 2.4) / (width / 1000)) * np.exp(rng.normal(0, 0.02, len(e)))))
+    df = spark.createDataFrame([(g, float(x), float(y)) for g, (e, v) in made.items() for x, y in zip(e, v)], "g string, x double, y double").repartition(3)
+    runs = curves.run_fits(df, "g", "x", "y", narrow=0.12, wide=0.28, least=12)
+    got = {}
+    for r in runs.collect():
+        got.setdefault(r["g"], {})[r["i"] - 1, r["j"] - 1] = (r["r2"], r["slope"], r["intercept"], r["error"])
+    tails = {r["g"]: r for r in curves.tail_of_runs(runs, "g").collect()}
+    for g, (e, v) in made.items():
+        lines, n = fit.Lines(e, v), len(e)
+        pairs = [(i, j) for i in range(n) for j in range(i + 12, n) if 0.12 <= e[j] - e[i] <= 0.28]
+        assert sorted(got[g]) == pairs
+        i, j = np.array(pairs).T
+        assert np.allclose(np.array([got[g][p] for p in pairs]), np.stack(lines.fit(i, j + 1), 1), rtol=1e-6, atol=1e-9)
+        r2, slope, _, error = lines.fit(i, j + 1)
+        with np.errstate(divide="ignore"):
+            width = np.where(slope > 0, 1000 / slope, np.inf)
+        keep = (slope > 0) & (r2 >= 0.97) & (width >= 15) & (width <= 800)
+        score = (r2 - 0.15 * error)[keep]
+        near = width[keep][score >= score.max() - 0.005]
+        assert math.isclose(tails[g]["width"], np.median(near), rel_tol=1e-6) and tails[g]["runs"] == len(near)
+
+
+def test_permutations_in_chunks(spark):
+    rng = np.random.default_rng(3)
+    g = np.array(["a"] * 40 + ["b"] * 25 + ["c"] * 30 + ["one"])
+    v = rng.normal(0, 1, len(g)) + 0.35 * (g == "b")
+    df = spark.createDataFrame([(str(a), float(b)) for a, b in zip(g, v)] + [("a", None), (None, 1.0)], "g string, v double").repartition(4)
+    many = [statistics.permutation_f(df, "g", "v", 1500, chunk=chunk) for chunk in (10_000, 17)]
+    w, h = v[g != "one"], g[g != "one"]
+    f = lambda x: sum(x[h == k].sum() ** 2 / (h == k).sum() for k in "abc") - x.sum() ** 2 / len(x)
+    plain = np.mean([f(rng.permutation(w)) >= f(w) for _ in range(3000)])
+    assert 0.01 < plain < 0.9 and all(abs(p - plain) < 0.05 for p in many)
+    assert statistics.permutation_f(df.where("g = 'a'"), "g", "v", 10) == 1.0
