@@ -10,11 +10,12 @@ what ``batch`` bounds.
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, moved, on_disk
 from .order import numbered
 from .tags import unprocessed
 
@@ -23,14 +24,9 @@ SCHEMA = "article_id string, config_version string, response string, status stri
 BATCH, PAUSE, TRIES = 5, 1.0, 3
 
 
-def _file(spark: SparkSession, at: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
 def read(spark: SparkSession, at: str) -> DataFrame:
     """The committed answers, one of each article, a success if it has one."""
-    files, path = _file(spark, at)
+    files, path = on_disk(spark, at)
     done = [x.getPath().toString() for x in files.listStatus(path) if x.isDirectory() and x.getPath().getName().startswith("batch-")] if files.exists(path) else []
     if not done:
         return spark.createDataFrame([], SCHEMA)
@@ -81,9 +77,7 @@ def answer(articles: DataFrame, client, prompt: str, at: str, *, version: str, b
         rows = left.where(F.col("_batch") == b)
         ids = rows.agg(F.md5(F.concat_ws("\n", F.array_sort(F.collect_list("article_id")))).alias("h")).first()["h"]  # of ``batch`` ids
         name = f"batch-{version}-{ids}" + ("-again" if again else "")
-        files, made = _file(spark, f"{at}/_making-{name}")
-        _, final = _file(spark, f"{at}/{name}")
-        asked(rows.repartition(tasks, "article_id"), client, version, prompt, **pacing).write.mode("overwrite").parquet(made.toString())
-        if not files.rename(made, final):  # it is there: another run was faster
-            files.delete(made, True)
+        made = f"{at}/_making-{name}-{uuid.uuid4().hex}"
+        asked(rows.repartition(tasks, "article_id"), client, version, prompt, **pacing).write.parquet(made)
+        moved(spark, made, f"{at}/{name}")  # if it is there, another run was faster
     return read(spark, at)

@@ -33,3 +33,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows as written to the shared folder: lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def on_disk(spark: SparkSession, at: str):
+    """A path's file system and the path, as Spark itself reaches it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Gives a folder its final name in one step; where that name is taken nothing changes, the source goes, and the answer is False."""
+    java = spark._jvm.org.apache.hadoop.fs
+    files, path = on_disk(spark, source)
+    kind = java.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.NONE
+    try:
+        java.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(path, java.Path(target), how)
+    except Exception as e:
+        if "FileAlreadyExists" not in str(e):
+            raise
+        files.delete(path, True)
+        return False
+    return True

@@ -59,3 +59,31 @@ def test_fields_of_configurations(spark):
     assert [(r["precursor_family"], r["mod_duration_bin"], r["mod_method"], r["n"]) for r in rows] == [("urea", "lt2h", "none", 1), ("other", "none", "none", 2)]
     with pytest.raises(ValueError, match="no such configuration"):
         tags.fields("v9")
+
+
+def test_steps_are_made_once(spark, tmp_path):
+    from specflow.plans import catalog
+
+    root, calls = f"file://{tmp_path}/steps", []
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "i int, t string")
+
+    def double(rows):
+        calls.append("double")
+        return rows.selectExpr("2 * i as i", "t")
+
+    run = lambda df, **about: sorted(map(tuple, catalog.step(spark, root, "double", {"rows": df}, double, **about).collect()))
+    assert run(rows) == run(rows.repartition(3)) == [(2, "a"), (4, "b"), (4, "b")] and calls == ["double"]
+    assert run(rows.distinct()) == [(2, "a"), (4, "b")] and run(rows, scale=3) == [(2, "a"), (4, "b"), (4, "b")] and len(calls) == 3
+    assert [(s["step"], s["about"]) for s in catalog.steps(spark, root)] == [("double", {}), ("double", {}), ("double", {"scale": 3})]
+
+    # another session commits the same step while this one is making it
+    def slow(rows):
+        if len(calls) < 10:
+            calls.extend(range(10))
+            catalog.step(spark, root, "slow", {"rows": rows}, slow)
+        return rows.selectExpr("i", "t", "uuid() as u")
+
+    first = catalog.step(spark, root, "slow", {"rows": rows}, slow).collect()
+    assert sorted(first) == sorted(catalog.step(spark, root, "slow", {"rows": rows}, slow).collect()) and len(first) == 3
+    assert len([s for s in catalog.steps(spark, root) if s["step"] == "slow"]) == 1 and not list((tmp_path / "steps" / "slow").glob("_making*"))
+    assert catalog.digest(rows.limit(0)) != catalog.digest(rows.limit(0).drop("t"))
