@@ -67,52 +67,99 @@ class Region:
 R2_GOOD, R2_FAIR, LEAST_SLOPE, LEAST_GAP = 0.997, 0.990, 0.1, 1.8
 
 
-def linear_edge(x: np.ndarray, y: np.ndarray, *, check_gap: bool = True, both_sides_capped: bool = False, fallback: bool = False) -> Region | None:
-    """The straight part of an absorption edge.
-
-    Windows of a quarter of the points, ranked by r2 (the first of equals first), are widened by a point to the right and one
-    to the left in turn while the line stays good, then trimmed at both ends and fitted again; the first that still rises and
-    crosses at ``LEAST_GAP`` or above is taken. both_sides_capped: the size limit also stops the step to the right within a
-    turn. fallback: with none, the best window comes back, labelled invalid.
-    """
-    n = len(x)
+def quarter_windows(lines: Lines) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """Rising windows of a quarter of the points: where they start, best r2 first (the first of equals first), their size, slopes and
+    crossings."""
+    n = len(lines.x)
     size = max(5, int(0.25 * n))
     if n < size:
-        return None
-    lines, cap = Lines(x, y), int(0.4 * n)
+        return np.array([], int), size, np.array([]), np.array([])
     starts = np.arange(n - size + 1)
     r2, slope, intercept, _ = lines.fit(starts, starts + size)
+    rising = slope > LEAST_SLOPE
+    order = starts[rising][np.argsort(-r2[rising], kind="stable")]
     with np.errstate(divide="ignore", invalid="ignore"):
-        usable = (slope > LEAST_SLOPE) & ((-intercept / slope >= LEAST_GAP) | (not check_gap))
-    ranked = starts[usable][np.argsort(-r2[usable], kind="stable")]
+        return order, size, slope[order], -intercept[order] / slope[order]
+
+
+def widened(lines: Lines, i: int, j: int, gap: float | None, both_sides_capped: bool) -> tuple[int, int]:
+    """A run of points, longer by a point to the right and one to the left in turn while its line is good and crosses at ``gap`` or above,
+    up to four tenths of the points. both_sides_capped: the limit also stops the step to the left within a turn."""
+    n = len(lines.x)
+    cap = int(0.4 * n)
 
     def good(i: int, j: int) -> bool:
         r2, slope, intercept, _ = map(float, lines.fit(i, j))
-        return r2 >= R2_GOOD and slope > LEAST_SLOPE and (not check_gap or -intercept / slope >= LEAST_GAP)
-
-    for start in ranked.tolist():
-        i, j = start, start + size
-        moved = True
-        while moved and j - i < cap:
-            moved = False
-            if j < n and good(i, j + 1):
-                j, moved = j + 1, True
-            if i > 0 and not (both_sides_capped and j - i >= cap) and good(i - 1, j):
-                i, moved = i - 1, True
-        trim = min(max(2, int(0.05 * (j - i))), max(0, (j - i - 5) // 2))
-        a, b = i + trim, j - trim
-        r, s, c, _ = map(float, lines.fit(a, b))
-        if s > 0 and -c / s >= LEAST_GAP:
-            share = (b - a) / n
-            label = "high" if r >= R2_GOOD and share >= 0.10 else "medium" if r >= R2_FAIR and share >= 0.05 else "low"
-            return Region(a, b, r, s, c, label)
-    if fallback and len(ranked):
-        a, b = int(ranked[0]), int(ranked[0]) + size
-        r, s, c, _ = map(float, lines.fit(a, b))
-        return Region(a, b, r, s, c, "invalid")
+        return r2 >= R2_GOOD and slope > LEAST_SLOPE and (gap is None or -intercept / slope >= gap)
+
+    moved = True
+    while moved and j - i < cap:
+        moved = False
+        if j < n and good(i, j + 1):
+            j, moved = j + 1, True
+        if i > 0 and not (both_sides_capped and j - i >= cap) and good(i - 1, j):
+            i, moved = i - 1, True
+    return i, j
+
+
+def trimmed(i: int, j: int) -> tuple[int, int]:
+    """Without a twentieth of its points at each end, two at least, if five are left."""
+    trim = min(max(2, int(0.05 * (j - i))), max(0, (j - i - 5) // 2))
+    return i + trim, j - trim
+
+
+def refined(lines: Lines, i: int, j: int, rise: float = 0.005, keep: float = 0.55) -> tuple[int, int]:
+    """A run without the points at its low end, then at its high end, of which each that goes lets the slope rise by more than ``rise``;
+    ``keep`` of seven points or more stay, and five."""
+    size = j - i
+    least = max(5, int(keep * size))
+    if size < 7 or float(lines.fit(i, j)[1]) <= 0:
+        return i, j
+    for low in (True, False):
+        gone = np.arange(max(0, (j - i) - least) + 1)
+        slope = lines.fit(i + gone, j)[1] if low else lines.fit(i, j - gone)[1]
+        steps = (slope[1:] > 0) & (slope[1:] - slope[:-1] > rise * slope[:-1])
+        k = int(np.argmin(np.append(steps, False)))
+        i, j = (i + k, j) if low else (i, j - k)
+    return i, j
+
+
+def labelled_edge(lines: Lines, i: int, j: int) -> Region | None:
+    """The line of a run, if it rises and crosses at ``LEAST_GAP`` or above."""
+    r, s, c, _ = map(float, lines.fit(i, j))
+    if not (s > 0 and -c / s >= LEAST_GAP):
+        return None
+    share = (j - i) / len(lines.x)
+    return Region(i, j, r, s, c, "high" if r >= R2_GOOD and share >= 0.10 else "medium" if r >= R2_FAIR and share >= 0.05 else "low")
+
+
+def linear_edge(x: np.ndarray, y: np.ndarray, *, refine: bool = False) -> Region | None:
+    """The straight part of an absorption edge: of windows that cross at ``LEAST_GAP`` or above, best r2 first, the first that does so
+    still when it is widened, trimmed, and with ``refine`` rid of ends that bend."""
+    lines = Lines(x, y)
+    starts, size, _, crossing = quarter_windows(lines)
+    for start in starts[crossing >= LEAST_GAP].tolist():
+        i, j = trimmed(*widened(lines, start, start + size, LEAST_GAP, False))
+        if found := labelled_edge(lines, *(refined(lines, i, j) if refine else (i, j))):
+            return found
     return None
 
 
+def legacy_edge(x: np.ndarray, y: np.ndarray) -> Region | None:
+    """The older search: all rising windows are tried, and where none crosses high enough the best of them comes back, widened as far as
+    its line crosses at 0 or above, trimmed, and labelled invalid. None if nothing rises."""
+    lines = Lines(x, y)
+    starts, size, _, _ = quarter_windows(lines)
+    for start in starts.tolist():
+        if found := labelled_edge(lines, *trimmed(*widened(lines, start, start + size, LEAST_GAP, True))):
+            return found
+    if not len(starts):
+        return None
+    i, j = trimmed(*widened(lines, int(starts[0]), int(starts[0]) + size, 0.0, True))
+    r, s, c, _ = map(float, lines.fit(i, j))
+    return Region(i, j, r, s, c, "invalid")
+
+
 def baseline_level(energy: np.ndarray, absorbance: np.ndarray, low: float) -> float:
     """Median absorbance well below ``low``, else of the lowest tenth of the values."""
     far = absorbance[energy < low - 0.2]

@@ -63,6 +63,23 @@ def features(points: DataFrame, **options) -> DataFrame:
     return wanted.groupBy("sample_id").applyInPandas(one, FEATURES)
 
 
+def legacy_gaps(points: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """group, gap, r2, slope, intercept, i, j (places, from 0, both of the line), x_i, x_j, confidence of each curve by the older search; a
+    curve on which nothing rises has nulls and says so."""
+    names = "gap double, r2 double, slope double, intercept double, i int, j int, x_i double, x_j double, confidence string"
+
+    def one(curve: pd.DataFrame) -> pd.DataFrame:
+        curve = curve.sort_values([x, y], kind="stable")
+        e = curve[x].to_numpy(float)
+        found = fit.legacy_edge(e, curve[y].to_numpy(float))
+        row = dict.fromkeys(n.split()[0] for n in names.split(", ")) | {"confidence": "none"}
+        if found is not None:
+            row = {"gap": found.crossing if found.slope > 0 else 0.0, "r2": found.r2, "slope": found.slope, "intercept": found.intercept, "i": found.start, "j": found.stop - 1, "x_i": e[found.start], "x_j": e[found.stop - 1], "confidence": found.confidence}
+        return pd.DataFrame([{group: curve[group].iloc[0], **row}])
+
+    return points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, x, y).groupBy(group).applyInPandas(one, f"`{group}` {dict(points.dtypes)[group]}, {names}")
+
+
 def deltas(points: DataFrame, known: DataFrame, exponent: float = 0.5) -> DataFrame:
     """folder, delta, baseline_known_Eg: one offset for each folder, from its calibrator's points (folder, energy, absorbance)."""
 

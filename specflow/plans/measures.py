@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import answers, curves, neighbours, statistics, tags
@@ -100,3 +101,11 @@ def tails_of_runs(spark, sf_dir):
     runs = curves.run_fits(points(spark, sf_dir), "user_id", "pos", "value", narrow=5.0, wide=9.0)
     found = curves.tail_of_runs(runs, "user_id", least_r2=0.6, widest=8000.0, near=0.05)
     return found.select("user_id", F.round("width", 4).alias("width"), F.round("r2", 6).alias("r2"), F.round("slope", 6).alias("slope"), "runs")
+
+
+@query()
+def legacy_gaps(spark, sf_dir):
+    """A user's events, summed up in their order, are the curve."""
+    by = Window.partitionBy("user_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    p = points(spark, sf_dir).select("user_id", (1.5 + 0.05 * F.col("pos")).alias("energy"), F.sum("value").over(by).alias("tauc"))
+    return curves.legacy_gaps(p, "user_id", "energy", "tauc").withColumns({c: F.round(c, 6) for c in ("gap", "r2", "slope", "intercept", "x_i", "x_j")})

@@ -117,3 +117,56 @@ def test_permutations_in_chunks(spark):
     plain = np.mean([f(rng.permutation(w)) >= f(w) for _ in range(3000)])
     assert 0.01 < plain < 0.9 and all(abs(p - plain) < 0.05 for p in many)
     assert statistics.permutation_f(df.where("g = 'a'"), "g", "v", 10) == 1.0
+
+
+def plain_line(x, y):
+    slope, intercept = np.polyfit(x, y, 1)
+    return np.corrcoef(x, y)[0, 1] ** 2, slope, intercept
+
+
+def plain_legacy(x, y):
+    """The older search, point by point: start and end (inclusive) and whether it crosses high enough."""
+    n, size = len(x), max(5, int(0.25 * len(x)))
+    line = lambda i, j: plain_line(x[i : j + 1], y[i : j + 1])
+    windows = sorted((-line(i, i + size - 1)[0], i) for i in range(n - size + 1) if line(i, i + size - 1)[1] > 0.1)
+
+    def search(i, gap):
+        j, cap, go = i + size - 1, int(0.4 * n), True
+        fine = lambda i, j: (r := line(i, j))[0] >= 0.997 and r[1] > 0.1 and -r[2] / r[1] >= gap
+        while go and j - i + 1 < cap:
+            go = False
+            if j < n - 1 and fine(i, j + 1):
+                j, go = j + 1, True
+            if i > 0 and j - i + 1 < cap and fine(i - 1, j):
+                i, go = i - 1, True
+        cut = max(0, min(max(2, int(0.05 * (j - i + 1))), (j - i + 1 - 5) // 2))
+        return i + cut, j - cut
+
+    for _, start in windows:
+        i, j = search(start, 1.8)
+        r = line(i, j)
+        if r[1] > 0 and -r[2] / r[1] >= 1.8:
+            return i, j, True
+    return (*search(windows[0][1], 0.0), False) if windows else None
+
+
+def test_older_search_and_refined_ends():
+    rng = np.random.default_rng(11)
+    kinds = set()
+    for shift in (2.4, 2.0, 1.2, 0.6, -1.0):
+        for noise in (0.0005, 0.01):
+            x = np.sort(rng.uniform(1.2, 3.6, 90))
+            y = np.maximum(0, 3 * (x - shift)) + 0.3 * np.minimum(0, 3.1 - x) * 3 + rng.normal(0, noise, len(x))
+            found, want = fit.legacy_edge(x, y), plain_legacy(x, y)
+            assert (found.start, found.stop - 1, found.confidence != "invalid") == want
+            kinds.add(found.confidence)
+    assert {"invalid", "high"} <= kinds and fit.legacy_edge(x, -x) is None and fit.legacy_edge(x[:3], x[:3]) is None
+    x = np.linspace(2, 3, 41)
+    y = np.where(x < 2.2, 0.4 * (x - 2.2), np.where(x > 2.9, 0.7 + 0.2 * (x - 2.9), x - 2.2))
+    i, j = fit.refined(fit.Lines(x, y), 0, 41)
+    a, b, slope = 0, 40, plain_line(x, y)[1]
+    while b - a + 1 > 22 and (s := plain_line(x[a + 1 : b + 1], y[a + 1 : b + 1])[1]) > 1.005 * slope:
+        a, slope = a + 1, s
+    while b - a + 1 > 22 and (s := plain_line(x[a:b], y[a:b])[1]) > 1.005 * slope:
+        b, slope = b - 1, s
+    assert (i, j - 1) == (a, b) and a > 0 and fit.refined(fit.Lines(x, y), 3, 9) == (3, 9)
