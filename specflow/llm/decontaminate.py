@@ -9,7 +9,8 @@ planner: it broadcasts them only if their written size is small.
 
 Null or wordless texts have no windows: 0 words, no hits. Repeated rows are reported like any other; items that are
 equal count as one if they share an id. Columns of any name pass: they are carried in one struct. Window lengths are 1 to
-``size``, so the work for one text is in proportion to it.
+``size``, so the work for one text is in proportion to it. A text's words are looked at in runs of ``RUN``, so of a very long text only its
+words, not the hashes of its windows, are in memory at once.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import doubled, scratch, window_hash
 
 #: Most hashes of windows that are broadcast; some 16 bytes each.
 SET_ROWS = 2_000_000
+#: Words of a text whose windows are looked at together: arrays of hashes are as long at most, however long the text.
+RUN = 1 << 16
 #: Fixed value: what separates words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -51,7 +54,7 @@ def item_windows(benchmark: DataFrame, size: int, item: str, text: str) -> DataF
     return benchmark.sparkSession.read.parquet(made)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, set_rows: int = SET_ROWS) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, set_rows: int = SET_ROWS, run: int = RUN) -> DataFrame:
     """row, key, text_hash, n_words, and i, len, item_id of each verified occurrence of a window; one row with nulls in these
     last three for every document besides."""
     windows = item_windows(benchmark, size, item, item_text)
@@ -60,39 +63,45 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
     small = known.count() <= set_rows
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"), words_of(F.col(text)).alias("words"))
     find = _in_set if known.count() <= set_rows else _by_shuffle
-    rows = find(base, known, lengths)
+    rows = find(base, known, lengths, run)
     theirs = windows.select(F.col("h").alias("bh"), F.col("w").alias("bw"), "item_id")
     joined = rows.join(theirs, (F.col("h") == F.col("bh")) & (F.col("w") == F.col("bw")), "left")
     sure = F.col("bh").isNotNull()
     return joined.select("row", "key", "text_hash", "n_words", F.when(sure, F.col("i")).alias("i"), F.when(sure, F.col("len")).alias("len"), "item_id")
 
 
-def _windows(base: DataFrame, lengths: list[int], more: list, *carried: str) -> DataFrame:
-    """The carried columns and k, at, h: the place in ``lengths`` (from 1), the place in the text (from 0) and the hash of each
-    window. more: arrays of hashes that come before them, at k 0 and down."""
-    arrays = F.array(*more, *(window_hash("hashes", n) for n in lengths))
-    made = hashed(base, max(lengths, default=1)).select(*carried, F.posexplode(arrays).alias("k", "of"))
-    return made.select(*carried, (F.col("k") + (1 - len(more))).alias("k"), F.posexplode("of").alias("at", "h"))
+def _windows(base: DataFrame, lengths: list[int], run: int, own: bool, *carried: str) -> DataFrame:
+    """The carried columns, n_words, and k, at, h, w: the place in ``lengths`` (from 1), the place in the text (from 0), the hash and the
+    run's words of each window; ``from`` is the run's first place. own: also a row for each text, at k 0, with a hash that spreads."""
+    longest = max(lengths, default=1)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(run))
+    runs = F.transform(starts, lambda s: F.struct(s.alias("from"), F.slice("words", s + 1, run + longest - 1).alias("words")))
+    parts = base.select(*carried, F.size("words").cast("bigint").alias("n_words"), F.explode(runs).alias("part")).select(*carried, "n_words", "part.from", "part.words")
+    first = F.when(F.col("from") == 0, F.array(F.xxhash64(F.lit("row"), F.col("row")))).otherwise(F.array().cast("array<bigint>"))
+    # a window that begins after the run is one of the next run, too
+    arrays = F.array(*[first] * own, *(F.slice(window_hash("hashes", n), 1, run) for n in lengths))
+    made = hashed(parts, longest).select(*carried, "n_words", "from", "words", F.posexplode(arrays).alias("k", "of"))
+    keep = ["words"] if own else []
+    return made.select(*carried, "n_words", "from", *keep, (F.col("k") + (0 if own else 1)).alias("k"), F.posexplode("of").alias("at", "h"))
 
 
 def _length(lengths: list[int], k: Column) -> Column:
     return F.element_at(F.array(F.lit(0), *map(F.lit, lengths)), k + 1)
 
 
-def _in_set(base: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+def _in_set(base: DataFrame, known: DataFrame, lengths: list[int], run: int) -> DataFrame:
     """Windows found where they are made, in a broadcast set of hashes: row, key, text_hash, n_words, i, len, h, w; one row more for
-    each document itself, with a hash of its own that spreads and a len of 0."""
-    own = F.array(F.xxhash64(F.lit("row"), F.col("row")))
-    made = _windows(base, lengths, [own], "row", "key", "text_hash", "words")
+    each document itself, with a len of 0."""
+    made = _windows(base, lengths, run, True, "row", "key", "text_hash")
     found = made.join(F.broadcast(known), F.col("h") == F.col("known"), "left").where("k = 0 or known is not null")
     len_ = _length(lengths, F.col("k"))
-    return found.select("row", "key", "text_hash", F.size("words").cast("bigint").alias("n_words"), (F.col("at") + 1).alias("i"), len_.alias("len"), "h", F.slice("words", F.col("at") + 1, len_).alias("w"))
+    return found.select("row", "key", "text_hash", "n_words", (F.col("from") + F.col("at") + 1).alias("i"), len_.alias("len"), "h", F.slice("words", F.col("at") + 1, len_).alias("w"))
 
 
-def _by_shuffle(base: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+def _by_shuffle(base: DataFrame, known: DataFrame, lengths: list[int], run: int) -> DataFrame:
     """The same rows with hashes too many for a set: windows are shuffled as (key, text_hash, k, at, h); the places found come back to
     their texts, which go through one shuffle, once each, and only there are cut into words again."""
-    slim = _windows(base.drop("text"), lengths, [], "key", "text_hash")
+    slim = _windows(base.drop("text"), lengths, run, False, "key", "text_hash").select("key", "text_hash", "k", (F.col("from") + F.col("at")).alias("at"), "h")
     found = slim.join(known.hint("shuffle_merge"), F.col("h") == F.col("known"), "left_semi").groupBy("key", "text_hash").agg(F.collect_set(F.struct("k", "at", "h")).alias("found"))
     found = found.select(F.col("key").alias("found_key"), F.col("text_hash").alias("found_hash"), "found")
     slices = F.transform("found", lambda c: F.struct((c["at"] + 1).alias("i"), _length(lengths, c["k"]).alias("len"), c["h"].alias("h"), F.slice("words", c["at"] + 1, _length(lengths, c["k"])).alias("w")))
