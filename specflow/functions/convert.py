@@ -18,6 +18,21 @@ def absorbance_of(energy: Column, tauc: Column, exponent: float) -> Column:
     return F.pow(F.greatest(tauc, F.lit(1e-10)), F.lit(1 / exponent)) / energy
 
 
+def log_absorption(energy: Column, absorbance: Column) -> Column:
+    """ln of the absorbance, which is in proportion to the coefficient; null where either is not positive."""
+    return F.when((energy > 0) & (absorbance > 0), F.ln(absorbance))
+
+
+def log_absorption_of_tauc(energy: Column, tauc: Column, exponent: float) -> Column:
+    """The same from (coefficient x energy) ^ exponent."""
+    return F.when((energy > 0) & (tauc > 0), F.ln(tauc) / exponent - F.ln(energy))
+
+
+def magnitude(a: Column, b: Column) -> Column:
+    """Length of a shift in two features."""
+    return F.hypot(a, b)
+
+
 def baseline_removed(absorbance: Column, delta: Column) -> Column:
     return F.when(delta > 0, F.greatest(absorbance - delta, F.lit(1e-12))).otherwise(absorbance)
 

@@ -121,3 +121,9 @@ def first_of(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first row of each group by a total order, as an aggregate that combines before it shuffles."""
     kept = df.groupBy(*by).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_r"))
     return kept.select("_r.*")
+
+
+def pivot_first(df: DataFrame, keys: list[str], column: str, value: str, order: list[str], levels: list[str]) -> DataFrame:
+    """A row for each of the keys, a column for each listed level: the value of the first row of that level in ``order``, nulls last."""
+    known = df.where(F.col(value).isNotNull())
+    return known.groupBy(*keys).pivot(column, levels).agg(F.min_by(value, F.struct(*order)))

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import answers, curves, neighbours, statistics, tags
+from ..functions import convert
+from ..operators import answers, curves, neighbours, reports, statistics, summaries, tags, titles
 from ..session import shared_dir
 from .queries import POINTS, points, query, table
 
@@ -109,3 +110,66 @@ def legacy_gaps(spark, sf_dir):
     by = Window.partitionBy("user_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     p = points(spark, sf_dir).select("user_id", (1.5 + 0.05 * F.col("pos")).alias("energy"), F.sum("value").over(by).alias("tauc"))
     return curves.legacy_gaps(p, "user_id", "energy", "tauc").withColumns({c: F.round(c, 6) for c in ("gap", "r2", "slope", "intercept", "x_i", "x_j")})
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity > 0 AND l_tax > 0 THEN ln(l_tax) END, 9) AS of_absorbance, round(CASE WHEN l_quantity > 0 AND l_discount > 0 THEN ln(l_discount) / 0.5 - ln(l_quantity) END, 9) AS of_tauc,
+ round(sqrt(l_discount * l_discount + l_tax * l_tax), 9) AS magnitude FROM lineitem"""
+)
+def log_absorption(spark, sf_dir):
+    e, a, t = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
+    made = {"of_absorbance": convert.log_absorption(e, a), "of_tauc": convert.log_absorption_of_tauc(e, t, 0.5), "magnitude": convert.magnitude(t, a)}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(c, 9).alias(n) for n, c in made.items()))
+
+
+@query(
+    """WITH v AS (SELECT l_linenumber - 2 AS g, unnest(['l_quantity', 'l_discount']) AS feature, unnest([l_quantity, l_discount]) AS x FROM lineitem)
+SELECT CAST(g AS VARCHAR) AS cluster, feature, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, min(x) AS min, max(x) AS max, median(x) AS median, NULL::DOUBLE AS share FROM v GROUP BY ALL
+UNION ALL SELECT NULL, unnest(['n_samples', 'n_clusters', 'n_noise']), unnest([count(*), count(DISTINCT g) FILTER (g <> -1), count(*) FILTER (g = -1)]), NULL, NULL, NULL, NULL, NULL, unnest([NULL, NULL, round(count(*) FILTER (g = -1) / count(*), 9)]) FROM (SELECT l_linenumber - 2 AS g FROM lineitem)"""
+)
+def clustering_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("g", F.col("l_linenumber") - 2)
+    found = reports.clustering_report(rows, "g", ["l_quantity", "l_discount"])
+    return found.withColumns({c: F.round(c, n) for c, n in (("mean", 6), ("std", 6), ("share", 9))})
+
+
+@query(
+    """SELECT event_type, user_id % 3 AS part, count(*) AS n, round(median(v), 9) AS median_cv, round(avg(v), 9) AS mean_cv, round(quantile_cont(v, 0.9), 9) AS p90_cv, round(100 * avg((v < 0.05)::INT), 6) AS pct_below_5, round(100 * avg((v < 0.1)::INT), 6) AS pct_below_10
+ FROM (SELECT *, value / 100 AS v FROM events WHERE value IS NOT NULL) GROUP BY ALL"""
+)
+def precision_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).alias("part"), (F.col("value") / 100).alias("v"))
+    found = reports.precision_report(rows, ["event_type", "part"], "v")
+    return found.withColumns({c: F.round(c, n) for c, n in (("median_cv", 9), ("mean_cv", 9), ("p90_cv", 9), ("pct_below_5", 6), ("pct_below_10", 6))})
+
+
+WORDS = "CASE WHEN trim(regexp_replace({0}, '[ \\n\\t]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace({0}, '[ \\n\\t]+', ' ', 'g')), ' ')) END"
+PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '&#x[0-9a-f]+;|&[a-z]+;', '', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"""SELECT count(*) AS n_articles, CAST(sum(a) AS BIGINT) AS total_words_raw, CAST(sum(b) AS BIGINT) AS total_words_trimmed, count(*) FILTER (c IN ('none', 'low')) AS manual_entry, CAST(sum(a) - sum(b) AS BIGINT) AS words_saved_by_trimming
+ FROM (SELECT coalesce({WORDS.format('text')}, 0) AS a, coalesce({WORDS.format('p')}, 0) AS b, CASE WHEN coalesce(length(text), 0) < 300 THEN 'low' ELSE 'high' END AS c FROM (SELECT text, {PLAIN} AS p FROM documents))"""
+)
+def extraction_report(spark, sf_dir):
+    t = F.col("text")
+    confidence = F.when(F.coalesce(F.length(t), F.lit(0)) < 300, "low").otherwise("high")
+    return reports.extraction_report(table(spark, sf_dir, "documents"), t, titles.normalise(t), confidence)
+
+
+@query(
+    """WITH v AS (SELECT unnest(['o_totalprice', 'o_orderkey']) AS name, unnest([o_totalprice, o_orderkey::DOUBLE]) AS x FROM orders)
+SELECT 'descriptive' AS section, name, unnest(['n', 'mean', 'std_pop', 'median', 'q1', 'q3', 'min', 'max']) AS stat, unnest([count(*), round(avg(x), 4), round(stddev_pop(x), 4), median(x), quantile_cont(x, 0.25), quantile_cont(x, 0.75), min(x), max(x)]) AS value FROM v GROUP BY name
+UNION ALL SELECT 'correlation', 'o_totalprice|o_orderkey', 'pearson', round(corr(o_totalprice, o_orderkey), 4) FROM orders
+UNION ALL SELECT 'confidence', 'priority', o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority"""
+)
+def statistics_report(spark, sf_dir):
+    found = reports.statistics_report(table(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"], {"priority": F.col("o_orderpriority")})
+    return found.where("stat not in ('skewness', 'kurtosis')").withColumn("value", F.round("value", 4))
+
+
+@query(
+    "SELECT user_id, " + ", ".join(f"arg_min(value, event_id) FILTER (event_type = '{t}') AS {t}" for t in ("click", "purchase", "view")) + " FROM events WHERE value IS NOT NULL GROUP BY user_id"
+)
+def pivot_first(spark, sf_dir):
+    return summaries.pivot_first(table(spark, sf_dir, "events"), ["user_id"], "event_type", "value", ["event_id"], ["click", "purchase", "view"])
