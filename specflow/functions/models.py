@@ -108,32 +108,56 @@ def mixture_by_bic(x: np.ndarray, most: int, starts: int = 10, seed: int = 42, l
     return min(made, key=lambda m: m.bic(len(x)))
 
 
-def ward(x: np.ndarray) -> np.ndarray:
-    """Linkage (a, b, height, size) by chains of nearest neighbours, in ascending height."""
-    x = checked(x)
+def chained(x: np.ndarray, w: np.ndarray, bound=None) -> list[tuple[int, int, float, int]]:
+    """Ward's merges (a, b, squared height, number of the new cluster) of weighted points, by chains of nearest neighbours. With a bound, which
+    gives for centres and weights what the squared height to anything else is at least, only merges that are below it on both sides."""
     n = len(x)
-    centre, size, ids = list(x), [1] * n, list(range(n))
-    alive, merges, chain = set(range(n)), [], []
-    while len(alive) > 1:
+    centre, size, number = np.array(x, float), np.array(w, float), np.arange(n)
+    alive, stuck = np.ones(n, bool), np.zeros(n, bool)
+    limit = np.full(n, np.inf) if bound is None else bound(centre, size)
+    merges, chain, left, new = [], [], n, n
+    while left > 1:
         if not chain:
-            chain = [min(alive)]
+            free = np.nonzero(alive & ~stuck)[0]
+            if not len(free):
+                break
+            chain = [int(free[0])]
         i = chain[-1]
-        rest = [j for j in sorted(alive) if j != i]
-        gap = np.array([2 * size[i] * size[j] / (size[i] + size[j]) for j in rest]) * ((np.array([centre[j] for j in rest]) - centre[i]) ** 2).sum(1)
-        best = int(gap.argmin())
-        j = rest[best]
-        if len(chain) > 1 and gap[rest.index(chain[-2])] <= gap[best]:
+        gap = 2 * size[i] * size / (size[i] + size) * ((centre - centre[i]) ** 2).sum(1)
+        gap[~alive] = np.inf
+        gap[i] = np.inf
+        j = int(gap.argmin())
+        if gap[j] > limit[i] or stuck[j]:
+            stuck[chain], chain = True, []
+            continue
+        if len(chain) > 1 and gap[chain[-2]] <= gap[j]:
             j = chain[-2]
             chain = chain[:-2]
-            merges.append((i, j, math.sqrt(float(gap[rest.index(j)]))))
+            merges.append((int(number[i]), int(number[j]), float(gap[j]), new))
             total = size[i] + size[j]
-            centre.append((size[i] * centre[i] + size[j] * centre[j]) / total)
-            size.append(total)
-            alive -= {i, j}
-            alive.add(len(centre) - 1)
-            ids.append(len(centre) - 1)
+            c = (size[i] * centre[i] + size[j] * centre[j]) / total
+            alive[[i, j]] = False
+            keep = np.nonzero(alive)[0] if 2 * (left - 1) < len(alive) else slice(None)
+            if not isinstance(keep, slice):  # what is gone takes no time from here
+                at = np.cumsum(alive) - 1
+                chain = [int(at[v]) for v in chain]
+            row = (centre, c[None]), (size, [total]), (number, [new]), (alive, [True]), (stuck, [False]), (limit, [np.inf] if bound is None else bound(c[None], np.array([total])))
+            centre, size, number, alive, stuck, limit = (np.concatenate([old[keep], one]) for old, one in row)
+            left, new = left - 1, new + 1
         else:
             chain.append(j)
+    return merges
+
+
+def ward(x: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
+    """Linkage (a, b, height, weight) by chains of nearest neighbours, in ascending height; w: how many rows a point stands for."""
+    x = checked(x)
+    n = len(x)
+    size = np.ones(n) if w is None else np.asarray(w, float)
+    merges = [(a, b, math.sqrt(h)) for a, b, h, _ in chained(x, size)]
+    size = size.tolist()
+    for a, b, _ in merges:
+        size.append(size[a] + size[b])
     order = sorted(range(len(merges)), key=lambda m: (merges[m][2], m))
     new = {n + m: n + rank for rank, m in enumerate(order)}
     return np.array([(*sorted(new.get(v, v) for v in merges[m][:2]), merges[m][2], size[n + m]) for m in order])

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fit, models
+from ..session import checkpointed
 
 #: Features of macro clusters, of sub-clusters, and the one that orders macro clusters.
 MACRO, SUB, ORDER = ["E_g_eV", "A_sub"], ["E_u_meV", "A_sub"], "A_sub"
+#: Rows whose nested clusters one task finds, with their distances in memory.
+ONE_TASK = 4000
 
 
 def prepared(features: DataFrame, columns: list[str], coverage: float = 0.5) -> DataFrame:
@@ -99,8 +102,15 @@ def sub_labels(x: np.ndarray, order: np.ndarray, method: str = "hierarchical", l
 
 
 def nested(features: DataFrame, key: str = "sample_id", k: int | None = None, method: str = "hierarchical", seed: int = 42) -> DataFrame:
-    """Adds macro_cluster, macro_cluster_prob, sub_cluster, full_label (A.1 and so on)."""
+    """Adds macro_cluster, macro_cluster_prob, sub_cluster, full_label (A.1 and so on). More rows than ``ONE_TASK`` are spread over tasks, by
+    the hierarchy only; other methods see all rows at once, and more than ``models.LARGEST`` raise."""
     ready = prepared(features, sorted({*MACRO, *SUB}))
+    if method == "hierarchical":
+        from .hierarchy import nested as spread
+
+        ready = checkpointed(ready)
+        if ready.count() > ONE_TASK:
+            return spread(ready, MACRO, SUB, ORDER, k, seed)
     schema = T.StructType([*ready.schema.fields, T.StructField("macro_cluster", T.IntegerType()), T.StructField("macro_cluster_prob", T.DoubleType()), T.StructField("sub_cluster", T.IntegerType()), T.StructField("full_label", T.StringType())])
 
     def run(t: pd.DataFrame) -> pd.DataFrame:

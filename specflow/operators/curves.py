@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,17 +51,26 @@ def analyse(energy: np.ndarray, absorbance: np.ndarray, *, delta: float = 0.0, f
 def features(points: DataFrame, **options) -> DataFrame:
     """points: sample_id, energy, absorbance, and optionally delta and from_tauc, constant within a curve."""
     wanted = points.select("sample_id", "energy", "absorbance", (F.col("delta") if "delta" in points.columns else F.lit(0.0)).alias("delta"), (F.col("from_tauc") if "from_tauc" in points.columns else F.lit(False)).alias("from_tauc"))
-    names = [c.split()[0] for c in FEATURES.split(", ")]
+    kinds = dict(c.split() for c in FEATURES.split(", "))
+    arrow = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
 
-    def one(curve: pd.DataFrame) -> pd.DataFrame:
-        curve = curve.sort_values(["energy", "absorbance"], kind="stable")
+    def one(points: pa.StructArray, delta: float | None, from_tauc: bool | None) -> dict:
+        energy, absorbance = (points.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("energy", "absorbance"))
+        order = np.lexsort((absorbance, energy))
         try:
-            row = analyse(curve["energy"].to_numpy(), curve["absorbance"].to_numpy(), delta=float(curve["delta"].iloc[0] or 0), from_tauc=bool(curve["from_tauc"].iloc[0]), **options)
+            return analyse(energy[order], absorbance[order], delta=float("nan") if delta is None else delta, from_tauc=bool(from_tauc), **options)
         except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
-            row = {"status": "failed", "error": str(e)}
-        return pd.DataFrame([{**dict.fromkeys(names), **row, "sample_id": curve["sample_id"].iloc[0]}])[names]
+            return {"status": "failed", "error": str(e)}
+
+    def run(stream):
+        for batch in stream:
+            ids, held, delta, from_tauc = batch.columns
+            rows = [one(held.slice(i, 1).flatten(), delta[i].as_py(), from_tauc[i].as_py()) | {"sample_id": ids[i].as_py()} for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], arrow[t], from_pandas=True) for n, t in kinds.items()], names=list(kinds))
 
-    return wanted.groupBy("sample_id").applyInPandas(one, FEATURES)
+    # many curves go to Python at once: a call, a frame and a batch for each cost several times what its analysis does
+    held = wanted.groupBy("sample_id").agg(F.collect_list(F.struct("energy", "absorbance")).alias("points"), F.first("delta").cast("double").alias("delta"), F.first("from_tauc").alias("from_tauc"))
+    return held.mapInArrow(run, FEATURES)
 
 
 def legacy_gaps(points: DataFrame, group: str, x: str, y: str) -> DataFrame:
