@@ -9,10 +9,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fit
+from ..session import checkpointed
 from .order import group_quantiles
 
 FEATURES = (
@@ -170,30 +172,58 @@ def smoothed(points: DataFrame, group: str, order: list[str], y: str, name: str,
     return ranked.withColumn(name, value).drop("_at", "_left", "_right", "_enough", *(f"_y{k}" for k in range(1 - window, window)))
 
 
+#: Runs of points that go back to Spark at once, about.
+RUNS = 1 << 18
+
+
 def run_fits(points: DataFrame, group: str, x: str, y: str, *, narrow: float, wide: float, least: int = 5) -> DataFrame:
     """group, i, j, x_i, x_j, n, slope, intercept, r2, error of the straight line through every run of points (places i to j of a curve, by
-    x, then y) that spans ``narrow`` to ``wide`` of x and ``least`` steps or more. Runs are pairs of points in a band: x is cut into cells
-    as wide as the band, and a point meets those of its own cell and the next. Sums of prefixes, centred, are columns, so a line costs no
-    look at the points between; a curve need not fit a task. x and y are not null."""
-    by = Window.partitionBy(group).orderBy(x, y)
-    centre = points.groupBy(F.col(group).alias("_g")).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    p = points.join(centre, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_u", F.col(x) - F.col("_mx")).withColumn("_v", F.col(y) - F.col("_my"))
-    products = {"u": F.col("_u"), "v": F.col("_v"), "uu": F.col("_u") * F.col("_u"), "uv": F.col("_u") * F.col("_v"), "vv": F.col("_v") * F.col("_v")}
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    p = p.select(F.col(group).alias("g"), F.col(x).alias("x"), "_mx", "_my", F.row_number().over(by).alias("at"), *(F.sum(c).over(upto).alias(n) for n, c in products.items()), *(c.alias("own_" + n) for n, c in products.items()))
-    p = p.withColumn("cell", F.floor(F.col("x") / wide).cast("bigint"))
-    a = p.select("g", F.col("x").alias("x_i"), F.col("at").alias("i"), *((F.col(n) - F.col("own_" + n)).alias("before_" + n) for n in products), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    b = p.select(F.col("g").alias("h"), F.col("x").alias("x_j"), F.col("at").alias("j"), *products, "_mx", "_my", F.col("cell").alias("cell_j"))
-    span = F.col("x_j") - F.col("x_i")
-    runs = a.join(b, F.col("g").eqNullSafe(F.col("h")) & (F.col("cell") == F.col("cell_j"))).where((F.col("j") - F.col("i") >= least) & (span >= narrow) & (span <= wide))
-    n = (F.col("j") - F.col("i") + 1).cast("double")
-    u, v, uu, uv, vv = (F.col(c) - F.col("before_" + c) for c in products)
-    runs = runs.select("g", "i", "j", "x_i", "x_j", "_mx", "_my", n.alias("n"), (u / n).alias("mu"), (v / n).alias("mv"), (uu - u * u / n).alias("sxx"), (uv - u * v / n).alias("sxy"), (vv - v * v / n).alias("syy"))
-    good = (F.col("n") >= 3) & (F.col("sxx") > 1e-18)
-    runs = runs.withColumn("slope", F.when(good, F.col("sxy") / F.col("sxx")).otherwise(0.0)).withColumn("r2", F.when(good & (F.col("syy") > 1e-18), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("sxy") * F.col("sxy") / (F.col("sxx") * F.col("syy"))))).otherwise(0.0))
-    intercept = F.when(good, F.col("mv") + F.col("_my") - F.col("slope") * (F.col("mu") + F.col("_mx"))).otherwise(0.0)
-    error = F.when(good & (F.col("slope") != 0), F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("syy") / F.col("sxx") / (F.col("n") - 2))) / F.abs("slope")).otherwise(1.0)
-    return runs.select(F.col("g").alias(group), "i", "j", "x_i", "x_j", F.col("n").cast("bigint").alias("n"), "slope", intercept.alias("intercept"), "r2", error.alias("error"))
+    x, then y) that spans ``narrow`` to ``wide`` of x and ``least`` steps or more. x is cut into cells as wide as the band; a cell gets its own
+    points, where runs begin, and those of the next, and all runs of many cells grow by a point at a time, with sums of distances from
+    where they begin: exact wherever on a long curve a run lies. A curve need not fit a task. x and y are not null."""
+    kind = dict(points.dtypes)[group]
+    place = F.row_number().over(Window.partitionBy(group).orderBy(x, y))
+    p = points.select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), place.alias("at"))
+    cell = F.floor(F.col("x") / wide).cast("bigint")
+    copies = F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("own")), F.struct((cell - 1).alias("cell"), F.lit(False).alias("own")))).alias("c")
+    cells = p.select("g", "x", "y", "at", copies).groupBy("g", "c.cell").agg(F.collect_list(F.struct("x", "y", "at", "c.own")).alias("points")).select("g", "points")
+
+    def grown(stream):
+        for batch in stream:
+            lists = batch.column(1)
+            held, record = lists.flatten(), np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            xs, ys, at, own = (held.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "at", "own"))
+            order = np.lexsort((at, record))
+            xs, ys, at, own, record = (v[order] for v in (xs, ys, at, own, record))
+            first, last = np.nonzero(own)[0], np.searchsorted(record, record, side="right")
+            sums, made, rows, step = np.zeros((5, len(first))), [], 0, 0
+            while len(first):
+                step += 1
+                goes = first + step < last[first]
+                goes[goes] = xs[first[goes] + step] - xs[first[goes]] <= wide
+                first, sums = first[goes], sums[:, goes]
+                end = first + step
+                u, v, n = xs[end] - xs[first], ys[end] - ys[first], step + 1.0
+                sums += (u, v, u * u, u * v, v * v)
+                if step >= least and (out := u >= narrow).any():
+                    i, j, (su, sv, uu, uv, vv) = first[out], end[out], sums[:, out]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        sxx, sxy, syy = uu - su * su / n, uv - su * sv / n, vv - sv * sv / n
+                        good = (n >= 3) & (sxx > 1e-18)
+                        slope = np.where(good, sxy / sxx, 0.0)
+                        r2 = np.where(good & (syy > 1e-18), np.clip(sxy * sxy / (sxx * syy), 0, 1), 0.0)
+                        intercept = np.where(good, ys[i] + sv / n - slope * (xs[i] + su / n), 0.0)
+                        error = np.where(good & (slope != 0), np.sqrt(np.maximum(0, (1 - r2) * syy / sxx / (n - 2))) / np.abs(slope), 1.0)
+                    columns = [at[i], at[j], xs[i], xs[j], np.full(len(i), step + 1), slope, intercept, r2, error]
+                    made.append(pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(record[i])), *map(pa.array, columns)], names=["g", "i", "j", "x_i", "x_j", "n", "slope", "intercept", "r2", "error"]))
+                    rows += len(i)
+                    if rows >= RUNS:
+                        yield from made
+                        made, rows = [], 0
+            yield from made
+
+    found = cells.mapInArrow(grown, f"g {kind}, i int, j int, x_i double, x_j double, n bigint, slope double, intercept double, r2 double, error double")
+    return found.withColumnRenamed("g", group)
 
 
 def tail_of_runs(runs: DataFrame, group: str, *, least_r2: float = 0.97, narrowest: float = 15.0, widest: float = 800.0, near: float = 0.005) -> DataFrame:
@@ -202,8 +232,9 @@ def tail_of_runs(runs: DataFrame, group: str, *, least_r2: float = 0.97, narrowe
     the earlier run."""
     width = 1000 / F.col("slope")
     kept = runs.where((F.col("slope") > 0) & (F.col("r2") >= least_r2)).withColumn("width", width).where(F.col("width").between(narrowest, widest)).withColumn("score", F.col("r2") - 0.15 * F.col("error"))
+    kept = checkpointed(kept.drop("n", "error"))  # runs are found once, not once for each use
     best = kept.groupBy(F.col(group).alias("_g")).agg(F.max("score").alias("_best"))
-    chosen = kept.join(best, F.col(group).eqNullSafe(F.col("_g"))).where(F.col("score") >= F.col("_best") - near).drop("_g", "_best")
+    chosen = checkpointed(kept.join(best, F.col(group).eqNullSafe(F.col("_g"))).where(F.col("score") >= F.col("_best") - near).drop("_g", "_best"))
     middle = group_quantiles(chosen, [group], "width", [0.5]).select(F.col(group).alias("_g"), F.col("n").alias("_n"), F.get("q", F.lit(0)).alias("_m"))
     first = F.min_by(F.struct("r2", "x_i", "x_j", "slope", "intercept"), F.struct(F.round(F.abs(F.col("width") - F.col("_m")), 6), F.round(-F.col("score"), 9), "i", "j"))
     out = chosen.join(middle, F.col(group).eqNullSafe(F.col("_g"))).groupBy(group).agg(F.max("_m").alias("width"), F.max("_n").alias("runs"), first.alias("line"))

@@ -78,3 +78,17 @@ def test_from_files_to_features(spark, tmp_path):
     (folder / "x_abs_s1.csv").write_text("nm;abs\n" + "\n".join(f"{1240 / x};{y}" for x, y in zip(e, a)))
     row = feature_table(spark, str(tmp_path)).first()
     assert row["status"] == "ok" and abs(row["E_g_eV"] - 2.7) < 0.02 and row["sample"] == "s1"
+
+
+def test_runs_far_along_a_long_curve(spark):
+    """Lines stay exact where positions and values are large, and where a run goes on into the next cell."""
+    rng = np.random.default_rng(5)
+    x, y = np.arange(3000.0) + 1e7, np.cumsum(rng.normal(50, 5, 3000)) + 1e6
+    df = spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(x, y)], "g string, x double, y double")
+    got = {(r["i"], r["j"]): r for r in curves.run_fits(df, "g", "x", "y", narrow=5.0, wide=9.0).collect()}
+    assert len(got) == sum(3000 - step for step in range(5, 10))
+    for i, j in ((1, 6), (5, 14), (1500, 1507), (2990, 2999), (2995, 3000)):
+        u, v = x[i - 1 : j] - x[i - 1], y[i - 1 : j] - y[i - 1]
+        slope = np.polyfit(u, v, 1)[0]
+        r = got[i, j]
+        assert abs(r["slope"] - slope) < 1e-9 and abs(r["r2"] - np.corrcoef(u, v)[0, 1] ** 2) < 1e-9 and r["n"] == j - i + 1
